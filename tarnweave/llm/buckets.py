@@ -25,12 +25,12 @@ def units(rows: DataFrame, key: Sequence[str], row: str, most: int = MOST, sizes
     rows of each key in _n, where those are known."""
     keys = [F.col(k) for k in key]
     hot = (rows.groupBy(*keys).agg(F.count("*").alias("_n")) if sizes is None else sizes).filter(F.col("_n") > most)
-    hot = stash(hot.select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_n")), "hot")
-    own = F.pmod(F.xxhash64(row), F.col("_n")).cast("int")
+    hot = stash(hot.select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_chunks")), "hot")
+    own = F.pmod(F.xxhash64(row), F.col("_chunks")).cast("int")
     pair = lambda j: F.struct(F.least("_c", j).alias("_i"), F.greatest("_c", j).alias("_j"))
     one = F.array(F.struct(F.lit(0).alias("_i"), F.lit(0).alias("_j")))
     dealt = rows.join(hot, list(key), "left").withColumn("_c", F.coalesce(own, F.lit(0)))
-    dealt = dealt.withColumn("_p", F.explode(F.when(F.col("_n").isNull(), one).otherwise(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), pair))))
+    dealt = dealt.withColumn("_p", F.explode(F.when(F.col("_chunks").isNull(), one).otherwise(F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), pair))))
     dealt = dealt.select(*rows.columns, "_p._i", "_p._j", "_c")
     at = [*keys, F.col("_i"), F.col("_j")]
     return dealt.repartition(*at).sortWithinPartitions(*at)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.llm import bpe, embeddings, mixing, quality, simhash, substring, suffix, urlfilter, webpage
+from tarnweave.llm import bpe, embeddings, mixing, oracle, quality, simhash, substring, suffix, urlfilter, webpage
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -96,7 +96,7 @@ def _term(t: str) -> str:
 _FITS = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in URL_RULES]
 _LONGEST = sorted(range(len(URL_RULES)), key=lambda i: -len(URL_RULES[i][1] + URL_RULES[i][2]))
 
-ORACLE_SQL = {
+ORACLE_SQL = oracle.ORACLE_SQL | {
     "op3_url_filter": f"""
 WITH cut AS (
   SELECT page_id, {_LOWER.format("coalesce(url, '')")} AS u,
