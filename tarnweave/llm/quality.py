@@ -136,6 +136,20 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, level: float = LEVEL) -> Da
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
 
+def _chosen(made: DataFrame, labels: DataFrame, key: str, stratum: str, label: str, risk: float, level: float) -> DataFrame:
+    known = labels.select(F.col(key).alias("_key"), (F.col(label) == 1).alias("good"))
+    labelled = made.join(known, made[key] == known["_key"]).withColumn("stratum", F.col(stratum))
+    return stash(cutoffs(labelled, risk, level).withColumnsRenamed({"stratum": "_stratum", "cutoffs": "_cutoffs"}), "cutoffs")
+
+
+def _judged(made: DataFrame, chosen: DataFrame, stratum: str) -> DataFrame:
+    over = F.lit(False)
+    for rule, value in values().items():
+        over = over | F.coalesce(value > F.col("_cutoffs")[rule], F.lit(False))
+    judged = made.join(chosen, made[stratum].eqNullSafe(chosen["_stratum"]), "left")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~over).drop("_stratum", "_cutoffs")
+
+
 def judge(
     df: DataFrame,
     labels: DataFrame,
@@ -150,11 +164,24 @@ def judge(
     made = features(df, text).drop(text)
     made = made.select(*[f"`{c}`" for c in made.columns if c.lower() not in ("base_failed", "kept")])
     made = stash(made.withColumn("base_failed", base_failed()), "features")
-    known = labels.select(F.col(key).alias("_key"), (F.col(label) == 1).alias("good"))
-    labelled = made.join(known, made[key] == known["_key"]).withColumn("stratum", F.col(stratum))
-    chosen = stash(cutoffs(labelled, risk, level).withColumnsRenamed({"stratum": "_stratum", "cutoffs": "_cutoffs"}), "cutoffs")
-    over = F.lit(False)
-    for rule, value in values().items():
-        over = over | F.coalesce(value > F.col("_cutoffs")[rule], F.lit(False))
-    judged = made.join(chosen, made[stratum].eqNullSafe(chosen["_stratum"]), "left")
-    return judged.withColumn("kept", ~F.col("base_failed") & ~over).drop("_stratum", "_cutoffs")
+    return _judged(made, _chosen(made, labels, key, stratum, label, risk, level), stratum)
+
+
+def keep(
+    df: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    stratum: str = "lang",
+    label: str = "quality",
+    risk: float = RISK,
+    level: float = LEVEL,
+) -> DataFrame:
+    """df's rows that are kept, with their columns. Rows find their verdict by a hash of id, text and stratum."""
+    mark = F.xxhash64(key, text, stratum)
+    made = features(df.select(key, text, stratum, mark.alias("_mark")), text).drop(text)
+    made = stash(made.withColumn("base_failed", base_failed()), "features")
+    judged = _judged(made, _chosen(made, labels, key, stratum, label, risk, level), stratum)
+    stay = judged.filter("kept").select(F.col("_mark").alias("_stays"), F.col(key).alias("_stays_id")).distinct()
+    rows = df.withColumn("_mark", mark)
+    return rows.join(stay, (rows["_mark"] == stay["_stays"]) & rows[key].eqNullSafe(stay["_stays_id"]), "left_semi").select(*df.columns)

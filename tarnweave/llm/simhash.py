@@ -141,3 +141,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     least = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
     byprint = named.join(least, "_root").select("fp", "component_id")
     return prints.join(byprint, "fp").select(key, "fp", "component_id")
+
+
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, near: int = 7, most: int = buckets.MOST) -> DataFrame:
+    """df's rows without all but one of each group: the one of the least key (and least text hash) stays, one of equal rows."""
+    mark = F.xxhash64(key, text)
+    prints = stash(fingerprints(df.select(F.struct(F.col(key).alias("id"), mark.alias("mark")).alias("_key"), F.col(text).alias("_text")), "_key", "_text", width), "fingerprints")
+    first = F.min(F.struct(F.col("_key.id").isNull(), "_key.id", "_key.mark"))
+    firsts = stash(prints.groupBy("fp").agg(first.alias("_first")), "prints")
+    roots = components(links(firsts.select("fp"), near, most))
+    named = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(F.coalesce("component", "fp").alias("_root"), "_first")
+    stay = named.groupBy("_root").agg(F.min("_first").alias("x")).select(F.col("x.mark").alias("_stays"), F.col("x.id").alias("_stays_id"))
+    rows = df.withColumn("_mark", mark)
+    kept = rows.join(stay, (rows["_mark"] == stay["_stays"]) & rows[key].eqNullSafe(stay["_stays_id"]), "left_semi")
+    return kept.dropDuplicates(["_mark"]).drop("_mark")

@@ -42,20 +42,27 @@ def earlier(table: pa.Table) -> np.ndarray:
     return out
 
 
-def finish(f: passages.Found, mask: np.ndarray) -> list[pa.Array]:
+def finish(f: passages.Found, mask: np.ndarray, layout: bool) -> list[pa.Array]:
     n = f.rows.num_rows
     keep = np.flatnonzero(~mask)
     starts, ends, text = f.starts[keep], f.ends[keep], f.text[keep]
     data = f.data.tobytes()
-    edges = np.searchsorted(text, np.arange(n + 1))
+    edges, removed = np.searchsorted(text, np.arange(n + 1)), passages.per_text(mask, f.text, n)
     kept = []
     for i in range(n):
         a, b = edges[i], edges[i + 1]
-        kept.append(b" ".join([data[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist())]))
-    return [pa.array(np.bincount(f.text, minlength=n).astype(np.int64)), pa.array(passages.per_text(mask, f.text, n)), pa.array(kept, pa.binary()).cast(pa.string())]
+        if layout and not removed[i]:
+            kept.append(data[f.at[i] : f.at[i + 1]])
+        elif layout:
+            before = np.where(keep[a:b] > 0, f.ends[keep[a:b] - 1], 0).clip(f.at[i])
+            kept.append(b"".join([data[s:e] for s, e in zip(before.tolist(), ends[a:b].tolist())]))
+        else:
+            kept.append(b" ".join([data[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist())]))
+    return [pa.array(np.bincount(f.text, minlength=n).astype(np.int64)), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())]
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """df without the text, with n_words, n_removed and kept_text (the kept words, joined by one space)."""
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, layout: bool = False) -> DataFrame:
+    """df without the text, with n_words, n_removed and kept_text: the kept words, joined by one space, or with
+    `layout` each after the white space that was before it (a text that loses nothing stays as it is)."""
     kind = passages.Kind(True, width, min(GRAM, width), False)
-    return passages.mark(df, key, text, kind, lambda f, k: window_hashes(f, k, width), earlier, finish, "n_words long, n_removed long, kept_text string")
+    return passages.mark(df, key, text, kind, lambda f, k: window_hashes(f, k, width), earlier, lambda f, mask: finish(f, mask, layout), "n_words long, n_removed long, kept_text string")
