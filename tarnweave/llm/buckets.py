@@ -36,7 +36,7 @@ def units(rows: DataFrame, key: Sequence[str], row: str, most: int = MOST, sizes
     return dealt.repartition(*at).sortWithinPartitions(*at)
 
 
-def whole_units(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def whole_units(batches: Iterator[pa.RecordBatch], key: Sequence[str], step: int = STEP) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole units, from sorted batches, and where each unit begins and the last ends."""
     names, kept, rows = [*key, "_i", "_j"], [], 0
 
@@ -52,7 +52,7 @@ def whole_units(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterat
         if batch.num_rows:
             kept.append(batch)
             rows += batch.num_rows
-        if rows >= STEP:
+        if rows >= step:
             table = pa.Table.from_batches(kept).combine_chunks()
             at = cut(table)
             if len(at) > 2:

@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from tarnweave.llm import buckets, common, sketch, winnow
 from tarnweave.llm.common import stash
 
+#: Stretches that one step compares at least, unless the task has fewer: each has some hundred units.
+STEP = 20_000
 #: A null id comes after all others.
 LAST = (1 << 63) - 1
 
@@ -158,7 +160,7 @@ def compared(rows: DataFrame, sizes: DataFrame, kind: Kind, most: int, resolve:
     """(d, mark, lo, hi): windows lo to hi of an earliest run that an earlier document (or place) has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in buckets.whole_units(batches, ("anchor",)):
+        for table, _ in buckets.whole_units(batches, ("anchor",), STEP):
             table = earliest(table)
             n = table.column("n").to_numpy()
             edges = np.append(0, np.cumsum(n))
