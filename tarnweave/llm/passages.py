@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from tarnweave.llm import buckets, common, sketch, winnow
 from tarnweave.llm.common import stash
 
+#: Text bytes of a vectorised step, which takes about a hundred times as much memory.
+BLOCK_BYTES = 1 << 19
 #: Stretches that one step compares at least, unless the task has fewer: each has some hundred units.
 STEP = 20_000
 #: A null id comes after all others.
@@ -68,7 +70,7 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
 
 def found(batch: pa.RecordBatch, kind: Kind) -> Iterator[Found]:
     """batch: _d (document's order), _t (hash of the text), _text."""
-    for rows, data, at in common.blocks(iter([batch]), "_text"):
+    for rows, data, at in common.blocks(iter([batch]), "_text", BLOCK_BYTES):
         if kind.words:
             starts, ends, text = common.word_bounds(data, at)
             rolling = winnow.Rolling(winnow.word_units(data, starts, ends))
