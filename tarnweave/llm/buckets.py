@@ -92,15 +92,18 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label[:] = up
 
 
-def forest(n: int, near: Callable[[int, int], tuple[np.ndarray, np.ndarray]], step: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Some of the links between n rows, that join the same rows as all do. near(i, j): the links of rows i to j with later rows."""
-    label, found = np.arange(n), []
+def joined(n: int, near: Callable[[int, int], tuple[np.ndarray, np.ndarray]], step: int = 256) -> np.ndarray:
+    """A root's place for each of n rows, one for all that links join. near(i, j): the links of rows i to j with later rows."""
+    label = np.arange(n)
     for i in range(0, n, step):
-        a, b = near(i, min(n, i + step))
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-        if len(a):
-            _, one = np.unique(np.minimum(label[a], label[b]) * n + np.maximum(label[a], label[b]), return_index=True)
-            found.append((a[one], b[one]))
-            merge_labels(label, a, b)
-    return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        merge_labels(label, *near(i, min(n, i + step)))
+    return label
+
+
+def stars(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's id with the least id of those that its links join, where that is another one. Buckets that hold the
+    same group mostly give the same links so, and the different ones are few."""
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    to = least[label]
+    return ids[to != ids], to[to != ids]

@@ -63,8 +63,8 @@ def usable(vector: str) -> F.Column:
 
 
 def linked(distinct: DataFrame, planes: int, tables: int, least: float, seed: int, most: int) -> DataFrame:
-    """(a, b, n): a and b a link between distinct vectors (forests of buckets' links), or b null and n the number of
-    vectors that a links with in a bucket. `distinct`: _id, _n, _v."""
+    """(a, b, n): a and b two distinct vectors that a bucket's links join, or b null and n the number of vectors that a
+    links with in a bucket. `distinct`: _id, _n, _v."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +86,7 @@ def linked(distinct: DataFrame, planes: int, tables: int, least: float, seed: in
             nth, sizes, chunk = (table.column(c).to_numpy() for c in ("_t", "_s", "_c"))
             cross = table.column("_i").to_numpy() != table.column("_j").to_numpy()
             vectors = table.column("_v").combine_chunks()
-            count, found = np.zeros(len(ids), np.int64), []
+            count, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
             for k in np.flatnonzero(np.diff(at) > 1):
                 lo, hi = int(at[k]), int(at[k + 1])
                 own = matrix(vectors.slice(lo, hi - lo), int(sizes[lo]))
@@ -110,13 +110,12 @@ def linked(distinct: DataFrame, planes: int, tables: int, least: float, seed: in
                     np.add.at(count, lo + b, n[lo + a])  # noqa: B023
                     return a, b
 
-                a, b = buckets.forest(hi - lo, close, STEP)
-                found.append((a + lo, b + lo))
-            a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+                label[lo:hi] = lo + buckets.joined(hi - lo, close, STEP)
+            a, b = buckets.stars(ids, label)
             some = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.append(ids[a], ids[some])),
-                pa.concat_arrays([pa.array(ids[b], pa.int64()), pa.nulls(len(some), pa.int64())]),
+                pa.array(np.append(a, ids[some])),
+                pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(some), pa.int64())]),
                 pa.array(np.append(np.zeros(len(a), np.int64), count[some])),
             ], ["a", "b", "n"])
 

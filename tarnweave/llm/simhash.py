@@ -5,7 +5,8 @@ are linked: 64 bits are cut into so few segments that one of them differs by at
 indexed once for each of its bits, with that bit deleted. Equal variants meet in a bucket, where the distance over all
 64 bits is verified. A pair counts only in the first bucket that it shares, so no pair is met twice.
 
-Equal fingerprints are one row from the start, and a bucket gives a forest of its links, never all pairs.
+Equal fingerprints are one row from the start, and a bucket gives each row's link to the least one of its group
+there, never all pairs.
 
 Cases: a null or empty text, or one without words, has fingerprint 0 and is linked like any other; a text with fewer
 words than a shingle is one shingle; repeated rows and repeated ids keep their rows; a null id takes part but is never
@@ -92,7 +93,7 @@ def first_key(diff: np.ndarray, masks: list[int]) -> np.ndarray:
 
 
 def links(prints: DataFrame, near: int = 4, most: int = buckets.MOST) -> DataFrame:
-    """(a, b): links between the different values of `fp` that join what all links within `near` bits join."""
+    """(a, b): pairs of different values of `fp` that join what all links within `near` bits join."""
     masks = segments(near)
     whole = [next(m for m in masks if m >> b & 1) & ~(1 << b) for b in range(64)]
     signed = [m - (1 << 64) if m >> 63 else m for m in whole]
@@ -110,10 +111,10 @@ def links(prints: DataFrame, near: int = 4, most: int = buckets.MOST) -> DataFra
             fp = table.column("fp").to_numpy().view(np.uint64)
             bit, chunk = table.column("bit").to_numpy(), table.column("_c").to_numpy()
             cross = table.column("_i").to_numpy() != table.column("_j").to_numpy()
-            found = []
+            label = np.arange(len(fp))
             for a, b in buckets.small_pairs(at, 48):
                 ok = linked(fp, bit, chunk, cross, a, b)
-                found.append((a[ok], b[ok]))
+                buckets.merge_labels(label, a[ok], b[ok])
             for k in np.flatnonzero(np.diff(at) > 48):
                 lo, hi = at[k], at[k + 1]
 
@@ -123,10 +124,8 @@ def links(prints: DataFrame, near: int = 4, most: int = buckets.MOST) -> DataFra
                     ok = linked(fp, bit, chunk, cross, a + lo, b + lo)
                     return a[ok], b[ok]
 
-                a, b = buckets.forest(hi - lo, close)
-                found.append((a + lo, b + lo))
-            a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
+                label[lo:hi] = lo + buckets.joined(hi - lo, close)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in buckets.stars(fp.view(np.int64), label)], ["a", "b"])
 
     return buckets.units(rows, ("bit", "rest"), "fp", most).mapInArrow(run, "a long, b long")
 
