@@ -27,8 +27,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style noscript template svg math iframe object canvas textarea select head title".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ARTICLE = frozenset(("article", "main"))
-#: Elements, and words in class, id or role, that name something beside the text.
-BESIDE = frozenset("nav footer aside form button dialog menu".split())
+#: Elements, and words in class, id or role, that name something beside the text. Names on elements that hold the text
+#: itself don't count.
+BESIDE = frozenset("nav footer aside button dialog menu".split())
+HOLDERS = frozenset(("html", "body", "main", "article"))
+#: A class that says what a page has or lacks, as no-sidebar, names nothing.
+_STATE = re.compile(r"(?<![^\s_-])(?:has|no|with|without)[_-]\S*")
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus|footer|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promoted|related|replies|reply|respond|search|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])"
 )
@@ -68,26 +72,58 @@ LABELLED = (
 
 
 class Block:
-    __slots__ = ("article", "beside", "heading", "linked", "text", "words")
+    """around: the articles, and the elements beside the text that may be wrappers, that hold the block."""
 
-    def __init__(self, text: str, linked: int, article: bool, beside: bool, heading: bool):
-        self.text, self.linked, self.article, self.beside, self.heading = text, linked, article, beside, heading
+    __slots__ = ("article", "around", "beside", "heading", "linked", "text", "words")
+
+    def __init__(self, text: str, linked: int, article: bool, beside: bool, heading: bool, around: tuple[tuple[str, int], ...]):
+        self.text, self.linked, self.article, self.beside, self.heading, self.around = text, linked, article, beside, heading, around
         self.words = text.count(" ") + 1
 
 
-def named_beside(tag: str, attributes: str, article: bool) -> bool:
+#: What an element says of its place. What is named, and a form, can also be a wrapper of the text.
+TEXT, NAME, SURE = 0, 1, 2
+
+
+def named_beside(tag: str, attributes: str, article: bool) -> int:
     """Whether an element is beside the text. A header is, but inside an article, where it has the article's title."""
     if tag in BESIDE or tag == "header" and not article:
-        return True
+        return SURE
+    out = NAME if tag == "form" else TEXT
     if attributes and "=" in attributes or "hidden" in attributes:
         for name, a, b, c in _NAME.findall(attributes):
             value = a or b or c
             name = name.lower()
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True
-            if name in ("class", "id", "role") and NAMED.search(value.lower()):
-                return True
-    return False
+                return SURE
+            if name in ("class", "id", "role") and tag not in HOLDERS and NAMED.search(_STATE.sub("", value.lower())):
+                out = NAME
+    return out
+
+
+def settle(found: list[Block]) -> None:
+    """Marks what lies in a named element or a form as beside the text, but where that one is a wrapper: if every article
+    lies in such elements, those around the one with most words; and a form around over half of the page's words, if no article is outside."""
+    words: dict[tuple[tuple[str, int], ...], int] = {}
+    free, forms = False, dict.fromkeys((x for b in found for x in b.around if x[0] == "form"), 0)
+    for b in found:
+        if b.beside:
+            continue
+        for x in b.around:
+            if x in forms:
+                forms[x] += b.words
+        for k, x in enumerate(b.around):
+            if x[0] in ARTICLE:
+                words[b.around[: k + 1]] = words.get(b.around[: k + 1], 0) + b.words
+                free |= all(y[0] in ARTICLE for y in b.around[:k])
+    wrappers: set[tuple[str, int]] = set()
+    if not free:
+        if words:
+            wrappers.update(max(words, key=words.__getitem__))
+        total = sum(b.words for b in found)
+        wrappers.update(x for x, n in forms.items() if 2 * n > total)
+    for b in found:
+        b.beside |= any(x[0] not in ARTICLE and x not in wrappers for x in b.around)
 
 
 def blocks(page: str) -> list[Block]:
@@ -95,7 +131,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []
+    around: list[tuple[str, int]] = []
     article = beside = link = 0
     heading = False
 
@@ -104,7 +141,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, len(unescape(" ".join(linked)).split()), article > 0, beside > 0, heading))
+                out.append(Block(text, len(unescape(" ".join(linked)).split()), article > 0, beside > 0, heading, tuple(around)))
             parts.clear()
             linked.clear()
 
@@ -113,7 +150,9 @@ def blocks(page: str) -> list[Block]:
         while len(stack) > upto:
             tag, own = stack.pop()
             article -= tag in ARTICLE
-            beside -= own
+            beside -= own == SURE
+            if tag in ARTICLE or own == NAME:
+                around.pop()
             link -= tag == "a"
 
     at = 0
@@ -161,9 +200,12 @@ def blocks(page: str) -> list[Block]:
             own = named_beside(tag, mark[4], article > 0)
             stack.append((tag, own))
             article += tag in ARTICLE
-            beside += own
+            beside += own == SURE
+            if tag in ARTICLE or own == NAME:
+                around.append((tag, mark.start()))
             link += tag == "a"
     flush()
+    settle(out)
     return out
 
 
