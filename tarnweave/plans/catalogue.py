@@ -88,6 +88,13 @@ def e2_paths_1_3(g: Graph) -> DataFrame:
     return m.returns(c("a_id", "source_id"), F.array_join("path_nodes", ">").alias("path_nodes"), F.array_join(F.transform("path_rels", lambda r: r["type"]), ">").alias("path_rels"), "length")
 
 
+@query(_TRAILS.format(start="true") + "SELECT first AS source_id, array_to_string(names, '>') AS path_nodes, array_to_string(types, '>') AS path_rels, length::INT AS length FROM trail JOIN nodes z ON z.id = last WHERE length >= 1 AND list_contains(z.labels, 'Region')")
+def e2_paths_1_3_all(g: Graph) -> DataFrame:
+    """e2_paths_1_3 from every supplier."""
+    m = Match.nodes(g, "a", "Supplier").trails("z", "Region", least=1, most=3, types=STRUCTURE)
+    return m.returns(c("a_id", "source_id"), F.array_join("path_nodes", ">").alias("path_nodes"), F.array_join(F.transform("path_rels", lambda r: r["type"]), ">").alias("path_rels"), "length")
+
+
 @query(f"SELECT a.name AS source, r.type AS relation, b.name AS target, b.id AS target_id, {_P} FROM nodes a JOIN und r ON r.s = a.id JOIN nodes b ON r.e = b.id WHERE regexp_full_match(a.name, '(?i).*nation_7.*')")
 def e3_undirected_name(g: Graph) -> DataFrame:
     m = Match.nodes(g, "a", where=name_like("a", "(?i).*nation_7.*")).both("r", "b")
@@ -182,6 +189,13 @@ def list_comprehension(g: Graph) -> DataFrame:
     return m.returns(c("a_id", "source_id"), F.array_join("path_ids", ",").alias("path_ids"), F.array_join(F.transform("path_nodes", F.upper), ",").alias("upper_names"))
 
 
+@query(_TRAILS.format(start="true") + "SELECT first AS source_id, array_to_string(ids, ',') AS path_ids, array_to_string(list_transform(names, lambda x: upper(x)), ',') AS upper_names FROM trail WHERE length BETWEEN 1 AND 2")
+def list_comprehension_all(g: Graph) -> DataFrame:
+    """list_comprehension from every supplier."""
+    m = Match.nodes(g, "a", "Supplier").trails("z", least=1, most=2, types=STRUCTURE)
+    return m.returns(c("a_id", "source_id"), F.array_join("path_ids", ",").alias("path_ids"), F.array_join(F.transform("path_nodes", F.upper), ",").alias("upper_names"))
+
+
 @query("SELECT id, type || ' ' || coalesce(evidence, '') || ' ' || source_file || ' ' || coalesce(chunk_id, '') AS projected FROM rels WHERE type IN ('CONTAINS', 'IN_REGION')")
 def map_projection(g: Graph) -> DataFrame:
     m = F.struct("type", "evidence", "source_file", "chunk_id")
@@ -250,6 +264,13 @@ def distinct_neighbors(g: Graph) -> DataFrame:
     return m.returns(c("a_id", "customer_id"), c("p_id", "part_id")).distinct()
 
 
+@query("SELECT DISTINCT a.id AS customer_id, b.e AS part_id FROM nodes a JOIN rels r ON r.s = a.id AND r.type = 'PLACED' JOIN rels b ON b.s = r.e AND b.type = 'CONTAINS'")
+def distinct_neighbors_all(g: Graph) -> DataFrame:
+    """distinct_neighbors of every customer."""
+    m = Match.nodes(g, "a", "Customer").out("r", "o", types=["PLACED"]).out("q", "p", types=["CONTAINS"])
+    return m.returns(c("a_id", "customer_id"), c("p_id", "part_id")).distinct()
+
+
 @query("SELECT a.id AS id, 'nation' AS how FROM nodes a JOIN rels r ON r.s = a.id AND r.e = 'n:3' UNION SELECT a.id, 'supplies' FROM nodes a JOIN rels r ON r.e = a.id AND r.type = 'SUPPLIED_BY'")
 def union_of_patterns(g: Graph) -> DataFrame:
     one = Match.nodes(g, "a").out("r", "b", where=F.col("b_id") == "n:3").returns(c("a_id", "id"), F.lit("nation").alias("how"))
