@@ -232,11 +232,6 @@ def test_lm_scores(spark):
     assert bits / size < 2.2  # letters alone take 3 bits, words 6 bits for about five bytes
 
 
-def test_code_paths_are_a_code():
-    code = lmscore.Code(np.random.default_rng(5).integers(0, 50, (258, 257)))
-    assert np.allclose((0.5 ** code.length.reshape(258, 257)).sum(1), 1)
-
-
 @pytest.mark.parametrize(("page", "text"), [
     (None, ""), ("", ""), ("<article><p>a<b>b</b>c&nbsp;d &lt;x&gt; &#8217;</p><form>Mail</form><ul><li>one<li>two</ul></article>", "abc d <x> ’ one two"),
     ("<nav><a href=x>home</a></nav><article><h1>T</h1><p>x <script>if (a</p>b) {}</script>y<br>z</article><footer>foot</footer>", "T x y z"),
