@@ -1,9 +1,14 @@
 """HTML extraction: flat text blocks, classified by a decision tree.
 
 The page is cut at block-level tags into flat blocks of text. A block has few features: its words and link density,
-those of the blocks before and after it, and what its place says (inside an article, inside an element that is named
-as navigation or the like, a heading). A small decision tree, trained here on `LABELLED`, keeps or drops it. Kept
-blocks are joined in page order.
+those of the blocks before and after it, and what its place says (inside an article, inside something beside the text,
+a heading). A small decision tree, trained here on `LABELLED`, keeps or drops it. Kept blocks are joined in page order.
+
+Tags are cut as HTML says: quotes count only where an attribute's value begins, a slash closes nothing but drawings and
+formulas, scripts and the like are raw up to their own end. Words in class, id and role are one feature among several:
+some (navigation, advert, comment) say strongly that something is beside the text, others (search, share, related)
+weakly, so that words and links, of the block and its neighbours, decide. Names on html, body, main and article, and
+states such as has-sidebar, don't count, nor does a name on what wraps the text.
 
 Cases: null or empty html, and pages without a kept block, give an empty text; unclosed or truncated tags end with
 the page; comments, scripts, styles and templates are no text; repeated rows are extracted each; an input column named
@@ -23,107 +28,136 @@ from pyspark.sql import types as T
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Nothing inside these is text.
-SILENT = frozenset("script style noscript template svg math iframe object canvas textarea select head title".split())
+#: Raw up to their own end tag, and no text.
+RAW = frozenset("script style noscript iframe textarea title xmp noembed noframes".split())
+#: Nothing inside these is text either. The second ones may close themselves.
+SILENT = frozenset("template object canvas select svg math audio video".split())
+FOREIGN = frozenset(("svg", "math"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ARTICLE = frozenset(("article", "main"))
-#: Elements, and words in class, id or role, that name something beside the text. Names on elements that hold the text
-#: itself don't count.
+#: Elements that are beside the text whatever they hold.
 BESIDE = frozenset("nav footer aside button dialog menu".split())
+#: Names on elements that hold the text itself don't count.
 HOLDERS = frozenset(("html", "body", "main", "article"))
-#: A class that says what a page has or lacks, as no-sidebar, names nothing.
-_STATE = re.compile(r"(?<![^\s_-])(?:has|no|with|without)[_-]\S*")
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus|footer|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promoted|related|replies|reply|respond|search|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])"
+#: Words in class, id or role that say strongly, or weakly, that something is beside the text.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent disqus footer gdpr menu "
+    "modal nav navbar navigation newsletter pager pagination paywall popup promo sidebar sponsor sponsored subscribe subscription toolbar".split()
 )
-_MARK = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_NAME = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I | re.S)
-_END = {x: re.compile(rf"</{x}(?=[\s/>]|$)[^>]*(?:>|$)", re.I) for x in SILENT}
+WEAK = frozenset("alert banner complementary header links masthead notice notification promoted recommended related replies reply respond search share sharing social tags teaser teasers widget".split())
+#: A class that says what a page has or lacks, as no-sidebar, names nothing.
+STATES = frozenset(("has", "no", "with", "without", "is", "hide"))
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_VALUE = r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)"
+_ATTRIBUTE = rf"[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+"
+_MARK = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</[^a-zA-Z][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+_NAMED = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?+)?+", re.S)
+_END = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I) for x in RAW}
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 #: Hand-labelled blocks: words, links' share of them, words before, links' share before, words after, links' share
-#: after, inside an article, named as beside the text, heading; and whether the block is main text.
+#: after, inside an article, beside the text (1 by a weak name, 2 by a strong one, 3 by its element), heading; and whether
+#: the block is main text.
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "beside", "heading")
 LABELLED = (
-    (6, 1.0, 0, 0.0, 8, 0.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 12, 0.0, 0, 1, 0, 0),
-    (8, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0), (14, 0.0, 1, 1.0, 10, 0.0, 0, 1, 0, 0), (60, 0.0, 40, 0.0, 30, 0.0, 0, 1, 0, 0),
-    (45, 0.1, 90, 0.0, 20, 0.0, 1, 1, 0, 0), (20, 0.0, 200, 0.0, 3, 0.0, 1, 1, 0, 0), (3, 0.0, 20, 0.0, 40, 0.0, 1, 1, 1, 0),
-    (12, 0.0, 300, 0.0, 0, 0.0, 0, 1, 0, 0), (4, 0.0, 35, 0.0, 0, 0.0, 0, 1, 0, 0), (2, 1.0, 120, 0.0, 2, 1.0, 1, 1, 0, 0),
-    (90, 0.0, 8, 0.0, 110, 0.0, 1, 0, 0, 1), (110, 0.0, 90, 0.0, 12, 0.0, 1, 0, 0, 1), (2, 0.0, 9, 0.0, 4, 0.0, 1, 0, 0, 1),
-    (9, 0.0, 14, 0.0, 90, 0.0, 1, 0, 1, 1), (5, 0.0, 1, 1.0, 2, 0.0, 1, 0, 1, 1), (1, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0, 1),
-    (40, 0.2, 60, 0.0, 70, 0.0, 1, 0, 0, 1), (25, 0.3, 10, 0.0, 8, 0.0, 1, 0, 0, 1), (3, 0.0, 120, 0.0, 6, 0.0, 1, 0, 1, 1),
-    (7, 0.0, 110, 0.0, 12, 0.0, 1, 0, 0, 1), (6, 0.4, 80, 0.0, 50, 0.0, 1, 0, 0, 1), (30, 0.6, 70, 0.0, 40, 0.0, 1, 0, 0, 1),
-    (1, 1.0, 30, 0.0, 45, 0.0, 1, 0, 0, 1), (3, 1.0, 60, 0.1, 80, 0.0, 1, 0, 0, 1), (2, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (3, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (5, 0.8, 40, 0.0, 4, 1.0, 0, 0, 0, 0),
-    (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (6, 0.0, 2, 1.0, 5, 0.0, 0, 0, 0, 0), (3, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (5, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0), (9, 0.1, 50, 0.0, 3, 1.0, 0, 0, 0, 0), (7, 0.6, 6, 0.5, 9, 0.7, 0, 0, 0, 0),
-    (25, 0.7, 8, 0.9, 12, 0.8, 0, 0, 0, 0), (40, 0.9, 5, 0.0, 60, 0.0, 0, 0, 0, 0), (30, 0.5, 70, 0.0, 5, 1.0, 0, 0, 0, 0),
-    (80, 0.0, 6, 0.0, 95, 0.0, 0, 0, 0, 1), (120, 0.05, 80, 0.0, 40, 0.0, 0, 0, 0, 1), (35, 0.1, 120, 0.0, 5, 0.0, 0, 0, 0, 1),
-    (22, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1), (18, 0.2, 45, 0.0, 50, 0.1, 0, 0, 0, 1), (10, 0.0, 70, 0.0, 65, 0.0, 0, 0, 0, 1),
-    (70, 0.0, 80, 0.0, 90, 0.0, 0, 1, 0, 0), (100, 0.0, 60, 0.0, 120, 0.0, 1, 1, 0, 0), (15, 0.0, 90, 0.0, 80, 0.0, 1, 1, 0, 0),
-    (8, 0.5, 90, 0.0, 110, 0.0, 1, 1, 0, 0), (2, 0.0, 50, 0.0, 60, 0.0, 0, 1, 1, 0), (130, 0.1, 9, 0.0, 45, 0.0, 0, 1, 0, 0),
-    (1, 1.0, 1, 1.0, 85, 0.0, 0, 1, 0, 0), (40, 0.0, 1, 1.0, 75, 0.0, 0, 1, 0, 0), (55, 0.0, 55, 0.0, 55, 0.0, 1, 1, 0, 0),
-    (4, 0.0, 0, 0.0, 90, 0.0, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 95, 0.0, 0, 0, 0, 0), (7, 0.9, 60, 0.0, 70, 0.0, 0, 0, 0, 0),
-    (50, 0.8, 90, 0.0, 85, 0.0, 0, 0, 0, 0), (90, 0.7, 40, 0.0, 60, 0.0, 0, 0, 0, 0), (3, 1.0, 80, 0.0, 100, 0.0, 0, 0, 0, 0),
-    (150, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 1), (60, 0.0, 60, 0.0, 10, 0.0, 0, 0, 0, 1), (45, 0.0, 45, 0.0, 45, 0.0, 0, 0, 0, 1),
-    (1, 0.0, 2, 0.0, 1, 0.0, 1, 0, 0, 1), (4, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 1), (20, 1.0, 30, 0.5, 4, 0.0, 1, 0, 0, 1),
-    (6, 0.0, 4, 1.0, 80, 0.0, 0, 0, 1, 1), (4, 0.0, 60, 0.0, 75, 0.0, 0, 0, 1, 1), (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 1, 0),
+    (6, 1.0, 0, 0.0, 8, 0.0, 0, 3, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 2, 0, 0), (1, 1.0, 1, 1.0, 12, 0.0, 0, 2, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 0, 3, 0, 0), (14, 0.0, 1, 1.0, 10, 0.0, 0, 2, 0, 0),
+    (60, 0.0, 40, 0.0, 30, 0.0, 0, 2, 0, 0), (45, 0.1, 90, 0.0, 20, 0.0, 1, 3, 0, 0), (20, 0.0, 200, 0.0, 3, 0.0, 1, 2, 0, 0), (3, 0.0, 20, 0.0, 40, 0.0, 1, 2, 1, 0), (12, 0.0, 300, 0.0, 0, 0.0, 0, 3, 0, 0),
+    (4, 0.0, 35, 0.0, 0, 0.0, 0, 2, 0, 0), (2, 1.0, 120, 0.0, 2, 1.0, 1, 2, 0, 0), (90, 0.0, 8, 0.0, 110, 0.0, 1, 0, 0, 1), (110, 0.0, 90, 0.0, 12, 0.0, 1, 0, 0, 1), (2, 0.0, 9, 0.0, 4, 0.0, 1, 0, 0, 1),
+    (9, 0.0, 14, 0.0, 90, 0.0, 1, 0, 1, 1), (5, 0.0, 1, 1.0, 2, 0.0, 1, 0, 1, 1), (1, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0, 1), (40, 0.2, 60, 0.0, 70, 0.0, 1, 0, 0, 1), (25, 0.3, 10, 0.0, 8, 0.0, 1, 0, 0, 1),
+    (3, 0.0, 120, 0.0, 6, 0.0, 1, 0, 1, 1), (7, 0.0, 110, 0.0, 12, 0.0, 1, 0, 0, 1), (6, 0.4, 80, 0.0, 50, 0.0, 1, 0, 0, 1), (30, 0.6, 70, 0.0, 40, 0.0, 1, 0, 0, 1), (1, 1.0, 30, 0.0, 45, 0.0, 1, 0, 0, 1),
+    (3, 1.0, 60, 0.1, 80, 0.0, 1, 0, 0, 1), (2, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0, 1), (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (3, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (5, 0.8, 40, 0.0, 4, 1.0, 0, 0, 0, 0),
+    (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (6, 0.0, 2, 1.0, 5, 0.0, 0, 0, 0, 0), (3, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0), (5, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0), (9, 0.1, 50, 0.0, 3, 1.0, 0, 0, 0, 0),
+    (7, 0.6, 6, 0.5, 9, 0.7, 0, 0, 0, 0), (25, 0.7, 8, 0.9, 12, 0.8, 0, 0, 0, 0), (40, 0.9, 5, 0.0, 60, 0.0, 0, 0, 0, 0), (30, 0.5, 70, 0.0, 5, 1.0, 0, 0, 0, 0), (80, 0.0, 6, 0.0, 95, 0.0, 0, 0, 0, 1),
+    (120, 0.05, 80, 0.0, 40, 0.0, 0, 0, 0, 1), (35, 0.1, 120, 0.0, 5, 0.0, 0, 0, 0, 1), (22, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1), (18, 0.2, 45, 0.0, 50, 0.1, 0, 0, 0, 1), (10, 0.0, 70, 0.0, 65, 0.0, 0, 0, 0, 1),
+    (70, 0.0, 80, 0.0, 90, 0.0, 0, 3, 0, 0), (100, 0.0, 60, 0.0, 120, 0.0, 1, 2, 0, 0), (15, 0.0, 90, 0.0, 80, 0.0, 1, 2, 0, 0), (8, 0.5, 90, 0.0, 110, 0.0, 1, 3, 0, 0), (2, 0.0, 50, 0.0, 60, 0.0, 0, 2, 1, 0),
+    (130, 0.1, 9, 0.0, 45, 0.0, 0, 2, 0, 0), (1, 1.0, 1, 1.0, 85, 0.0, 0, 3, 0, 0), (40, 0.0, 1, 1.0, 75, 0.0, 0, 2, 0, 0), (55, 0.0, 55, 0.0, 55, 0.0, 1, 2, 0, 0), (4, 0.0, 0, 0.0, 90, 0.0, 0, 0, 0, 0),
+    (2, 1.0, 1, 1.0, 95, 0.0, 0, 0, 0, 0), (7, 0.9, 60, 0.0, 70, 0.0, 0, 0, 0, 0), (50, 0.8, 90, 0.0, 85, 0.0, 0, 0, 0, 0), (90, 0.7, 40, 0.0, 60, 0.0, 0, 0, 0, 0), (3, 1.0, 80, 0.0, 100, 0.0, 0, 0, 0, 0),
+    (150, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 1), (60, 0.0, 60, 0.0, 10, 0.0, 0, 0, 0, 1), (45, 0.0, 45, 0.0, 45, 0.0, 0, 0, 0, 1), (1, 0.0, 2, 0.0, 1, 0.0, 1, 0, 0, 1), (4, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 1),
+    (20, 1.0, 30, 0.5, 4, 0.0, 1, 0, 0, 1), (6, 0.0, 4, 1.0, 80, 0.0, 0, 0, 1, 1), (4, 0.0, 60, 0.0, 75, 0.0, 0, 0, 1, 1), (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 1, 0),
+    (14, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (12, 0.0, 8, 0.9, 6, 0.8, 0, 0, 0, 0), (9, 0.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0), (11, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
+    (16, 0.0, 5, 1.0, 4, 0.9, 0, 0, 0, 0), (13, 0.1, 3, 0.8, 6, 1.0, 0, 0, 0, 0), (15, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (10, 0.2, 7, 0.9, 2, 1.0, 0, 0, 0, 0),
+    (14, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 1), (12, 0.0, 9, 0.0, 11, 0.1, 0, 0, 0, 1), (9, 0.0, 12, 0.0, 14, 0.0, 0, 0, 0, 1), (11, 0.1, 30, 0.1, 12, 0.0, 0, 0, 0, 1),
+    (16, 0.0, 20, 0.0, 25, 0.0, 0, 0, 0, 1), (13, 0.0, 50, 0.1, 60, 0.0, 0, 0, 0, 1), (15, 0.1, 18, 0.0, 22, 0.0, 0, 0, 0, 1), (10, 0.0, 25, 0.0, 90, 0.1, 0, 0, 0, 1),
+    (30, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 1), (26, 0.1, 2, 1.0, 40, 0.0, 0, 0, 0, 1), (28, 0.0, 35, 0.0, 3, 1.0, 0, 0, 0, 1), (24, 0.6, 3, 1.0, 4, 1.0, 0, 0, 0, 0),
+    (60, 0.0, 20, 0.0, 30, 0.0, 1, 1, 0, 1), (25, 0.1, 40, 0.0, 50, 0.0, 1, 1, 0, 1), (90, 0.0, 5, 0.0, 5, 0.0, 1, 1, 0, 1), (35, 0.0, 60, 0.1, 1, 1.0, 1, 1, 0, 1),
+    (2, 1.0, 60, 0.0, 2, 1.0, 1, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 1, 0, 0), (3, 0.0, 50, 0.0, 2, 1.0, 1, 1, 0, 0), (6, 0.8, 2, 1.0, 7, 0.9, 1, 1, 0, 0),
+    (5, 1.0, 6, 1.0, 40, 0.0, 1, 1, 0, 0), (22, 0.9, 18, 0.8, 20, 0.9, 1, 1, 0, 0), (4, 0.0, 80, 0.0, 0, 0.0, 1, 1, 0, 0), (3, 1.0, 30, 0.0, 3, 1.0, 1, 1, 0, 0),
+    (6, 0.0, 0, 0.0, 50, 0.0, 1, 1, 1, 1), (9, 0.0, 2, 0.0, 80, 0.1, 1, 1, 1, 1), (40, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0, 0), (12, 0.0, 3, 1.0, 50, 0.0, 0, 1, 0, 0),
+    (3, 1.0, 4, 1.0, 3, 1.0, 0, 1, 0, 0), (20, 0.3, 30, 0.0, 5, 1.0, 0, 1, 0, 0), (5, 0.0, 0, 0.0, 6, 0.7, 0, 1, 1, 0), (70, 0.0, 90, 0.0, 4, 0.0, 0, 1, 0, 0),
+    (80, 0.0, 60, 0.0, 90, 0.0, 1, 2, 0, 0), (6, 0.0, 100, 0.0, 40, 0.0, 1, 2, 1, 0), (20, 0.3, 0, 0.0, 15, 0.2, 1, 3, 0, 0), (8, 0.0, 3, 0.0, 70, 0.0, 0, 3, 1, 0),
 )
 
 
 class Block:
-    """around: the articles, and the elements beside the text that may be wrappers, that hold the block."""
+    """around: the articles and named elements that hold the block, each with the strength of its name."""
 
     __slots__ = ("article", "around", "beside", "heading", "linked", "text", "words")
 
-    def __init__(self, text: str, linked: int, article: bool, beside: bool, heading: bool, around: tuple[tuple[str, int], ...]):
-        self.text, self.linked, self.article, self.beside, self.heading, self.around = text, linked, article, beside, heading, around
+    def __init__(self, text: str, linked: int, article: bool, beside: bool, heading: bool, around: tuple[tuple[str, int, int], ...]):
+        self.text, self.linked, self.article, self.heading, self.around = text, linked, article, heading, around
+        self.beside = ELEMENT if beside else 0
         self.words = text.count(" ") + 1
 
 
-#: What an element says of its place. What is named, and a form, can also be a wrapper of the text.
-TEXT, NAME, SURE = 0, 1, 2
+#: How sure it is that what an element holds is beside the text.
+BY_WEAK, BY_STRONG, ELEMENT = 1, 2, 3
+
+
+def strength(value: str) -> int:
+    """Of the words of a class, id or role."""
+    out = 0
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        for k, w in enumerate(words):
+            if w in STRONG or w in WEAK:
+                if k and words[k - 1] in STATES:
+                    continue
+                out = max(out, BY_STRONG if w in STRONG else BY_WEAK)
+    return out
 
 
 def named_beside(tag: str, attributes: str, article: bool) -> int:
-    """Whether an element is beside the text. A header is, but inside an article, where it has the article's title."""
+    """How sure it is that an element is beside the text. A header is, but inside an article, where it has the article's title."""
     if tag in BESIDE or tag == "header" and not article:
-        return SURE
-    out = NAME if tag == "form" else TEXT
-    if attributes and "=" in attributes or "hidden" in attributes:
-        for name, a, b, c in _NAME.findall(attributes):
-            value = a or b or c
-            name = name.lower()
+        return ELEMENT
+    out = BY_STRONG if tag == "form" else 0
+    if "=" in attributes or "hidden" in attributes.lower():
+        for name, a, b, c in _NAMED.findall(attributes):
+            value, name = a or b or c, name.lower()
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return SURE
-            if name in ("class", "id", "role") and tag not in HOLDERS and NAMED.search(_STATE.sub("", value.lower())):
-                out = NAME
+                return ELEMENT
+            if name in ("class", "id", "role") and tag not in HOLDERS:
+                out = max(out, strength(value))
     return out
 
 
 def settle(found: list[Block]) -> None:
-    """Marks what lies in a named element or a form as beside the text, but where that one is a wrapper: if every article
-    lies in such elements, those around the one with most words; and a form around over half of the page's words, if no article is outside."""
-    words: dict[tuple[tuple[str, int], ...], int] = {}
-    free, forms = False, dict.fromkeys((x for b in found for x in b.around if x[0] == "form"), 0)
+    """Tells each block how sure it is that it lies beside the text. Names of wrappers don't count: if every article lies in
+    named elements, those around the one with most words are wrappers; without an article outside, so are a form and a
+    weakly named element around over half of the page's words; and where no text at all is outside, any name's element
+    around over half of them."""
+    words: dict[tuple[tuple[str, int, int], ...], int] = {}
+    held: dict[tuple[str, int, int], int] = {}
+    free = bare = False
     for b in found:
         if b.beside:
             continue
-        for x in b.around:
-            if x in forms:
-                forms[x] += b.words
+        names = [x for x in b.around if x[0] not in ARTICLE]
+        bare |= not names
+        for x in names:
+            held[x] = held.get(x, 0) + b.words
         for k, x in enumerate(b.around):
             if x[0] in ARTICLE:
                 words[b.around[: k + 1]] = words.get(b.around[: k + 1], 0) + b.words
                 free |= all(y[0] in ARTICLE for y in b.around[:k])
-    wrappers: set[tuple[str, int]] = set()
+    wrappers: set[tuple[str, int, int]] = set()
     if not free:
         if words:
             wrappers.update(max(words, key=words.__getitem__))
         total = sum(b.words for b in found)
-        wrappers.update(x for x, n in forms.items() if 2 * n > total)
+        wrappers.update(x for x, n in held.items() if 2 * n > total and (x[0] == "form" or x[2] == BY_WEAK or not bare and not words))
     for b in found:
-        b.beside |= any(x[0] not in ARTICLE and x not in wrappers for x in b.around)
+        b.beside = max([b.beside, *(x[2] for x in b.around if x[0] not in ARTICLE and x not in wrappers)])
 
 
 def blocks(page: str) -> list[Block]:
@@ -132,58 +166,57 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int]] = []
-    around: list[tuple[str, int]] = []
-    article = beside = link = 0
+    around: list[tuple[str, int, int]] = []
+    article = beside = link = silent = 0
     heading = False
 
     def flush() -> None:
-        nonlocal heading
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, len(unescape(" ".join(linked)).split()), article > 0, beside > 0, heading, tuple(around)))
+                out.append(Block(text, len(" ".join(linked).split()), article > 0, beside > 0, heading, tuple(around)))
             parts.clear()
             linked.clear()
 
     def close(upto: int) -> None:
-        nonlocal article, beside, link
+        nonlocal article, beside, link, silent
         while len(stack) > upto:
             tag, own = stack.pop()
             article -= tag in ARTICLE
-            beside -= own == SURE
-            if tag in ARTICLE or own == NAME:
+            beside -= own == ELEMENT
+            silent -= tag in SILENT
+            if tag in ARTICLE or own in (BY_WEAK, BY_STRONG):
                 around.pop()
             link -= tag == "a"
 
     at = 0
     while True:
         mark = _MARK.search(page, at)
-        text = page[at : mark.start() if mark else len(page)]
-        if text:
-            parts.append(text)
-            if link:
-                linked.append(text)
+        if not silent:
+            text = page[at : mark.start() if mark else len(page)]
+            if text:
+                text = unescape(text) if "&" in text else text
+                parts.append(text)
+                if link:
+                    linked.append(text)
         if not mark:
             break
         at = mark.end()
-        if mark[1] is not None:
-            parts.append(mark[1].replace("&", "&amp;"))
-        tag = mark[3]
+        tag = mark[2]
         if tag is None:
             continue
-        tag = tag.lower()
-        if tag in SILENT:
-            if not mark[2] and not mark[4].endswith("/"):
+        tag, closing = tag.lower(), bool(mark[1])
+        if tag in RAW:
+            if not closing:
                 end = _END[tag].search(page, at)
-                if tag != "head":
-                    at = end.end() if end else len(page)
+                at = end.end() if end else len(page)
+            continue
+        if tag in ("head", "img") or tag in FOREIGN and not closing and mark[3].endswith("/"):
             continue
-        if tag not in INLINE or tag == "img":
-            if tag == "img":
-                continue
+        if tag not in INLINE:
             flush()
-            heading = tag in HEADINGS and not mark[2]
-        if mark[2]:
+            heading = tag in HEADINGS and not closing
+        if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     close(k)
@@ -197,12 +230,13 @@ def blocks(page: str) -> list[Block]:
                         break
                     if stack[k][0] not in INLINE:
                         break
-            own = named_beside(tag, mark[4], article > 0)
+            own = named_beside(tag, mark[3], article > 0)
             stack.append((tag, own))
             article += tag in ARTICLE
-            beside += own == SURE
-            if tag in ARTICLE or own == NAME:
-                around.append((tag, mark.start()))
+            beside += own == ELEMENT
+            silent += tag in SILENT
+            if tag in ARTICLE or own in (BY_WEAK, BY_STRONG):
+                around.append((tag, mark.start(), own))
             link += tag == "a"
     flush()
     settle(out)
@@ -213,10 +247,10 @@ def rows_of(found: list[Block]) -> list[tuple[float, ...]]:
     """The features of each block."""
     own = [(b.words, min(1.0, b.linked / b.words)) for b in found]
     around = [(0, 0.0), *own, (0, 0.0)]
-    return [(*own[i], *around[i], *around[i + 2], int(b.article), int(b.beside), int(b.heading)) for i, b in enumerate(found)]
+    return [(*own[i], *around[i], *around[i + 2], int(b.article), b.beside, int(b.heading)) for i, b in enumerate(found)]
 
 
-def grow(table: tuple[tuple[float, ...], ...], depth: int = 6) -> tuple | bool:
+def grow(table: tuple[tuple[float, ...], ...], depth: int = 8) -> tuple | bool:
     """A decision tree by Gini impurity: (feature, cut, tree up to the cut, tree above it), or the answer. Among equal
     splits, the first feature and least cut win."""
     good = sum(r[-1] for r in table)
