@@ -1,7 +1,7 @@
 """Pattern matching as joins: a small fluent API whose every step adds a join or filter to a DataFrame.
 
 A match has flat columns `<variable>_<property>`, so unused properties never leave the scans. Nothing runs until an
-action; Catalyst orders, prunes and picks the joins.
+action. Joins run in the order of the steps, from the rows that are bound already: begin with the selective end.
 
     Match.nodes(graph, "c", "Customer", where=name_like("c", "(?i).*smith.*")).both("r", "o", "Order").returns(...)
 """
@@ -56,10 +56,15 @@ class Match:
         rels = rels.filter(F.col("type").isin(*types)) if types else rels
         rels = rels.select(*[F.col(c).alias(f"{rel}_{c}") for c in REL])
         end = _nodes(self.graph, to, labels, None)
-        # a relationship and its far node match as a unit, also where the pattern is optional
+        met = F.col(f"{start or self.at}_id") == F.col(f"{rel}_{near}")
+        if how == "inner":
+            # the bound rows meet their relationships first, and only what they reach meets the far nodes
+            frame = self.frame.join(rels, met).join(end, F.col(f"{rel}_{far}") == F.col(f"{to}_id"))
+            return Match(self.graph, frame.filter(where) if where is not None else frame, to)
+        # where the pattern is optional, a relationship and its far node match as a unit
         reached = rels.join(end, F.col(f"{rel}_{far}") == F.col(f"{to}_id"))
         reached = reached.filter(where) if where is not None else reached
-        return Match(self.graph, self.frame.join(reached, F.col(f"{start or self.at}_id") == F.col(f"{rel}_{near}"), how), to)
+        return Match(self.graph, self.frame.join(reached, met, how), to)
 
     def out(self, rel: str, to: str, *labels: str, types: Sequence[str] = (), where: Column | None = None, start: str | None = None) -> Match:
         """(at)-[rel]->(to)"""
@@ -93,36 +98,37 @@ class Match:
         rels = rels.filter(F.col("type").isin(*types)) if types else rels
         return Match(self.graph, self.frame.join(rels.select(F.col("start").alias("_start")), F.col(f"{self.at}_id") == F.col("_start"), how), self.at)
 
-    def trails(self, to: str, *labels: str, least: int = 1, most: int = 3, types: Sequence[str] = (), directed: bool = False) -> Match:
-        """All trails of `least` to `most` relationships, none used twice; nodes may repeat. Adds path_nodes (names), path_rels
-        (type and provenance), path_ids and length, and the last node as `to`."""
+    def trails(self, to: str, *labels: str, least: int = 1, most: int = 3, types: Sequence[str] = (), directed: bool = False, names: bool = True) -> Match:
+        """All trails of `least` to `most` relationships, none used twice; nodes may repeat. Adds path_node_ids, path_rels
+        (type and provenance), path_ids and length, the last node as `to`, and path_nodes (names) where `names` asks
+        for them: the walk takes ids only, and the nodes are read once for the names, at its end."""
         if not 0 <= least <= most <= MOST_HOPS:
             raise ValueError(f"trails have up to {MOST_HOPS} relationships: {least} to {most}")
         rels = self.graph.rels if directed else self.graph.undirected()
         rels = rels.filter(F.col("type").isin(*types)) if types else rels
         step = rels.select(F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("id").alias("_r"), F.struct("type", *PROVENANCE).alias("_p"))
-        names = self.graph.nodes.select(F.col("id").alias("_n"), F.col("name").alias("_name"))
         kinds = "array<struct<type:string,evidence:string,source_file:string,chunk_id:string,confidence:double>>"
         now = self.frame.withColumns({
-            "path_nodes": F.array(f"{self.at}_name"),
+            "path_node_ids": F.array(f"{self.at}_id"),
             "path_rels": F.array().cast(kinds),
             "path_ids": F.array().cast("array<string>"),
             "_end": F.col(f"{self.at}_id"),
         })
         found = [now] if least == 0 else []
         for k in range(1, most + 1):
-            now = now.join(step, (F.col("_end") == F.col("_s")) & ~F.array_contains("path_ids", F.col("_r"))).join(names, F.col("_e") == F.col("_n"))
+            now = now.join(step, (F.col("_end") == F.col("_s")) & ~F.array_contains("path_ids", F.col("_r")))
             now = now.withColumns({
-                "path_nodes": F.concat("path_nodes", F.array("_name")),
+                "path_node_ids": F.array_append("path_node_ids", F.col("_e")),
                 "path_rels": F.concat("path_rels", F.array("_p")),
                 "path_ids": F.array_append("path_ids", F.col("_r")),
                 "_end": F.col("_e"),
-            }).drop("_s", "_e", "_r", "_p", "_n", "_name")
+            }).drop("_s", "_e", "_r", "_p")
             if k >= least:
                 found.append(now)
         every = reduce(DataFrame.unionByName, found).withColumn("length", F.size("path_ids"))
         ends = _nodes(self.graph, to, labels, None)
-        return Match(self.graph, every.join(ends, F.col("_end") == F.col(f"{to}_id")).drop("_end"), to)
+        every = every.join(ends, F.col("_end") == F.col(f"{to}_id")).drop("_end")
+        return Match(self.graph, _named(self.graph, every) if names else every, to)
 
     def returns(self, *columns: Column | str, rel: str | None = None, limit: int | None = None) -> DataFrame:
         """The columns, with the provenance of `rel` where they don't name it themselves. `limit` takes the first rows in
@@ -142,12 +148,24 @@ def _nodes(graph: Graph, var: str, labels: Sequence[str], where: Column | None)
     return nodes.filter(where) if where is not None else nodes
 
 
+def _named(graph: Graph, trails: DataFrame) -> DataFrame:
+    """trails with path_nodes, the names of path_node_ids, which are looked up once for each different path."""
+    paths = trails.select(F.col("path_node_ids").alias("_path")).distinct()
+    places = paths.select("_path", F.posexplode("_path").alias("_at", "_id"))
+    names = graph.nodes.select(F.col("id").alias("_n"), F.col("name").alias("_name"))
+    known = places.join(names, F.col("_id") == F.col("_n")).groupBy("_path").agg(F.sort_array(F.collect_list(F.struct("_at", "_name"))).alias("_names"))
+    joined = trails.join(known, F.col("path_node_ids") == F.col("_path"))
+    return joined.withColumn("path_nodes", F.transform("_names", lambda x: x["_name"])).drop("_path", "_names")
+
+
 def degrees(graph: Graph) -> DataFrame:
-    """(id, n_out, n_in, n_neighbors) of every node; loops count out and in, and the node as its own neighbour."""
-    ends = graph.rels.select(F.col("start").alias("id"), F.col("end").alias("other"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(
-        graph.rels.select("end", "start", F.lit(0), F.lit(1))
-    )
-    counted = ends.groupBy("id").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"), F.countDistinct("other").alias("n_neighbors"))
+    """(id, n_out, n_in, n_neighbors) of every node; loops count out and in, and the node as its own neighbour. The
+    relationships are read once."""
+    end = lambda a, b, out: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), F.lit(out).alias("o"), F.lit(1 - out).alias("i"))
+    ends = graph.rels.select(F.inline(F.array(end("start", "end", 1), end("end", "start", 0))))
+    # by pairs first: repeated relationships of two nodes shrink before they meet in one key
+    pairs = ends.groupBy("id", "other").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    counted = pairs.groupBy("id").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"), F.count("*").alias("n_neighbors"))
     zero = {"n_out": 0, "n_in": 0, "n_neighbors": 0}
     return graph.nodes.select("id").join(counted, "id", "left").fillna(zero)
 

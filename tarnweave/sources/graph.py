@@ -30,9 +30,11 @@ class Graph:
     rels: DataFrame
 
     def undirected(self) -> DataFrame:
-        """Each relationship in both directions; a loop once."""
-        back = self.rels.filter("start <> end").select(*[F.col({"start": "end", "end": "start"}.get(c, c)).alias(c) for c in REL])
-        return self.rels.select(*REL).unionByName(back)
+        """Each relationship in both directions; a loop once. One scan; filters on other columns than the ends still reach it."""
+        way = lambda a, b: F.struct(F.col(a).alias("start"), F.col(b).alias("end"))
+        both = F.when(F.col("start") == F.col("end"), F.array(way("start", "end"))).otherwise(F.array(way("start", "end"), way("end", "start")))
+        others = [c for c in REL if c not in ("start", "end")]
+        return self.rels.select(*others, F.inline(both)).select(*REL)
 
     def labels(self) -> DataFrame:
         """(label, n): the nodes of each label."""
