@@ -85,6 +85,18 @@ LABELLED = (
     (6, 0.0, 0, 0.0, 50, 0.0, 1, 1, 1, 1), (9, 0.0, 2, 0.0, 80, 0.1, 1, 1, 1, 1), (40, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0, 0), (12, 0.0, 3, 1.0, 50, 0.0, 0, 1, 0, 0),
     (3, 1.0, 4, 1.0, 3, 1.0, 0, 1, 0, 0), (20, 0.3, 30, 0.0, 5, 1.0, 0, 1, 0, 0), (5, 0.0, 0, 0.0, 6, 0.7, 0, 1, 1, 0), (70, 0.0, 90, 0.0, 4, 0.0, 0, 1, 0, 0),
     (80, 0.0, 60, 0.0, 90, 0.0, 1, 2, 0, 0), (6, 0.0, 100, 0.0, 40, 0.0, 1, 2, 1, 0), (20, 0.3, 0, 0.0, 15, 0.2, 1, 3, 0, 0), (8, 0.0, 3, 0.0, 70, 0.0, 0, 3, 1, 0),
+    (2, 0.0, 0, 0.0, 2, 0.0, 1, 0, 0, 1), (60, 0.0, 0, 0.0, 1, 0.0, 1, 0, 0, 1), (1, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1), (60, 0.0, 0, 0.0, 63, 0.0, 1, 0, 0, 1),
+    (12, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (30, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 1), (45, 0.0, 3, 1.0, 2, 1.0, 1, 0, 0, 1), (5, 0.0, 2, 1.0, 60, 0.0, 1, 0, 0, 1),
+    (80, 0.0, 90, 0.0, 3, 1.0, 1, 0, 0, 1), (15, 0.0, 40, 0.0, 2, 1.0, 1, 0, 0, 1), (8, 0.0, 60, 0.0, 4, 1.0, 1, 0, 0, 1), (3, 0.0, 80, 0.0, 1, 1.0, 1, 0, 0, 1),
+    (100, 0.1, 1, 1.0, 1, 1.0, 1, 0, 0, 1), (20, 0.0, 0, 0.0, 3, 0.9, 1, 0, 0, 1), (6, 0.0, 8, 0.7, 5, 0.8, 1, 0, 0, 1), (9, 0.0, 15, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (50, 0.3, 40, 0.2, 0, 0.0, 1, 0, 0, 1), (7, 0.3, 30, 0.0, 0, 0.0, 1, 0, 0, 1), (4, 1.0, 6, 0.0, 5, 1.0, 1, 0, 0, 1), (11, 0.0, 2, 1.0, 4, 1.0, 1, 0, 1, 1),
+    (70, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (60, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0, 1), (60, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1), (90, 0.0, 8, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (40, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 1), (55, 0.1, 4, 1.0, 0, 0.0, 0, 0, 0, 1), (35, 0.0, 50, 0.0, 4, 0.8, 0, 0, 0, 1), (110, 0.2, 2, 1.0, 3, 1.0, 0, 0, 0, 1),
+    (25, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 1), (20, 0.1, 35, 0.0, 45, 0.0, 0, 0, 0, 1), (30, 0.0, 0, 0.0, 25, 0.0, 0, 0, 0, 1), (45, 0.2, 50, 0.3, 0, 0.0, 0, 0, 0, 1),
+    (5, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0, 0), (2, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0), (3, 1.0, 70, 0.0, 0, 0.0, 0, 0, 0, 0), (4, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0),
+    (6, 0.5, 0, 0.0, 5, 1.0, 0, 0, 0, 0), (8, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0), (1, 0.0, 1, 1.0, 90, 0.0, 0, 0, 0, 0), (35, 1.0, 30, 1.0, 40, 1.0, 0, 0, 0, 0),
+    (60, 0.0, 30, 0.0, 0, 0.0, 1, 2, 0, 0), (50, 0.0, 0, 0.0, 50, 0.0, 0, 2, 0, 0), (90, 0.0, 40, 0.0, 0, 0.0, 1, 3, 0, 0), (5, 0.0, 0, 0.0, 0, 0.0, 0, 3, 0, 0),
+    (75, 0.1, 80, 0.0, 60, 0.0, 1, 2, 0, 0), (30, 0.0, 30, 0.0, 35, 0.0, 0, 2, 0, 0), (120, 0.0, 100, 0.0, 80, 0.0, 0, 3, 0, 0), (40, 0.2, 60, 0.0, 0, 0.0, 1, 3, 0, 0),
 )
 
 
