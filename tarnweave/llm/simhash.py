@@ -3,7 +3,8 @@
 A fingerprint's bit is 1 if it is set in over half of the document's shingle hashes. Fingerprints within `near` bits
 are linked: 64 bits are cut into so few segments that one of them differs by at most one bit, and every segment is
 indexed once for each of its bits, with that bit deleted. Equal variants meet in a bucket, where the distance over all
-64 bits is verified. A pair counts only in the first bucket that it shares, so no pair is met twice.
+64 bits is verified. A pair counts only in the first segment's variant that it shares. A full bucket of different
+fingerprints is cut again by the same rule, on the bits that are left, so buckets stay small however many there are.
 
 Equal fingerprints are one row from the start, and a bucket gives each row's link to the least one of its group
 there, never all pairs.
@@ -92,13 +93,48 @@ def first_key(diff: np.ndarray, masks: list[int]) -> np.ndarray:
     return out
 
 
+def deletions(bits: list[int], near: int) -> dict[int, int]:
+    """For each of these bits, the mask of its segment without it; of the segments, the fewest that can be, one has at
+    most one of `near` wrong bits."""
+    n = near // 2 + 1
+    cuts = [len(bits) * i // n for i in range(n + 1)]
+    parts = [bits[x:y] for x, y in zip(cuts, cuts[1:])]
+    return {b: sum(1 << x for x in part if x != b) for part in parts for b in part}
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def cut_again(rows: DataFrame, masks: list[int], near: int, most: int) -> DataFrame:
+    """rows (fp, bit, rest) with sub and more, which part the rows of full buckets: fingerprints that meet in a bucket
+    differ by at most `near` of the bits outside its segment, so these are cut into segments again, with a variant for
+    each deleted bit. Buckets whose rows mostly agree outside, too, are groups of near copies, which no cut would part:
+    they stay whole, as do those that aren't full (sub -1)."""
+    outside = [[b for b in range(64) if not m >> b & 1] for m in masks]
+    again = [deletions(own, near) for own in outside]
+    flat = F.array(*[F.lit(signed(own.get(b, 0))) for own in again for b in range(64)])
+    first = F.array(*[F.lit(signed(own[bits[0]])) for own, bits in zip(again, outside)])
+    nth = F.element_at(F.array(*[F.lit(next(i for i, m in enumerate(masks) if m >> b & 1)) for b in range(64)]), F.col("bit") + 1)
+    full = stash(rows.groupBy("bit", "rest").agg(F.count("*").alias("_n")).filter(F.col("_n") > most), "full")
+    inside = rows.join(full, ["bit", "rest"]).groupBy("bit", "rest", F.col("fp").bitwiseAND(F.element_at(first, nth + 1)).alias("_m")).agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
+    apart = stash(inside.groupBy("bit", "rest").agg(F.max("_k").alias("_k"), F.first("_n").alias("_n")).filter("8 * _k < _n").select("bit", "rest", F.lit(True).alias("_cut")), "apart")
+    variants = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.element_at(flat, nth * 64 + b + 1) != 0)
+    out = rows.join(apart, ["bit", "rest"], "left").withColumn("sub", F.explode(F.when(F.col("_cut"), variants).otherwise(F.array(F.lit(-1)))))
+    more = F.when(F.col("sub") < 0, F.lit(0).cast("long")).otherwise(F.col("fp").bitwiseAND(F.element_at(flat, nth * 64 + F.greatest("sub", F.lit(0)) + 1)))
+    return out.select("fp", "bit", "rest", "sub", more.alias("more"))
+
+
+BUCKET = ("bit", "rest", "sub", "more")
+
+
 def links(prints: DataFrame, near: int = 4, most: int = buckets.MOST) -> DataFrame:
     """(a, b): pairs of different values of `fp` that join what all links within `near` bits join."""
     masks = segments(near)
     whole = [next(m for m in masks if m >> b & 1) & ~(1 << b) for b in range(64)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in whole]
     rows = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
-    rows = rows.withColumn("rest", F.col("fp").bitwiseAND(F.element_at(F.array(*map(F.lit, signed)), F.col("bit") + 1)))
+    rows = rows.withColumn("rest", F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(signed(m)) for m in whole]), F.col("bit") + 1)))
+    rows = cut_again(rows, masks, near, most)
 
     def linked(fp: np.ndarray, bit: np.ndarray, chunk: np.ndarray, cross: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         diff = fp[a] ^ fp[b]
@@ -107,7 +143,7 @@ def links(prints: DataFrame, near: int = 4, most: int = buckets.MOST) -> DataFra
         return ok[first_key(diff[ok], masks) == bit[a[ok]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in buckets.whole_units(batches, ("bit", "rest")):
+        for table, at in buckets.whole_units(batches, BUCKET):
             fp = table.column("fp").to_numpy().view(np.uint64)
             bit, chunk = table.column("bit").to_numpy(), table.column("_c").to_numpy()
             cross = table.column("_i").to_numpy() != table.column("_j").to_numpy()
@@ -127,7 +163,7 @@ def links(prints: DataFrame, near: int = 4, most: int = buckets.MOST) -> DataFra
                 label[lo:hi] = lo + buckets.joined(hi - lo, close)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in buckets.stars(fp.view(np.int64), label)], ["a", "b"])
 
-    return buckets.units(rows, ("bit", "rest"), "fp", most).mapInArrow(run, "a long, b long")
+    return buckets.units(rows, BUCKET, "fp", most).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, near: int = 4, most: int = buckets.MOST) -> DataFrame:
