@@ -1,8 +1,9 @@
 """Distributed connected components, by alternating large and small stars.
 
 Edges shrink to stars around the smallest node of each component. Each round is two joins and aggregates with partial
-sums, so a hub's edges are never gathered in one task, and each round is written to the shared folder, which cuts the
-lineage. Rounds grow with the logarithm of the number of nodes.
+sums, and is written to the shared folder, which cuts the lineage. Rounds grow with the logarithm of the number of nodes.
+A join on a hub would bring all its edges to one task, so both sides of the joins have a salt: nodes of more than
+`HUB` edges are dealt to as many salts as they have times so many edges, the others have one.
 
 Cases: no edges give no rows; repeated edges, both directions and loops are fine; edges with a null end are dropped.
 """
@@ -15,21 +16,36 @@ from pyspark.sql import functions as F
 from tarnweave.llm.common import stash
 
 
+#: Edges of a node that one salt takes.
+HUB = 100_000
+
+
 def _toward_less(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _with_least(edges: DataFrame, on: str, least: DataFrame) -> DataFrame:
+    """edges with _m of the node in column `on`. least: _u, _m and _n, the node's number of edges."""
+    salts = F.ceil(F.col("_n") / HUB).cast("int")
+    hubs = least.filter(F.col("_n") > HUB).select(F.col("_u").alias("_h"), salts.alias("_s"))
+    dealt = edges.join(hubs, edges[on] == hubs["_h"], "left")
+    dealt = dealt.withColumn("_s", F.when(F.col("_s").isNull(), 0).otherwise(F.pmod(F.xxhash64("a", "b"), F.col("_s")))).drop("_h")
+    every = least.withColumn("_t", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop("_n")
+    return dealt.join(every, (F.col(on) == F.col("_u")) & (F.col("_s") == F.col("_t"))).drop("_s", "_t")
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the least neighbour."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m")).select("_u", F.least("_u", "_m").alias("_m"))
-    return edges.join(least, edges["b"] == least["_u"]).select("a", F.col("_m").alias("b")).distinct()
+    both = edges.select("a", "b", F.lit(0).alias("_own")).union(edges.select("b", "a", F.lit(1)))
+    least = both.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m"), F.sum("_own").alias("_n"))
+    least = least.filter("_n > 0").select("_u", F.least("_u", "_m").alias("_m"), "_n")
+    return _with_least(edges, "b", least).select("a", F.col("_m").alias("b")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
-    least = edges.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m"))
-    moved = edges.join(least, edges["a"] == least["_u"]).select(F.col("b").alias("a"), F.col("_m").alias("b")).filter("a <> b")
+    least = edges.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m"), F.count("*").alias("_n"))
+    moved = _with_least(edges, "a", least).select(F.col("b").alias("a"), F.col("_m").alias("b")).filter("a <> b")
     return moved.union(least.select("_u", "_m")).distinct()
 
 

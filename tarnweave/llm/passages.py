@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 from tarnweave.llm import buckets, common, sketch, winnow
 from tarnweave.llm.common import stash
 
-#: Text bytes of a vectorised step, which takes about a hundred times as much memory.
-BLOCK_BYTES = 1 << 19
+#: Text bytes of a vectorised step, which takes about a hundred times as much memory. A longer text takes several steps, of
+#: this many bytes or words.
+BLOCK_BYTES, PIECE_BYTES, PIECE_WORDS = 1 << 19, 1 << 19, 1 << 17
 #: Stretches that one step compares at least, unless the task has fewer: each has some hundred units.
 STEP = 20_000
 #: A null id comes after all others.
@@ -46,7 +47,8 @@ class Kind(NamedTuple):
 
 
 class Found(NamedTuple):
-    """The runs of one block of texts, with what is needed to go on."""
+    """The runs of one block of texts, or of a piece of a long one, with what is needed to go on. base: the first unit of
+    the piece, which the rolling hash counts from; runs count from the block's first. last: whether no piece follows."""
 
     rows: pa.RecordBatch
     data: np.ndarray
@@ -54,6 +56,9 @@ class Found(NamedTuple):
     starts: np.ndarray
     ends: np.ndarray
     text: np.ndarray
+    base: int
+    units: int
+    last: bool
     rolling: winnow.Rolling
     runs: winnow.Runs
     sig: np.ndarray
@@ -69,23 +74,36 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
 
 
 def found(batch: pa.RecordBatch, kind: Kind) -> Iterator[Found]:
-    """batch: _d (document's order), _t (hash of the text), _text."""
+    """batch: _d (document's order), _t (hash of the text), _text. A long text comes in pieces that overlap by all but one
+    unit of a window, so each window is in one piece."""
     for rows, data, at in common.blocks(iter([batch]), "_text", BLOCK_BYTES):
         if kind.words:
             starts, ends, text = common.word_bounds(data, at)
-            rolling = winnow.Rolling(winnow.word_units(data, starts, ends))
+            n = len(starts)
         else:
             starts = ends = np.zeros(0, np.int64)
             text = np.repeat(np.arange(rows.num_rows), np.diff(at))
-            rolling = winnow.Rolling(winnow.byte_units(data))
-        runs = winnow.runs(rolling, text, kind.width, kind.gram)
-        sig = rolling(runs.first, runs.first + runs.count + kind.width - 1)
-        doc = rows.column("_d").to_numpy()[runs.text]
-        place = np.zeros(len(doc), np.int64)
-        if kind.within:
-            base = np.searchsorted(text, np.arange(rows.num_rows)) if kind.words else at[:-1]
-            place = (rows.column("_t").to_numpy()[runs.text] >> 33 << 32 & (1 << 63) - 1) | (runs.first - base[runs.text])
-        yield Found(rows, data, at, starts, ends, text, rolling, runs, sig, doc, place)
+            n = len(data)
+        step = PIECE_WORDS if kind.words else PIECE_BYTES
+        if len(data) <= 2 * BLOCK_BYTES:
+            step = max(n, 1)
+        for base in range(0, max(n, 1), step):
+            upto = min(n, base + step + kind.width - 1)
+            if kind.words:
+                units = winnow.word_units(data, starts[base:upto], ends[base:upto])
+                others = winnow.other_units(units)
+            else:
+                units, others = winnow.byte_units(data[base:upto]), winnow.byte_units(data[base:upto], 1)
+            runs = winnow.runs(winnow.Rolling(units), text[base:upto], kind.width, kind.gram)
+            rolling = winnow.Rolling(others, 1)  # contents are told by other hashes than anchors
+            sig = rolling(runs.first, runs.first + runs.count + kind.width - 1)
+            runs = runs._replace(first=runs.first + base)
+            doc = rows.column("_d").to_numpy()[runs.text]
+            place = np.zeros(len(doc), np.int64)
+            if kind.within:
+                begin = np.searchsorted(text, np.arange(rows.num_rows)) if kind.words else at[:-1]
+                place = (rows.column("_t").to_numpy()[runs.text] >> 33 << 32 & (1 << 63) - 1) | (runs.first - begin[runs.text])
+            yield Found(rows, data, at, starts, ends, text, base, upto - base, base + step >= n, rolling, runs, sig, doc, place)
 
 
 def anchors(kind: Kind) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
@@ -177,7 +195,7 @@ def compared(rows: DataFrame, sizes: DataFrame, kind: Kind, most: int, resolve:
 
 
 def covered(f: Found, kind: Kind, may: np.ndarray, lists: pa.Array) -> np.ndarray:
-    """Which units of the block are in a window that is earlier elsewhere. lists: of each text, its earliest runs."""
+    """Which units of the piece are in a window that is earlier elsewhere. lists: of each text, its earliest runs."""
     on = np.flatnonzero(may)
     mark = (f.place if kind.within else f.sig.view(np.int64))[on]
     text = f.runs.text[on]
@@ -197,7 +215,7 @@ def covered(f: Found, kind: Kind, may: np.ndarray, lists: pa.Array) -> np.ndarra
             run = on[order[(left + step)[ok]]]
             starts.append(f.runs.first[run] + lo[part[ok]])
             ends.append(f.runs.first[run] + hi[part[ok]])
-    return winnow.covered(np.concatenate(starts), np.concatenate(ends) + kind.width - 1, len(f.text))
+    return winnow.covered(np.concatenate(starts) - f.base, np.concatenate(ends) + kind.width - 1 - f.base, f.units)
 
 
 def mark(
@@ -214,7 +232,7 @@ def mark(
     """df without the text, with the columns of `schema` that `finish` makes of each block and its covered units."""
     made = T.StructType.fromDDL(schema)
     new = made.fieldNames()
-    others = [c for c in df.columns if c != text and c.lower() not in [n.lower() for n in new]]
+    others = [c for c in df.columns if c.lower() != text.lower() and c.lower() not in [n.lower() for n in new]]
     d, t = F.coalesce(F.col(key).cast("long"), F.lit(LAST)), F.xxhash64(text)
     docs = df.select(d.alias("_d"), t.alias("_t"), F.col(text).alias("_text"))
     size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
@@ -232,10 +250,15 @@ def mark(
     joined = docs_with(df, d, t, text, others).join(lists, F.col("_d") == F.col("_own"), "left").drop("_own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = None
         for batch in batches:
             for f in found(batch, kind):
-                mask = covered(f, kind, may.value(f.runs.anchor), f.rows.column("_runs"))
+                mask = np.zeros(len(f.text), bool) if mask is None else mask
+                mask[f.base : f.base + f.units] |= covered(f, kind, may.value(f.runs.anchor), f.rows.column("_runs"))
+                if not f.last:
+                    continue
                 yield pa.RecordBatch.from_arrays([*(f.rows.column(f"_o{i}") for i in range(len(others))), *finish(f, mask)], [*(f"_o{i}" for i in range(len(others))), *new])
+                mask = None
 
     kept = [T.StructField(f"_o{i}", df.schema[c].dataType) for i, c in enumerate(others)]
     out = joined.mapInArrow(run, T.StructType([*kept, *made]))

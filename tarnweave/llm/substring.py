@@ -2,10 +2,11 @@
 
 A count-min sketch, merged from the partitions' sketches, overestimates how many documents have the anchor of a
 window; a second pass groups exactly only windows whose estimate is 2 or more. A window repeats only if its anchor
-does, so none is lost (see passages).
+does, so none is lost (see passages). What is counted are these anchors: the least 8-word hash of each window, once for
+a document however many of its windows have it.
 
-Cases: a null text has no words; texts shorter than a window keep all words; windows are compared by 128 bits of
-hashes; rows with one id are one document, so nothing is removed between them; null ids come last and are one
+Cases: a null text has no words; texts shorter than a window keep all words; windows are compared by 64 bits of
+their anchor and 64 bits of the whole, of rolling hashes with different bases over different hashes of the words; rows with one id are one document, so nothing is removed between them; null ids come last and are one
 document; ties keep both; an empty table gives an empty one; output columns replace input ones of the same name.
 """
 
@@ -25,7 +26,8 @@ def window_hashes(f: passages.Found, k: np.ndarray, width: int) -> pa.Array:
     n = f.runs.count[k]
     edges = np.append(0, np.cumsum(n))
     starts = np.arange(edges[-1]) - np.repeat(edges[:-1] - f.runs.first[k], n)
-    hashes = winnow.scatter(f.rolling(starts, starts + width) + np.uint64(0xA0761D6478BD642F))
+    starts -= f.base
+    hashes = f.rolling(starts, starts + width)
     return pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer((8 * edges).astype(np.int32)), pa.py_buffer(hashes.astype("<u8").tobytes())])
 
 

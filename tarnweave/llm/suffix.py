@@ -34,29 +34,47 @@ def ranked(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix_ranks(data: np.ndarray, depth: int, at: np.ndarray | None = None) -> np.ndarray:
-    """The rank of each suffix (of those in `at`) by its first `depth` bytes, by doubling; equal prefixes have equal
-    ranks, and what lies past the end is less than any byte."""
+def prefix_ranks(data: np.ndarray, depth: int, at: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The rank of each suffix (of those in `at`) by its first `depth` bytes, by doubling; equal prefixes have equal ranks, and
+    what lies past the end is less than any byte. With it, the ranks of all suffixes at the lengths on the way."""
     n = len(data)
     padded = np.append(data.astype(np.uint16) + 1, np.zeros(depth + 8, np.uint16)).astype(np.uint64)
     known = min(7, depth)
     keys = np.zeros(n, np.uint64)
     for k in range(known):  # nine bits for each byte
         keys = keys << np.uint64(9) | padded[k : n + k]
-    while True:
-        last = known == depth
-        if last and at is not None:
-            return ranked(keys if len(keys) == len(at) else keys[at])
-        rank = ranked(keys).astype(np.uint64) + np.uint64(1)
-        if last:
-            return (rank - np.uint64(1)).astype(np.uint32)
+    levels = []
+    while known < depth:
+        rank = ranked(keys) + np.uint32(1)
+        levels.append((known, np.append(rank, np.uint32(0))))
         step = min(known, depth - known)
-        far = np.append(rank, np.zeros(step, np.uint64))
+        far = np.append(rank, np.zeros(step, np.uint32)).astype(np.uint64)
         known += step
-        if known == depth and at is not None:
-            keys = rank[at] << np.uint64(32) | far[at + step]
-        else:
-            keys = rank << np.uint64(32) | far[step : n + step]
+        own = slice(None) if known < depth or at is None else at
+        keys = rank[own].astype(np.uint64) << np.uint64(32) | far[step : n + step][own]
+    if at is not None and not levels:
+        keys = keys[at]
+    return ranked(keys), levels
+
+
+def common_prefixes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """How many bytes the suffixes at a and b share, `depth` at most: by the ranks' lengths from the longest down, then by
+    bytes."""
+    n, out = len(data), np.zeros(len(a), np.int32)
+    for length, rank in reversed(levels):
+        while True:
+            same = (out + length <= depth) & (np.take(rank, np.minimum(a + out, n)) == np.take(rank, np.minimum(b + out, n)))
+            out[same] += length
+            if 2 * length < depth or not same.any():  # only the longest may fit more than once
+                break
+    padded = np.append(data.astype(np.int16), np.int16(-1))
+    for _ in range(min(7, depth)):
+        x, y = np.take(padded, np.minimum(a + out, n)), np.take(padded, np.minimum(b + out, n))
+        same = (out < depth) & (x == y) & (x >= 0)
+        if not same.any():
+            break
+        out[same] += 1
+    return out
 
 
 def shared_with_earlier(lcp: np.ndarray, position: np.ndarray) -> np.ndarray:
@@ -80,13 +98,16 @@ def shared_with_earlier(lcp: np.ndarray, position: np.ndarray) -> np.ndarray:
     return share
 
 
-def previous_factors(rank: np.ndarray, depth: int) -> np.ndarray:
-    """The longest-previous-factor array of suffixes given in order of position, by their ranks at `depth`: `depth` where
-    the first `depth` bytes occur earlier, otherwise 0 (shorter factors are not told)."""
+def previous_factors(data: np.ndarray, depth: int, at: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array of the suffixes at `at` (in order of position): how many of their first bytes, up to
+    `depth`, also begin at an earlier one of them."""
+    rank, levels = prefix_ranks(data, depth, at)
     order = np.argsort(rank, kind="stable")
-    sorted_rank = rank[order]
     lcp = np.zeros(len(order), np.int32)
-    lcp[1:] = np.where(sorted_rank[1:] == sorted_rank[:-1], depth, 0)
+    same = rank[order][1:] == rank[order][:-1]
+    lcp[1:][same] = depth
+    apart = np.flatnonzero(~same)
+    lcp[1 + apart] = common_prefixes(data, levels, at[order[apart]], at[order[apart + 1]], depth)
     before = shared_with_earlier(lcp, order)
     after = shared_with_earlier(np.append(0, lcp[:0:-1]).astype(np.int32), order[::-1])[::-1]
     out = np.empty(len(order), np.int32)
@@ -109,7 +130,7 @@ def earlier(table: pa.Table, width: int) -> np.ndarray:
     edges = np.append(0, np.cumsum(n + width - 1))[:-1]
     begins = np.append(0, np.cumsum(n))
     at = np.arange(begins[-1]) - np.repeat(begins[:-1] - edges, n)
-    return previous_factors(prefix_ranks(data, width, at), width) >= width
+    return previous_factors(data, width, at) >= width
 
 
 def finish(f: passages.Found, mask: np.ndarray) -> list[pa.Array]:

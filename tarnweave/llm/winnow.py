@@ -58,6 +58,11 @@ class Rolling:
 _BYTE = tuple(scatter(np.arange(256, dtype=np.uint64) + np.uint64(s)) for s in _SEED)
 
 
+def other_units(units: np.ndarray) -> np.ndarray:
+    """Other hashes for the same units, for a second rolling hash beside the first one."""
+    return scatter(units ^ np.uint64(_SEED[1]))
+
+
 def byte_units(data: np.ndarray, which: int = 0) -> np.ndarray:
     return _BYTE[which][data]
 

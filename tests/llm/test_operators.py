@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tarnweave.llm import bpe, buckets, embeddings, lmscore, mixing, quality, simhash, substring, suffix, urlfilter, webpage
+from tarnweave.llm import bpe, buckets, embeddings, lmscore, mixing, passages, quality, simhash, substring, suffix, urlfilter, webpage
 from tarnweave.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -188,15 +188,46 @@ def test_suffix_dedup(docs):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept_bytes)) for r in got.collect()) == want
 
 
-def test_previous_factors():
+@pytest.mark.parametrize("depth", [3, 7, 9, 14, 40, 100])
+def test_previous_factors(depth):
     rng = np.random.default_rng(3)
-    data = rng.integers(97, 99, 400).astype(np.uint8)
-    depth = 9
-    rank = suffix.prefix_ranks(data, depth)
-    keys = [bytes(data[k : k + depth]) for k in range(len(data))]
-    assert (np.argsort(rank, kind="stable") == sorted(range(len(keys)), key=lambda k: keys[k])).all()
-    lpf = suffix.previous_factors(rank, depth)
-    assert all((lpf[k] >= depth) == (keys[k] in keys[:k]) for k in range(len(keys)))
+    part = rng.integers(97, 99, 130).astype(np.uint8)
+    data = np.concatenate([rng.integers(97, 99, 300).astype(np.uint8), part, part[20:], np.full(150, 97, np.uint8), part[:60]])
+    for at in (np.arange(len(data)), np.flatnonzero(rng.random(len(data)) < 0.5)):
+        rank, _ = suffix.prefix_ranks(data, depth, at)
+        keys = [bytes(data[k : k + depth]) for k in at]
+        assert (np.argsort(rank, kind="stable") == sorted(range(len(keys)), key=lambda k: keys[k])).all()
+        shared = lambda x, y: next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+        want = [max((shared(keys[j], keys[k]) for j in range(k)), default=0) for k in range(len(keys))]
+        assert suffix.previous_factors(data, depth, at).tolist() == want
+
+
+def test_long_texts_in_pieces(spark, docs, monkeypatch):
+    """A text of 50 MB, and all texts in pieces of a few units."""
+    before = [sorted(map(repr, f(docs).collect())) for f in (substring.remove_repeats, suffix.remove_later_copies)]
+    monkeypatch.setattr(passages, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(passages, "PIECE_BYTES", 70)
+    monkeypatch.setattr(passages, "PIECE_WORDS", 9)
+    assert [sorted(map(repr, f(docs).collect())) for f in (substring.remove_repeats, suffix.remove_later_copies)] == before
+    monkeypatch.undo()
+    rng = np.random.default_rng(12)
+    long = " ".join(map(str, rng.integers(0, 10**9, 5_000_000)))
+    assert len(long) > 48_000_000
+    passage = " ".join(long.split(" ", 70)[:70])
+    df = spark.createDataFrame([(1, long), (2, f"own {passage} words"), (3, long[-400:])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(df).collect()}
+    assert got[1] == (5_000_000, 0) and got[2] == (72, 70)
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix.remove_later_copies(df).collect()}
+    assert got[1] == (len(long), 0) and got[2][1] == len(passage) + 1 and got[3] == (400, 400)
+
+
+def test_words_with_equal_polynomials_are_different(spark):
+    """Two words of two letters in a clever order, which a polynomial hash modulo a power of two takes for one."""
+    a = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    others = [f"w{k}" for k in range(49)]
+    df = spark.createDataFrame([(1, " ".join([a, *others])), (2, " ".join([b, *others])), (3, " ".join([a, *others]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 50}
 
 
 def test_mixing(docs):
@@ -212,6 +243,24 @@ def test_mixing(docs):
     assert sum(own[0].target for own in by.values()) == pytest.approx(1.5 * sum(r.size for r in rows))
 
 
+@pytest.mark.parametrize("weight", [0.1, None])
+def test_bins_of_the_mix_are_small_at_any_weight(spark, weight):
+    n = 20_000
+    w = F.greatest(F.coalesce(F.lit(weight).cast("double"), F.lit(mixing.LEAST_WEIGHT)), F.lit(mixing.LEAST_WEIGHT))
+    bins = spark.range(n).groupBy(mixing.bin_of(-F.log(mixing.draw(F.col("id"))) / w).alias("b")).count()
+    assert bins.agg(F.max("count")).first()[0] < 2 * (n * 0.37 * math.log(2) / mixing.BINS + 4 * math.sqrt(n * 0.37 * math.log(2) / mixing.BINS))
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    rows = mixing.mix(df, weight=F.lit(weight).cast("double"), share=0.5).collect()
+    assert abs(sum(r.taken for r in rows) - 3000) <= 3
+
+
+def test_a_hub_in_salts(spark, monkeypatch):
+    monkeypatch.setattr("tarnweave.llm.components.HUB", 7)
+    edges = [(100 + k, 3) for k in range(60)] + [(500, 100), (500, 501), (2, 150), (900, 901)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 2 for k in [3, *range(100, 160), 500, 501]} | {901: 900}
+
+
 def test_lm_scores(spark):
     rng = np.random.default_rng(4)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(60)]
