@@ -83,6 +83,19 @@ def read_only(query: Column) -> Column:
     return ~bare.rlike(r"(?i)\b(create|merge|delete|detach|set|remove|drop|load|foreach|call)\b")
 
 
+def filled(template: str, **values: Column) -> Column:
+    """The template with each {name} replaced; null values are empty."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def prompt(*parts: Column) -> Column:
+    """The parts that aren't blank, stripped, with an empty line between them. Never null."""
+    return F.concat_ws("\n\n", *[F.when(~blank(p), strip(p)) for p in parts])
+
+
 def joined(df: DataFrame, by: str, order: str, text: str, separator: str = " ") -> DataFrame:
     """(by, text): the texts of each group in their order. A group's texts are one value, so it must fit a row."""
     parts = F.sort_array(F.collect_list(F.struct(order, text)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnweave.sources.graph import NODE, PROVENANCE, REL, Graph
@@ -130,11 +130,20 @@ class Match:
         every = every.join(ends, F.col("_end") == F.col(f"{to}_id")).drop("_end")
         return Match(self.graph, _named(self.graph, every) if names else every, to)
 
-    def returns(self, *columns: Column | str, rel: str | None = None, limit: int | None = None) -> DataFrame:
-        """The columns, with the provenance of `rel` where they don't name it themselves. `limit` takes the first rows in
-        the order of all columns that can be ordered, so that it is the same rows each time."""
+    def shortest(self, start: str) -> Match:
+        """Of trails, those as short as any between their ends; start: the variable that they begin at."""
+        w = Window.partitionBy(f"{start}_id", f"{self.at}_id")
+        least = self.frame.withColumn("_least", F.min("length").over(w))
+        return Match(self.graph, least.filter(F.col("length") == F.col("_least")).drop("_least"), self.at)
+
+    def returns(self, *columns: Column | str, rel: str | Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+        """The columns, with the provenance of `rel` where they don't name it themselves; of several relationships, that of
+        each under its own name. `limit` takes the first rows in the order of all columns that can be ordered, so that it
+        is the same rows each time."""
         out = self.frame.select(*columns)
-        if rel is not None:
+        if rel is not None and not isinstance(rel, str):
+            out = self.frame.select(*columns, *[F.col(f"{r}_{c}") for r in rel for c in PROVENANCE if f"{r}_{c}" not in out.columns])
+        elif rel is not None:
             more = [F.col(f"{rel}_{c}").alias(c) for c in PROVENANCE if c not in out.columns]
             out = self.frame.select(*columns, *more)
         if limit is not None:

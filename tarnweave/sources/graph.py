@@ -50,6 +50,14 @@ class Graph:
         rels = self.rels.select(F.col("type").alias("kind"), F.map_keys("properties").alias("k"))
         return nodes.union(rels).select("kind", F.explode("k").alias("key")).groupBy("kind", "key").agg(F.count("*").alias("n"))
 
+    def require(self, labels: tuple[str, ...] = (), types: tuple[str, ...] = ()) -> None:
+        """Raises ValueError for labels or types that the graph doesn't have. Reads the catalogue, a row for each."""
+        for what, wanted, known in (("label", labels, self.labels), ("type", types, self.rel_types)):
+            if wanted:
+                missing = set(wanted) - {r[0] for r in known().collect()}
+                if missing:
+                    raise ValueError(f"unknown {what}: {', '.join(sorted(missing))}")
+
     def write(self, folder: str) -> None:
         """As Parquet: relationships by type, so that typed expansions read their folders only."""
         self.nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
