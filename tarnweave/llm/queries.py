@@ -114,13 +114,14 @@ parts AS (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM cut),
 votes AS (
-  SELECT *, ({" OR ".join(map(_term, urlfilter.STRICT))}) AS hard,
-         {" + ".join(f"{_term(t)}::INT" for t in urlfilter.SOFT)} AS soft
+  SELECT *, ({" OR ".join(_term(t) for t, kind, _ in urlfilter.VOCABULARY if kind == "strict")}) AS hard,
+         {" + ".join(f"{_term(t)}::INT" for t, kind, _ in urlfilter.VOCABULARY if kind == "soft")} AS soft,
+         {" + ".join(f"{w} * {_term(t)}::INT" for t, kind, w in urlfilter.VOCABULARY if kind == "soft")} AS heavy
   FROM parts)
 SELECT page_id, host, path,
        CASE {" ".join(f"WHEN {_FITS[i]} THEN '{URL_RULES[i][1] + URL_RULES[i][2]}'" for i in _LONGEST)} END AS rule,
        CASE {" ".join(f"WHEN {_FITS[i]} THEN '{URL_RULES[i][0]}'" for i in _LONGEST)}
-            WHEN hard OR soft >= {urlfilter.SOFT_NEEDED} THEN 'block' ELSE 'allow' END AS verdict
+            WHEN hard OR soft >= 2 AND heavy >= {urlfilter.SOFT_NEEDED} THEN 'block' ELSE 'allow' END AS verdict
 FROM votes""",
     "op7_mixing": """
 WITH RECURSIVE docs AS (

@@ -1,7 +1,8 @@
 """URL filters: path rules for hosts, then a weighted vocabulary.
 
-One Aho-Corasick automaton finds all terms in the lower-cased URL. A hit counts only between boundaries: the
-characters beside it are not ASCII letters or digits. One strict term, or `soft_needed` different soft terms, reject.
+The vocabulary is a table of terms, each strict or soft, with a weight. One Aho-Corasick automaton finds all terms in the
+lower-cased URL. A hit counts only between boundaries: the characters beside it are not ASCII letters or digits. One
+strict term rejects, and so do two or more different soft terms whose weights add up to `soft_needed`.
 
 Cases: a URL that is null or has no `://` has an empty host and path, fits no rule, and is judged by the vocabulary
 on what text it has (null: allow); a rule without a host fits nothing; ties between rules of one length go to the
@@ -10,6 +11,7 @@ longer host; repeated rows are judged each; an input column named like an output
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -21,70 +23,79 @@ from pyspark.sql import types as T
 
 from tarnweave.llm.common import lower_ascii
 
-#: One of these rejects.
-STRICT = ("casino", "casinos", "pills", "porn", "viagra", "xxx", "spam", "warez", "malware", "phishing")
-#: So many different ones of these reject.
-SOFT = ("free", "cheap", "bet", "bets", "win", "ads", "track", "tracker", "click", "deal", "deals", "farm", "loan", "loans", "poker", "bonus", "adult", "sexy")
-SOFT_NEEDED = 2
+#: Terms, their kinds and weights: words of gambling, pornography, shady medicine, malware and link spam, in several
+#: languages. Any table of this form can take its place.
+VOCABULARY = (
+    *((t, "strict", 1.0) for t in "casino casinos kasino pills porn porno pornos hentai viagra cialis xxx spam warez malware phishing keygen sexcam".split()),
+    *((t, "soft", 1.0) for t in "free cheap bet bets win ads track tracker click deal deals farm loan loans poker bonus adult sexy jackpot slots payday escort torrent".split()),
+    *((t, "soft", 1.0) for t in "kostenlos wetten kredit billig gratis gratuit gratuite pari paris-sportifs apuestas prestamo barato scommesse".split()),
+    *((t, "soft", 0.5) for t in "best top online now buy shop sale win24 offer offers angebot promo oferta soldes".split()),
+)
+SOFT_NEEDED = 2.0
 
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 @lru_cache(4)
-def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
+def automaton(terms: tuple[tuple[str, str, float], ...]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
-    for term in soft:
-        out.add_word(term, (term, False))
-    for term in strict:
-        out.add_word(term, (term, True))
+    for term, kind, weight in terms:
+        out.add_word(term, (term, kind, weight))
     if len(out):
         out.make_automaton()
     return out
 
 
-def hits(url: str, strict: tuple[str, ...], soft: tuple[str, ...]) -> tuple[set[str], set[str]]:
-    """The different strict and soft terms of a lower-cased URL."""
-    found: tuple[set[str], set[str]] = set(), set()
-    if strict or soft:
-        for last, (term, hard) in automaton(strict, soft).iter(url):
+def hits(url: str, terms: tuple[tuple[str, str, float], ...]) -> tuple[int, int, float]:
+    """How many different strict and soft terms a lower-cased URL has, and the weights of the soft ones."""
+    found = {}
+    if terms:
+        for last, (term, kind, weight) in automaton(terms).iter(url):
             first = last - len(term)
             if (first < 0 or url[first] not in _LETTERS) and (last + 1 == len(url) or url[last + 1] not in _LETTERS):
-                found[0 if hard else 1].add(term)
-    return found
-
-
-def vocabulary(df: DataFrame, url: str = "url", strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT) -> DataFrame:
-    """df with n_strict and n_soft (int): how many different terms of each kind the URL holds. Narrow: no shuffle."""
-    strict, soft = tuple(sorted({x.lower() for x in strict if x})), tuple(sorted({x.lower() for x in soft if x} - {x.lower() for x in strict}))
-    kept = [f for f in df.schema if f.name.lower() not in ("n_strict", "n_soft")]
+                found[term] = kind, weight
+    soft = [weight for kind, weight in found.values() if kind == "soft"]
+    return len(found) - len(soft), len(soft), math.fsum(soft)
+
+
+def vocabulary(df: DataFrame, url: str = "url", terms: Sequence[tuple[str, str, float]] = VOCABULARY) -> DataFrame:
+    """df with n_strict and n_soft (int), how many different terms of each kind the URL holds, and soft_weight. Of a term
+    that comes twice, a strict row counts, or the heavier one. Narrow: no shuffle."""
+    own: dict[str, tuple[str, float]] = {}
+    for term, kind, weight in terms:
+        if kind not in ("strict", "soft"):
+            raise ValueError(f"a term is strict or soft: {kind}")
+        if term:
+            own[term.lower()] = max(own.get(term.lower(), ("", -math.inf)), (kind, float(weight)))
+    table = tuple((t, *x) for t, x in sorted(own.items()))
+    made = T.StructType.fromDDL("n_strict int, n_soft int, soft_weight double")
+    kept = [f for f in df.schema if f.name.lower() not in made.names]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [hits(x, strict, soft) for x in batch.column("_url_lower").to_pylist()]
-            columns = [pa.array([len(x[k]) for x in got], pa.int32()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, "n_strict", "n_soft"])
+            got = [hits(x, table) for x in batch.column("_url_lower").to_pylist()]
+            columns = [pa.array([x[k] for x in got], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, *made.names])
 
     lower = F.coalesce(lower_ascii(F.col(url)), F.lit("")).alias("_url_lower")
-    schema = T.StructType([*kept, T.StructField("n_strict", T.IntegerType()), T.StructField("n_soft", T.IntegerType())])
-    return df.select(*[f"`{n}`" for n in names], lower).mapInArrow(run, schema)
+    return df.select(*[f"`{n}`" for n in names], lower).mapInArrow(run, T.StructType([*kept, *made.fields]))
 
 
 def judge(
     df: DataFrame,
     rules: Sequence[tuple[str, str, str]],
     url: str = "url",
-    strict: Sequence[str] = STRICT,
-    soft: Sequence[str] = SOFT,
-    soft_needed: int = SOFT_NEEDED,
+    terms: Sequence[tuple[str, str, float]] = VOCABULARY,
+    soft_needed: float = SOFT_NEEDED,
 ) -> DataFrame:
-    """df with host, path, rule, n_strict, n_soft and verdict. `rules`: (action, host, path), a short list of the
+    """df with host, path, rule, n_strict, n_soft, soft_weight and verdict. `rules`: (action, host, path), a short list of the
     caller's that becomes part of the plan; a rule fits its host and all subdomains where the path starts with its own."""
-    out = ("host", "path", "rule", "verdict", "n_strict", "n_soft")
+    out = ("host", "path", "rule", "verdict", "n_strict", "n_soft", "soft_weight")
     df = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in out])
     whole = F.coalesce(F.col(url), F.lit(""))
     rest = F.regexp_extract(whole, r"(?s)^.*?://(.*)$", 1)
-    df = vocabulary(df, url, strict, soft).withColumns({
+    df = vocabulary(df, url, terms).withColumns({
         "host": lower_ascii(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)),
         "path": F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1),
     })
@@ -97,5 +108,5 @@ def judge(
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule = F.when(fits, host + path) if rule is None else rule.when(fits, host + path)
         action = F.when(fits, kind) if action is None else action.when(fits, kind)
-    vote = F.when((F.col("n_strict") > 0) | (F.col("n_soft") >= soft_needed), "block").otherwise("allow")
+    vote = F.when((F.col("n_strict") > 0) | ((F.col("n_soft") >= 2) & (F.col("soft_weight") >= soft_needed)), "block").otherwise("allow")
     return df.withColumns({"rule": F.lit(None).cast("string") if rule is None else rule, "verdict": vote if action is None else action.otherwise(vote)})

@@ -113,6 +113,17 @@ def test_url_rules_and_terms(spark):
     assert got == {k: c[1:] for k, c in enumerate(cases)}
 
 
+def test_weighted_terms(spark):
+    terms = (("sure", "strict", 1.0), ("mild", "soft", 0.5), ("half", "soft", 1.5), ("much", "soft", 3.0), ("Sure", "soft", 9.0), ("", "strict", 1.0))
+    cases = {"http://a-sure.net": "block", "http://surely.net": "allow", "http://much.net": "allow", "http://mild.net/mild": "allow", "http://mild.net/half": "block", "http://x.net/mild_much": "block", "http://x.net/MILD.much9": "allow"}
+    df = spark.createDataFrame(list(cases.items()), "url string, want string").withColumn("Soft_Weight", F.lit("clash"))
+    assert all(r.verdict == r.want for r in urlfilter.judge(df, (), terms=terms).collect())
+    # hosts that no fixture has
+    more = {"http://gratis-kredit.example": "block", "http://hentai.example": "block", "http://top.example/best/online": "allow", "http://paris.example/online": "allow", "http://apuestas.example/bonus": "block"}
+    df = spark.createDataFrame(list(more.items()), "url string, want string")
+    assert all(r.verdict == r.want for r in urlfilter.judge(df, ()).collect())
+
+
 def brute_features(text):
     t = text or ""
     w = words(t)
