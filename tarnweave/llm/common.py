@@ -50,6 +50,17 @@ def clear_stashed(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, most: int = 100_000) -> DataFrame:
+    """left joined with right on `key`, which is unique in right; n: how many rows of left have it. Rows of a key with more
+    than `most` are dealt to salts, so no key is one task's; the keys that are so hot are few, one for `most` rows at most."""
+    salts = F.ceil(F.col(n) / most).cast("int")
+    hot = right.filter(F.col(n) > most).select(F.col(key).alias("_hot"), salts.alias("_salts"))
+    dealt = left.join(hot, left[key] == hot["_hot"], "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_salts")))).drop("_hot", "_salts")
+    every = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.greatest(salts, F.lit(1)) - 1).cast("long"))))
+    return dealt.withColumn("_salt", F.col("_salt").cast("long")).join(every, [key, "_salt"]).drop("_salt")
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null gives an empty one."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm import buckets
-from tarnweave.llm.common import stash
+from tarnweave.llm.common import join_hot, stash
 from tarnweave.llm.components import components
 
 #: A bucket of unrelated vectors has about so many rows.
@@ -150,16 +150,11 @@ def near_duplicates(
     named = (
         groups.join(roots, groups["_id"] == roots["node"], "left")
         .join(counts, groups["_id"] == counts["a"], "left")
-        .select("_mark", F.coalesce("component", "_id").alias("_root"), "_first", (F.col("_n") - 1 + F.coalesce("_more", F.lit(0))).alias("n_links"))
+        .select("_mark", F.coalesce("component", "_id").alias("_root"), "_first", (F.col("_n") - 1 + F.coalesce("_more", F.lit(0))).alias("n_links"), groups["_n"].alias("_rows"))
     )
     named = stash(named, "roots")
     least_key = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    named = named.join(least_key, "_root").select("_mark", "n_links", "component_id")
-    out = marked.join(named, "_mark", "left")
-    component = F.when(F.col("_mark").isNull(), F.col("_key")).otherwise(F.col("component_id"))
-    return out.select(
-        F.col("_key").alias(key),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("_key") == component, F.lit(False)).alias("kept"),
-    )
+    named = named.join(least_key, "_root").select("_mark", "n_links", "component_id", "_rows")
+    found = join_hot(marked.filter("_mark is not null"), named, "_mark", "_rows").select("_key", F.col("n_links").cast("long"), "component_id")
+    alone = marked.filter("_mark is null").select("_key", F.lit(0).cast("long").alias("n_links"), F.col("_key").alias("component_id"))
+    return found.union(alone).select(F.col("_key").alias(key), "n_links", "component_id", F.coalesce(F.col("_key") == F.col("component_id"), F.lit(False)).alias("kept"))

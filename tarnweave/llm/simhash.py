@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm import buckets
-from tarnweave.llm.common import stash
+from tarnweave.llm.common import join_hot, stash
 from tarnweave.llm.components import components
 
 SEED = 42
@@ -169,13 +169,13 @@ def links(prints: DataFrame, near: int = 4, most: int = buckets.MOST) -> DataFra
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, near: int = 4, most: int = buckets.MOST) -> DataFrame:
     """One row per document: key, fp and component_id, the least key that links lead to."""
     prints = stash(fingerprints(df, key, text, width), "fingerprints")
-    firsts = stash(prints.groupBy("fp").agg(F.min(key).alias("_first")), "prints")
+    firsts = stash(prints.groupBy("fp").agg(F.min(key).alias("_first"), F.count("*").alias("_n")), "prints")
     roots = components(links(firsts.select("fp"), near, most))
-    named = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", F.coalesce("component", "fp").alias("_root"), "_first")
+    named = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", F.coalesce("component", "fp").alias("_root"), "_first", "_n")
     named = stash(named, "roots")
     least = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    byprint = named.join(least, "_root").select("fp", "component_id")
-    return prints.join(byprint, "fp").select(key, "fp", "component_id")
+    byprint = named.join(least, "_root").select("fp", "component_id", "_n")
+    return join_hot(prints, byprint, "fp", "_n").select(key, "fp", "component_id")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, near: int = 7, most: int = buckets.MOST) -> DataFrame:

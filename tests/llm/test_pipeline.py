@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnweave.llm import embeddings, mixing, queries, quality, simhash, substring, suffix, urlfilter, webpage
+from tarnweave.llm import common, embeddings, mixing, queries, quality, simhash, substring, suffix, urlfilter, webpage
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -170,3 +170,10 @@ def test_clashing_columns(spark, docs, rows):
     assert sorted((repr(r.vec_id), r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(vectors).collect()) == [("2", 2, 2, True), ("2", 2, 2, True), ("3", 0, 3, True), ("None", 2, 2, False)]
     pages = spark.createDataFrame([(1, "http://a.com/x")] * 2, "page_id long, url string").withColumn("Verdict", F.lit("clash"))
     assert [r.verdict for r in urlfilter.judge(pages, queries.URL_RULES).collect()] == ["allow", "allow"]
+
+
+def test_hot_keys_in_salts(spark):
+    left = spark.createDataFrame([(7, k) for k in range(50)] + [(k, k) for k in range(5)] + [(None, 1)], "fp long, x int")
+    right = left.filter("fp is not null").groupBy("fp").agg(F.count("*").alias("n"), F.min("x").alias("m"))
+    got = common.join_hot(left, right, "fp", "n", most=3)
+    assert bag(got.select("fp", "x", "m").collect()) == bag([(7, k, 0) for k in range(50)] + [(k, k, k) for k in range(5)])
