@@ -24,6 +24,8 @@ from tarnweave.sources.graph import Graph
 
 ATTEMPTS, SECONDS, HISTORY = 3, 300.0, 6
 NOT_FOUND = "Nothing was found."
+#: What comes before the source in an expected answer (fixed value of the interchange format).
+SOURCE_WORD = "файл"
 Translator = Callable[[str, str, list[tuple[str, str]], str], DataFrame]
 
 
@@ -107,6 +109,6 @@ class Engine:
 def regression(cases: DataFrame, actual: DataFrame) -> DataFrame:
     """Expected and actual answers side by side: case_id, question, expected, actual, and whether the actual one has the
     expected source. Cases without an actual answer stay."""
-    source = F.regexp_extract("expected", r"файл: *(\S+)", 1)
+    source = F.regexp_extract("expected", rf"{SOURCE_WORD}: *(\S+)", 1)
     both = cases.join(actual.select("case_id", "actual", "seconds"), "case_id", "left")
     return both.withColumn("has_source", F.coalesce(F.contains(F.col("actual"), source) & (source != ""), F.lit(False)))

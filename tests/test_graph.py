@@ -69,6 +69,34 @@ def test_exists_missing_degrees(g):
     assert rows(degrees(g)) == sorted([("a", 2, 2, 3), ("b", 1, 1, 2), ("c", 1, 1, 2), ("d", 0, 0, 0), ("e", 0, 0, 0)])
 
 
+def test_provenance_of_several_relationships(g):
+    got = Match.nodes(g, "x", "X").out("r", "y", types=["P"]).out("q", "z").returns("x_id", "q_confidence", rel=("r", "q"))
+    assert got.columns == ["x_id", "q_confidence", "r_evidence", "r_source_file", "r_chunk_id", "r_confidence", "q_evidence", "q_source_file", "q_chunk_id"]
+    assert rows(got.select("x_id", "r_evidence", "q_confidence")) == [("a", "said", None), ("b", "", 0.8)]
+
+
+def test_shortest_trails(g):
+    got = Match.nodes(g, "x").trails("z", least=1, most=3, names=False).shortest("x")
+    assert "path_nodes" not in got.frame.columns
+    assert rows(got.returns("x_id", "z_id", "length")) == sorted([("a", "a", 1), ("a", "b", 1), ("a", "c", 1), ("b", "a", 1), ("c", "a", 1), ("b", "c", 1), ("c", "b", 1), *[("b", "b", 3)] * 2, *[("c", "c", 3)] * 2], key=repr)
+
+
+def test_unknown_labels_and_types(g):
+    g.require(("X", "Y"), ("P",))
+    for labels, types in ((("Z",), ()), ((), ("P", "R"))):
+        with pytest.raises(ValueError, match="unknown"):
+            g.require(labels, types)
+
+
+def test_joins_begin_at_the_bound_rows(g):
+    """The relationships meet the start's rows before the far nodes, and both directions come from one scan."""
+    frame = Match.nodes(g, "x", "X", where=F.col("x_name") == "Alpha").both("r", "y", "Y").frame
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join Inner" in line]
+    assert "r_end" in joins[0] and "r_start" in joins[1] and len(joins) == 2
+    assert plan.count("Generate inline") == 1 and "Union" not in plan
+
+
 def test_provenance_is_added(g):
     assert Match.nodes(g, "x").out("r", "y").returns("x_id", rel="r").columns == ["x_id", "evidence", "source_file", "chunk_id", "confidence"]
     assert rows(g.rels.select("id", low_confidence(F.col("confidence"), 0.75))) == [("1", True), ("2", False), ("3", False), ("4", False)]
