@@ -177,3 +177,15 @@ def test_hot_keys_in_salts(spark):
     right = left.filter("fp is not null").groupBy("fp").agg(F.count("*").alias("n"), F.min("x").alias("m"))
     got = common.join_hot(left, right, "fp", "n", most=3)
     assert bag(got.select("fp", "x", "m").collect()) == bag([(7, k, 0) for k in range(50)] + [(k, k, k) for k in range(5)])
+
+
+def test_the_shared_folder(spark, monkeypatch):
+    class Session:
+        def __init__(self, master, folder=None):
+            self.conf, self.sparkContext = {"spark.checkpoint.dir": folder} if folder else {}, type("Context", (), {"master": master})
+
+    assert common.shared_dir(Session("spark://x:7077", "hdfs://y/z")) == "hdfs://y/z"
+    assert common.shared_dir(Session("local[4]")).startswith("file://")
+    for master in ("spark://x:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.shared_dir(Session(master))
