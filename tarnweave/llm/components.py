@@ -3,7 +3,8 @@
 Edges shrink to stars around the smallest node of each component. Each round is two joins and aggregates with partial
 sums, and is written to the shared folder, which cuts the lineage. Rounds grow with the logarithm of the number of nodes.
 A join on a hub would bring all its edges to one task, so both sides of the joins have a salt: nodes of more than
-`HUB` edges are dealt to as many salts as they have times so many edges, the others have one.
+`HUB` edges are dealt to as many salts as they have times so many edges, the others have one. Where there are no more
+edges than that in all, there is no hub, and the joins go without.
 
 Cases: no edges give no rows; repeated edges, both directions and loops are fine; edges with a null end are dropped.
 """
@@ -25,7 +26,9 @@ def _toward_less(edges: DataFrame) -> DataFrame:
 
 
 def _with_least(edges: DataFrame, on: str, least: DataFrame) -> DataFrame:
-    """edges with _m of the node in column `on`. least: _u, _m and _n, the node's number of edges."""
+    """edges with _m of the node in column `on`. least: _u, _m and perhaps _n, the node's number of edges."""
+    if "_n" not in least.columns:
+        return edges.join(least, F.col(on) == F.col("_u"))
     salts = F.ceil(F.col("_n") / HUB).cast("int")
     hubs = least.filter(F.col("_n") > HUB).select(F.col("_u").alias("_h"), salts.alias("_s"))
     dealt = edges.join(hubs, edges[on] == hubs["_h"], "left")
@@ -34,17 +37,20 @@ def _with_least(edges: DataFrame, on: str, least: DataFrame) -> DataFrame:
     return dealt.join(every, (F.col(on) == F.col("_u")) & (F.col("_s") == F.col("_t"))).drop("_s", "_t")
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, hubs: bool) -> DataFrame:
     """Links every larger neighbour of a node to the least neighbour."""
     both = edges.select("a", "b", F.lit(0).alias("_own")).union(edges.select("b", "a", F.lit(1)))
-    least = both.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m"), F.sum("_own").alias("_n"))
-    least = least.filter("_n > 0").select("_u", F.least("_u", "_m").alias("_m"), "_n")
+    number = [F.sum("_own").alias("_n")] if hubs else []
+    least = both.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m"), *number)
+    least = least.withColumn("_m", F.least("_u", "_m"))
+    least = least.filter("_n > 0") if hubs else least
     return _with_least(edges, "b", least).select("a", F.col("_m").alias("b")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, hubs: bool) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
-    least = edges.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m"), F.count("*").alias("_n"))
+    number = [F.count("*").alias("_n")] if hubs else []
+    least = edges.groupBy(F.col("a").alias("_u")).agg(F.min("b").alias("_m"), *number)
     moved = _with_least(edges, "a", least).select(F.col("b").alias("a"), F.col("_m").alias("b")).filter("a <> b")
     return moved.union(least.select("_u", "_m")).distinct()
 
@@ -58,4 +64,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if new[0] == 0 or new == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = new
-        now = stash(small_star(large_star(now)), "edges")
+        hubs = new[0] > HUB
+        now = stash(small_star(large_star(now, hubs), hubs), "edges")
