@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -95,6 +96,17 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES
             first = last
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives the memory that was freed back to the system, which allocators don't do by themselves: a Python worker lives
+    on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:  # glibc has it
+        _TRIM(0)
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
