@@ -123,3 +123,15 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     over[cut] = True
     starts, ends = np.flatnonzero(change), np.flatnonzero(over)
     return starts, ends, np.searchsorted(at, starts, "right") - 1
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

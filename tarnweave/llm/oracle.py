@@ -104,4 +104,20 @@ SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(least(first, e.vec_id), e.v
 FROM embeddings e LEFT JOIN (SELECT a, count(*)::BIGINT AS n FROM links GROUP BY a) n ON e.vec_id = n.a
 LEFT JOIN (SELECT a, min(b) AS first FROM reach GROUP BY a) r ON e.vec_id = r.a"""
 
-ORACLE_SQL = {"op4_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRING, "op8_suffix_array": SUFFIX, "op10_embedding_dedup": EMBEDDINGS}
+FILL_IN_MIDDLE = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w FROM documents),
+cut AS (
+  SELECT doc_id, t, w, len(w)::BIGINT AS n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k, 8))::BIGINT) AS x FROM drawn),
+formed AS (
+  SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (
+  SELECT *, array_to_string(list_slice(w, 1, a), '') AS prefix, array_to_string(list_slice(w, a + 1, b), '') AS middle, array_to_string(list_slice(w, b + 1, n), '') AS suffix FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts"""
+
+ORACLE_SQL = {"op4_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRING, "op8_suffix_array": SUFFIX, "op10_embedding_dedup": EMBEDDINGS, "op12_fill_in_middle": FILL_IN_MIDDLE}

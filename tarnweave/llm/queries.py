@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.llm import bpe, embeddings, lmscore, mixing, oracle, quality, simhash, substring, suffix, urlfilter, webpage
+from tarnweave.llm import bpe, embeddings, fillmiddle, lmscore, mixing, oracle, quality, simhash, substring, suffix, urlfilter, webpage
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -80,6 +80,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fillmiddle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    restored = fillmiddle.restored(F.col("form"), F.col("output"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
@@ -91,6 +98,7 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_html_extraction": op9_html_extraction,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
