@@ -104,6 +104,26 @@ SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(least(first, e.vec_id), e.v
 FROM embeddings e LEFT JOIN (SELECT a, count(*)::BIGINT AS n FROM links GROUP BY a) n ON e.vec_id = n.a
 LEFT JOIN (SELECT a, min(b) AS first FROM reach GROUP BY a) r ON e.vec_id = r.a"""
 
+_PLAIN_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATION = f"""
+WITH tok AS (
+  SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
+items AS (
+  SELECT item_id, w, least(len(w), 10) AS k FROM (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+item_windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM items)),
+doc_windows AS (
+  SELECT doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM tok, (SELECT DISTINCT k FROM items))),
+found AS (
+  SELECT doc_id, d.k, i, item_id FROM doc_windows d JOIN item_windows t ON d.k = t.k AND d.g = t.g),
+hit AS (
+  SELECT doc_id, count(DISTINCT j)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM tok LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
 FILL_IN_MIDDLE = """
 WITH drawn AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
@@ -120,4 +140,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT EN
        sha256(t) AS restored_sha256
 FROM parts"""
 
-ORACLE_SQL = {"op4_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRING, "op8_suffix_array": SUFFIX, "op10_embedding_dedup": EMBEDDINGS, "op12_fill_in_middle": FILL_IN_MIDDLE}
+ORACLE_SQL = {"op4_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRING, "op8_suffix_array": SUFFIX, "op10_embedding_dedup": EMBEDDINGS, "op11_decontamination": DECONTAMINATION, "op12_fill_in_middle": FILL_IN_MIDDLE}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.llm import bpe, embeddings, fillmiddle, lmscore, mixing, oracle, quality, simhash, substring, suffix, urlfilter, webpage
+from tarnweave.llm import bpe, decontaminate, embeddings, fillmiddle, lmscore, mixing, oracle, quality, simhash, substring, suffix, urlfilter, webpage
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -80,6 +80,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.find(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fillmiddle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     sha = lambda x: F.sha2(x.cast("binary"), 256)
@@ -98,6 +105,7 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_html_extraction": op9_html_extraction,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_decontamination": op11_decontamination,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 
