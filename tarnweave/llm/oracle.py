@@ -140,4 +140,17 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT EN
        sha256(t) AS restored_sha256
 FROM parts"""
 
-ORACLE_SQL = {"op4_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRING, "op8_suffix_array": SUFFIX, "op10_embedding_dedup": EMBEDDINGS, "op11_decontamination": DECONTAMINATION, "op12_fill_in_middle": FILL_IN_MIDDLE}
+NEGATIVES = """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v::DOUBLE[], b.v::DOUBLE[])::BIGINT AS score
+  FROM good a JOIN good b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3"""
+
+ORACLE_SQL = {"op4_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRING, "op8_suffix_array": SUFFIX, "op10_embedding_dedup": EMBEDDINGS, "op11_decontamination": DECONTAMINATION, "op12_fill_in_middle": FILL_IN_MIDDLE, "op13_hard_negatives": NEGATIVES}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.llm import bpe, decontaminate, embeddings, fillmiddle, lmscore, mixing, oracle, quality, simhash, substring, suffix, urlfilter, webpage
+from tarnweave.llm import bpe, decontaminate, embeddings, fillmiddle, lmscore, mixing, negatives, oracle, quality, simhash, substring, suffix, urlfilter, webpage
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -94,6 +94,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored).alias("restored_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.mine(rows, anchors=F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
@@ -107,6 +113,7 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_decontamination": op11_decontamination,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
