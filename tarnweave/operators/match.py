@@ -14,7 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnweave.sources.adjacency import AdjacentGraph
 from tarnweave.sources.graph import NODE, PROVENANCE, REL, Graph
+from tarnweave.sources.shared import stash
 
 #: The deepest trail that is expanded: each step is a join with all relationships.
 MOST_HOPS = 4
@@ -53,9 +55,13 @@ class Match:
         return cls(graph, _nodes(graph, var, labels, where), var)
 
     def _expand(self, rels: DataFrame, rel: str, to: str, labels: Sequence[str], types: Sequence[str], where: Column | None, near: str, far: str, how: str, start: str | None) -> Match:
+        end = _nodes(self.graph, to, labels, None)
+        if how == "inner" and isinstance(self.graph, AdjacentGraph):
+            way = "in" if near == "end" else "out" if rels is self.graph.rels else "both"
+            frame = self.graph.meet(self.frame, f"{start or self.at}_id", rel, way, types).join(end, F.col(f"{rel}_{far}") == F.col(f"{to}_id"))
+            return Match(self.graph, frame.filter(where) if where is not None else frame, to)
         rels = rels.filter(F.col("type").isin(*types)) if types else rels
         rels = rels.select(*[F.col(c).alias(f"{rel}_{c}") for c in REL])
-        end = _nodes(self.graph, to, labels, None)
         met = F.col(f"{start or self.at}_id") == F.col(f"{rel}_{near}")
         if how == "inner":
             # the bound rows meet their relationships first, and only what they reach meets the far nodes
@@ -98,37 +104,34 @@ class Match:
         rels = rels.filter(F.col("type").isin(*types)) if types else rels
         return Match(self.graph, self.frame.join(rels.select(F.col("start").alias("_start")), F.col(f"{self.at}_id") == F.col("_start"), how), self.at)
 
-    def trails(self, to: str, *labels: str, least: int = 1, most: int = 3, types: Sequence[str] = (), directed: bool = False, names: bool = True) -> Match:
+    def trails(self, to: str, *labels: str, least: int = 1, most: int = 3, types: Sequence[str] = (), directed: bool = False, names: bool = True, where: Column | None = None) -> Match:
         """All trails of `least` to `most` relationships, none used twice; nodes may repeat. Adds path_node_ids, path_rels
         (type and provenance), path_ids and length, the last node as `to`, and path_nodes (names) where `names` asks
-        for them: the walk takes ids only, and the nodes are read once for the names, at its end."""
+        for them: the walk takes ids only, and the nodes are read once for the names, at its end.
+
+        Where the last node has labels or a condition (`where`, on its columns), halves of the trails are walked from both ends
+        and meet in the middle. Each half is written to the shared folder before the next hop, so no hop is walked twice."""
         if not 0 <= least <= most <= MOST_HOPS:
             raise ValueError(f"trails have up to {MOST_HOPS} relationships: {least} to {most}")
         rels = self.graph.rels if directed else self.graph.undirected()
         rels = rels.filter(F.col("type").isin(*types)) if types else rels
         step = rels.select(F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("id").alias("_r"), F.struct("type", *PROVENANCE).alias("_p"))
-        kinds = "array<struct<type:string,evidence:string,source_file:string,chunk_id:string,confidence:double>>"
-        now = self.frame.withColumns({
-            "path_node_ids": F.array(f"{self.at}_id"),
-            "path_rels": F.array().cast(kinds),
-            "path_ids": F.array().cast("array<string>"),
-            "_end": F.col(f"{self.at}_id"),
-        })
-        found = [now] if least == 0 else []
-        for k in range(1, most + 1):
-            now = now.join(step, (F.col("_end") == F.col("_s")) & ~F.array_contains("path_ids", F.col("_r")))
-            now = now.withColumns({
-                "path_node_ids": F.array_append("path_node_ids", F.col("_e")),
-                "path_rels": F.concat("path_rels", F.array("_p")),
-                "path_ids": F.array_append("path_ids", F.col("_r")),
-                "_end": F.col("_e"),
-            }).drop("_s", "_e", "_r", "_p")
-            if k >= least:
-                found.append(now)
-        every = reduce(DataFrame.unionByName, found).withColumn("length", F.size("path_ids"))
+        ends = _nodes(self.graph, to, labels, where)
+        first = _halves(self.frame, f"{self.at}_id")
+        every = _met(first, _halves(ends.select(f"{to}_id"), f"{to}_id").drop(f"{to}_id"), step, least, most) if labels or where is not None else _walked(first, step, least, most)
+        every = every.withColumn("length", F.size("path_ids")).join(ends, F.col("_end") == F.col(f"{to}_id")).drop("_end")
+        return Match(self.graph, _named(self.graph, stash(every, "trails")) if names else every, to)
+
+    def nearest(self, to: str, *labels: str, types: Sequence[str] = (), directed: bool = False, most: int | None = None) -> Match:
+        """Every other node that the bound one reaches, as `to`, with `length`, the relationships of the shortest paths there, and
+        n_paths, how many those are. No path is listed, so there is no bound on their lengths but `most`."""
+        from tarnweave.operators.shortest import reached
+
+        found = reached(self.graph, self.frame.select(F.col(f"{self.at}_id").alias("id")), types, directed, most)
         ends = _nodes(self.graph, to, labels, None)
-        every = every.join(ends, F.col("_end") == F.col(f"{to}_id")).drop("_end")
-        return Match(self.graph, _named(self.graph, every) if names else every, to)
+        found = found.select(F.col("start_id").alias("_start"), F.col("node_id").alias("_end"), "length", "n_paths")
+        frame = self.frame.join(found, F.col(f"{self.at}_id") == F.col("_start")).join(ends, F.col("_end") == F.col(f"{to}_id"))
+        return Match(self.graph, frame.drop("_start", "_end"), to)
 
     def shortest(self, start: str) -> Match:
         """Of trails, those as short as any between their ends; start: the variable that they begin at."""
@@ -157,6 +160,64 @@ def _nodes(graph: Graph, var: str, labels: Sequence[str], where: Column | None)
     return nodes.filter(where) if where is not None else nodes
 
 
+_PATH_RELS = "array<struct<type:string,evidence:string,source_file:string,chunk_id:string,confidence:double>>"
+
+
+def _halves(frame: DataFrame, key: str) -> DataFrame:
+    """The rows as trails without relationships."""
+    return frame.withColumns({"path_node_ids": F.array(key), "path_rels": F.array().cast(_PATH_RELS), "path_ids": F.array().cast("array<string>"), "_end": F.col(key)})
+
+
+def _hop(now: DataFrame, step: DataFrame, back: bool = False) -> DataFrame:
+    """One more relationship at the end of each trail, or before its start, which is then `_end`."""
+    near, far = ("_e", "_s") if back else ("_s", "_e")
+    now = now.join(step, (F.col("_end") == F.col(near)) & ~F.array_contains("path_ids", F.col("_r")))
+    put = (lambda a, x: F.concat(F.array(x), a)) if back else (lambda a, x: F.concat(a, F.array(x)))
+    return now.withColumns({
+        "path_node_ids": put(F.col("path_node_ids"), F.col(far)),
+        "path_rels": put(F.col("path_rels"), F.col("_p")),
+        "path_ids": put(F.col("path_ids"), F.col("_r")),
+        "_end": F.col(far),
+    }).drop("_s", "_e", "_r", "_p")
+
+
+def _walked(first: DataFrame, step: DataFrame, least: int, most: int) -> DataFrame:
+    """Trails of all lengths, wherever they end. Shorter ones are written, and the next hop reads them."""
+    found = [first] if least == 0 else []
+    for k in range(1, most + 1):
+        first = _hop(first, step)
+        first = stash(first, "hops") if k < most else first
+        found += [first] if k >= least else []
+    return reduce(DataFrame.unionByName, found)
+
+
+def _met(first: DataFrame, last: DataFrame, step: DataFrame, least: int, most: int) -> DataFrame:
+    """Trails of all lengths from the rows of `first` to those of `last`: of n relationships, the first half (rounded up) is
+    walked from the start and the others back from the end. The last hop from the start takes only relationships whose far end
+    lies on a half from the other side, so it leaves no hub toward nodes from which no end is near enough."""
+    backs = [last]
+    for _ in range(most // 2):
+        backs.append(stash(_hop(backs[-1], step, back=True), "backs"))
+    near = reduce(DataFrame.union, [b.select(F.col("_end").alias("_near")) for b in backs]).distinct()
+    fronts, longest = [first], (most + 1) // 2
+    for k in range(1, longest + 1):
+        own = step if k < longest else step.join(near, F.col("_e") == F.col("_near"), "left_semi")
+        fronts.append(stash(_hop(fronts[-1], own), "fronts"))
+    found = []
+    for n in range(least, most + 1):
+        front, back = fronts[(n + 1) // 2], backs[n // 2]
+        back = back.select(F.col("path_node_ids").alias("_n"), F.col("path_rels").alias("_p"), F.col("path_ids").alias("_i"), F.col("_end").alias("_middle"))
+        both = front.join(back, (F.col("_end") == F.col("_middle")) & ~F.arrays_overlap("path_ids", "_i"))
+        both = both.withColumns({
+            "path_node_ids": F.concat("path_node_ids", F.slice("_n", 2, F.greatest(F.size("_n") - 1, F.lit(0)))),
+            "path_rels": F.concat("path_rels", "_p"),
+            "path_ids": F.concat("path_ids", "_i"),
+            "_end": F.element_at("_n", -1),
+        })
+        found.append(both.drop("_n", "_p", "_i", "_middle"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _named(graph: Graph, trails: DataFrame) -> DataFrame:
     """trails with path_nodes, the names of path_node_ids, which are looked up once for each different path."""
     paths = trails.select(F.col("path_node_ids").alias("_path")).distinct()
