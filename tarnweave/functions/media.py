@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,17 +93,26 @@ def resampled(samples: Column, rate: int, to: int = LISTEN_RATE) -> Column:
 
 def schedule(df: DataFrame, by: str, order: str, arrived: str, duration: str, buffer: float = 0.05) -> DataFrame:
     """(by, order, begins): a chunk plays when the one before ends, or, if that has passed, `buffer` seconds after it
-    arrives. Each step needs the one before, so an utterance is one group."""
+    arrives. Each step needs the one before, so an utterance is played in one task; its chunks stream through in their order, and
+    only the last end is kept. A chunk without a time or length doesn't play."""
 
-    def play(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk, upto, begins = chunk.sort_values(order), -1.0, []
-        for at, length in zip(chunk[arrived], chunk[duration]):
-            begins.append(upto if upto >= at else at + buffer)
-            upto = begins[-1] + length
-        return chunk[[by, order]].assign(begins=begins)
+    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, upto = None, -1.0
+        for batch in batches:
+            begins = []
+            for key, at, length in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if (key,) != now:
+                    now, upto = (key,), -1.0
+                if at is None or length is None:
+                    begins.append(None)
+                    continue
+                begins.append(upto if upto >= at else at + buffer)
+                upto = begins[-1] + length
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(begins, pa.float64())], [by, order, "begins"])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(by, order, arrived, duration).groupBy(by).applyInPandas(play, f"{by} {kinds[by]}, {order} {kinds[order]}, begins double")
+    ordered = df.select(by, order, arrived, duration).repartition(by).sortWithinPartitions(by, order)
+    return ordered.mapInArrow(play, f"{by} {kinds[by]}, {order} {kinds[order]}, begins double")
 
 
 def decode_wav(files: DataFrame, content: str = "content") -> DataFrame:

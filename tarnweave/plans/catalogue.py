@@ -49,8 +49,9 @@ pairs AS (
 STRUCTURE = ("IN_REGION", "IN_NATION")
 
 
-def query(sql: str | None = None, graph: bool = True) -> Callable:
-    """Registers a query; `sql` follows the graph's definition."""
+def query(sql: str | None = None, graph: bool = True, over_graph: bool | None = None) -> Callable:
+    """Registers a query, of the graph or of the tables; `sql` follows the graph's definition if it is over the graph."""
+    prefix = GRAPH_SQL if (graph if over_graph is None else over_graph) else ""
 
     def add(f: Callable) -> Callable:
         if graph:
@@ -58,7 +59,7 @@ def query(sql: str | None = None, graph: bool = True) -> Callable:
         else:
             QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
         if sql is not None:
-            ORACLE_SQL[f.__name__] = (GRAPH_SQL if graph else "") + sql
+            ORACLE_SQL[f.__name__] = prefix + sql
         return f
 
     return add
@@ -192,9 +193,9 @@ def map_projection(g: Graph) -> DataFrame:
 
 @query(_TRAILS.format(start="true") + "SELECT length::INT AS length, count(*)::BIGINT AS n FROM trail JOIN nodes z ON z.id = last WHERE length >= 1 AND (list_contains(z.labels, 'Region') OR list_contains(z.labels, 'Nation')) GROUP BY length")
 def path_length_hist(g: Graph) -> DataFrame:
-    m = Match.nodes(g, "a", "Supplier").trails("z", least=1, most=3, types=STRUCTURE, names=False)
-    ends = m.where(has_labels(F.col("z_labels"), ["Region"]) | has_labels(F.col("z_labels"), ["Nation"]))
-    return ends.frame.groupBy("length").agg(F.count("*").alias("n"))
+    ends = has_labels(F.col("z_labels"), ["Region"]) | has_labels(F.col("z_labels"), ["Nation"])
+    m = Match.nodes(g, "a", "Supplier").trails("z", least=1, most=3, types=STRUCTURE, names=False, where=ends)
+    return m.frame.groupBy("length").agg(F.count("*").alias("n"))
 
 
 @query("SELECT a.s AS order_id, a.e AS part_id, count(*)::BIGINT AS n FROM rels a JOIN rels b ON a.e = b.e AND a.s = b.s AND a.id <> b.id WHERE a.type = 'CONTAINS' AND b.type = 'CONTAINS' GROUP BY ALL")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from tarnweave.functions import media, text
 from tarnweave.operators import history
 from tarnweave.operators.match import Match
+from tarnweave.operators.ranges import overlapping
+from tarnweave.operators.shortest import reached
 from tarnweave.plans.ask import regression
 from tarnweave.plans.catalogue import _PAIRS, _TRAILS, STRUCTURE, c, query
+from tarnweave.sources.adjacency import adjacent
 from tarnweave.sources.graph import Graph
 
 
@@ -73,11 +77,11 @@ def tone_sweep(table: Callable) -> DataFrame:
     return one.select(F.posexplode(media.sweep(400.0, 800.0, 0.1)).alias("i", "sample")).select("i", F.round("sample", 6).alias("sample"))
 
 
-@query("""SELECT vec_id, 43::INT AS n, round(list_sum(list_transform(range(43), lambda i: embedding[(floor(i * 1.5) + 1)::INT]::DOUBLE
-  + (embedding[(least(floor(i * 1.5) + 1, 63) + 1)::INT]::DOUBLE - embedding[(floor(i * 1.5) + 1)::INT]::DOUBLE) * (i * 1.5 - floor(i * 1.5)))), 5) AS total FROM embeddings WHERE len(embedding) = 64""", graph=False)
+@query("""SELECT vec_id, ceil(len(embedding) * 2 / 3)::INT AS n, round(list_sum(list_transform(range(ceil(len(embedding) * 2 / 3)::INT), lambda i: embedding[(floor(i * 1.5) + 1)::INT]::DOUBLE
+  + (embedding[(least(floor(i * 1.5) + 1, len(embedding) - 1) + 1)::INT]::DOUBLE - embedding[(floor(i * 1.5) + 1)::INT]::DOUBLE) * (i * 1.5 - floor(i * 1.5)))), 5) AS total FROM embeddings WHERE len(embedding) > 0""", graph=False)
 def resample(table: Callable) -> DataFrame:
     out = media.resampled(F.col("embedding"), 24_000)
-    return table("embeddings").filter(F.size("embedding") == 64).select("vec_id", F.size(out).alias("n"), F.round(F.aggregate(out, F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+    return table("embeddings").filter(F.size("embedding") > 0).select("vec_id", F.size(out).alias("n"), F.round(F.aggregate(out, F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
 @query("SELECT vec_id, len(embedding)::INT AS n, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[len(embedding)]::DOUBLE, 6) AS last FROM embeddings WHERE len(embedding) > 0", graph=False)
@@ -95,23 +99,23 @@ def byte_chunks(table: Callable) -> DataFrame:
     return docs.select("doc_id", F.size("cut").alias("n_chunks"), F.aggregate("cut", F.lit(0).cast("bigint"), lambda a, x: a + F.octet_length(x)).alias("n_bytes"))
 
 
-@query("SELECT doc_id, (strlen(text) // 2 * 2)::BIGINT AS n_bytes, md5(substr(hex(encode(text)), 1, 4 * (strlen(text) // 2))) AS hex_md5 FROM documents WHERE strlen(text) BETWEEN 1 AND 3000", graph=False)
+@query("SELECT doc_id, (strlen(text) // 2 * 2)::BIGINT AS n_bytes, md5(substr(hex(encode(text)), 1, 4 * (strlen(text) // 2))) AS hex_md5 FROM documents WHERE strlen(text) > 0", graph=False)
 def byte_carry(table: Callable) -> DataFrame:
     """Chunks of three bytes made into whole samples of two, the odd byte carried over; and put together again."""
-    docs = table("documents").filter(F.octet_length("text").between(1, 3000))
+    docs = table("documents").filter(F.octet_length("text") > 0)
     cut = docs.select("doc_id", F.posexplode(media.byte_chunks(F.col("text").cast("binary"), 3)).alias("seq", "pcm"))
     whole = text.joined(media.aligned(cut, "doc_id", "seq", "pcm").select("doc_id", "seq", F.hex("aligned").alias("hex")), "doc_id", "seq", "hex", "")
     return whole.select("doc_id", (F.length("hex") / 2).cast("bigint").alias("n_bytes"), F.md5(F.col("hex").cast("binary")).alias("hex_md5"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS came, least(value, 600) AS d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS came, value AS d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
 s AS (SELECT user_id, event_id, k, came + 0.05 AS begins, came + 0.05 + d AS upto FROM e WHERE k = 1
   UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN s.upto >= e.came THEN s.upto ELSE e.came + 0.05 END, CASE WHEN s.upto >= e.came THEN s.upto ELSE e.came + 0.05 END + e.d FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
 SELECT user_id, event_id, round(begins, 3) AS begins FROM s""", graph=False)
 def playback_schedule(table: Callable) -> DataFrame:
     """Events as chunks of sound that play one after the other."""
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    chunks = table("events").select("user_id", "event_id", at.alias("at"), F.least("value", F.lit(600.0)).alias("d"))
+    chunks = table("events").select("user_id", "event_id", at.alias("at"), F.col("value").alias("d"))
     return media.schedule(chunks, "user_id", "event_id", "at", "d").withColumn("begins", F.round("begins", 3))
 
 
@@ -160,13 +164,63 @@ def string_functions(g: Graph) -> DataFrame:
 @query(_TRAILS.format(start="true") + """, reached AS (SELECT first, last, types, length, rank() OVER (PARTITION BY first, last ORDER BY length) AS k FROM trail WHERE length >= 1 AND first <> last)
 SELECT first AS start_id, last AS end_id, min(length)::INT AS length, count(*)::BIGINT AS n FROM reached JOIN nodes z ON z.id = last AND (list_contains(z.labels, 'Region') OR list_contains(z.labels, 'Supplier')) WHERE k = 1 GROUP BY ALL""")
 def shortest_paths(g: Graph) -> DataFrame:
-    """The shortest trails between suppliers, and from them to regions: their length and number."""
-    m = Match.nodes(g, "a", "Supplier").trails("z", least=1, most=3, types=STRUCTURE, names=False).where(F.col("a_id") != F.col("z_id")).shortest("a")
+    """From suppliers to suppliers and regions, three relationships away at most: length and number of the shortest paths."""
+    m = Match.nodes(g, "a", "Supplier").nearest("z", types=STRUCTURE, most=3)
     ends = m.where(F.array_contains("z_labels", "Region") | F.array_contains("z_labels", "Supplier"))
-    return ends.frame.groupBy(c("a_id", "start_id"), c("z_id", "end_id")).agg(F.min("length").alias("length"), F.count("*").alias("n"))
-
-
-@query("SELECT a.name AS customer, b.id AS order_id, p.id AS part_id, r.source_file AS r_source_file, r.confidence AS r_confidence, r.evidence AS r_evidence, r.chunk_id AS r_chunk_id, q.source_file AS q_source_file, q.confidence AS q_confidence, q.evidence AS q_evidence, q.chunk_id AS q_chunk_id FROM nodes a JOIN rels r ON r.s = a.id AND r.type = 'PLACED' JOIN nodes b ON b.id = r.e JOIN rels q ON q.s = b.id AND q.type = 'CONTAINS' JOIN nodes p ON p.id = q.e WHERE q.confidence > 0.98")
+    return ends.returns(c("a_id", "start_id"), c("z_id", "end_id"), "length", F.col("n_paths").cast("bigint").alias("n"))
+
+
+@query("""SELECT 'r:' || r_regionkey AS start_id, 'c:' || c_custkey AS end_id, 2::INT AS length, 1::BIGINT AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
+UNION ALL SELECT 'r:' || r_regionkey, 'o:' || o_orderkey, 3, 1 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
+UNION ALL SELECT 'r:' || r_regionkey, 'p:' || l_partkey, 4, count(*)::BIGINT FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
+UNION ALL (WITH far AS (SELECT r_regionkey AS r, b.sup AS s, count(*)::BIGINT AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem a ON a.l_orderkey = o_orderkey JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey AS sup FROM lineitem) b ON b.p = a.l_partkey GROUP BY ALL)
+SELECT 'r:' || r, 's:' || s, 5, n FROM far)""", graph=False)
+def shortest_paths_far(table: Callable) -> DataFrame:
+    """Along the directions from regions down to suppliers, five relationships away, with the number of shortest paths: nations,
+    customers, orders, parts, suppliers. The graph has no such directions of its own, so the keys are turned round."""
+    parts = [
+        table("nation").selectExpr("concat('r:', n_regionkey) AS start", "concat('n:', n_nationkey) AS end"),
+        table("customer").selectExpr("concat('n:', c_nationkey)", "concat('c:', c_custkey)"),
+        table("orders").selectExpr("concat('c:', o_custkey)", "concat('o:', o_orderkey)"),
+        table("lineitem").selectExpr("concat('o:', l_orderkey)", "concat('p:', l_partkey)"),
+        table("lineitem").selectExpr("concat('p:', l_partkey)", "concat('s:', l_suppkey)").distinct(),
+    ]
+    rels = reduce(DataFrame.union, parts).selectExpr("uuid() AS id", "'DOWN' AS type", "start", "end")
+    regions = table("region").selectExpr("concat('r:', r_regionkey) AS id")
+    found = reached(Graph(regions, rels), regions, directed=True)
+    return found.filter("length > 1").select("start_id", F.col("node_id").alias("end_id"), "length", F.col("n_paths").cast("bigint").alias("n"))
+
+
+@query("""SELECT b.id AS part_id, r.type AS relation, a.labels[1] AS label, count(*)::BIGINT AS n, min(r.confidence) AS least FROM nodes b JOIN und r ON r.s = b.id JOIN nodes a ON a.id = r.e WHERE list_contains(b.labels, 'Part') GROUP BY ALL""")
+def adjacency_expand(g: Graph) -> DataFrame:
+    """What is next to each part, in both directions, through adjacency lists."""
+    m = Match.nodes(adjacent(g), "b", "Part").both("r", "a")
+    return m.frame.groupBy(c("b_id", "part_id"), c("r_type", "relation"), F.col("a_labels")[0].alias("label")).agg(F.count("*").alias("n"), F.min("r_confidence").alias("least"))
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal BETWEEN s_acctbal - 20 AND s_acctbal + 20 AND c_nationkey <> s_nationkey", graph=False)
+def theta_range(table: Callable) -> DataFrame:
+    """Customers and suppliers of other nations whose balances are at most 20 apart: patterns that nothing connects."""
+    left = table("customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    right = table("supplier").select("s_suppkey", "s_nationkey", (F.col("s_acctbal") - 20).alias("s_low"), (F.col("s_acctbal") + 20).alias("s_high"))
+    pairs = overlapping(left, right, ("c_acctbal", "c_acctbal"), ("s_low", "s_high"), condition=F.col("c_nationkey") != F.col("s_nationkey"))
+    return pairs.select("c_custkey", "s_suppkey")
+
+
+@query("""SELECT a.l_orderkey, a.l_partkey AS part, b.l_partkey AS other, count(*)::BIGINT AS n FROM (SELECT *, l_shipdate AS t FROM lineitem) a JOIN lineitem b ON a.l_orderkey <> b.l_orderkey AND a.l_suppkey = b.l_suppkey AND a.l_linestatus = 'O' AND b.l_linestatus = 'F'
+  AND abs(date_diff('day', a.l_shipdate::DATE, b.l_shipdate::DATE)) <= 3 AND a.l_quantity > 40 AND b.l_quantity > 40 GROUP BY ALL""", graph=False)
+def theta_dates(table: Callable) -> DataFrame:
+    """Large open lines, and large finished ones of the same supplier that were shipped three days apart at most."""
+    lines = table("lineitem").filter("l_quantity > 40").withColumn("day", F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")))
+    left = lines.filter("l_linestatus = 'O'").select("l_orderkey", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("s"), "day")
+    right = lines.filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("other"), F.col("l_suppkey").alias("t"), (F.col("day") - 3).alias("low"), (F.col("day") + 3).alias("high"))
+    pairs = overlapping(left, right, ("day", "day"), ("low", "high"), condition=(F.col("s") == F.col("t")) & (F.col("l_orderkey") != F.col("o")))
+    return pairs.groupBy("l_orderkey", "part", "other").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_name AS customer, 'o:' || o_orderkey AS order_id, 'p:' || l_partkey AS part_id, 'orders.parquet' AS r_source_file, 1.0::DOUBLE AS r_confidence, NULL AS r_evidence, NULL AS r_chunk_id,
+  'lineitem.parquet' AS q_source_file, round(1.0 - l_discount, 2) AS q_confidence, l_returnflag || l_linestatus AS q_evidence, l_suppkey::VARCHAR AS q_chunk_id
+FROM (SELECT * FROM lineitem WHERE round(1.0 - l_discount, 2) > 0.98) JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey""", over_graph=False)
 def provenance_of_every_rel(g: Graph) -> DataFrame:
     """Provenance of each relationship of a pattern, under its own name."""
     m = Match.nodes(g, "a", "Customer").out("r", "b", types=["PLACED"]).out("q", "p", types=["CONTAINS"], where=F.col("q_confidence") > 0.98)
