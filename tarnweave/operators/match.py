@@ -34,6 +34,11 @@ def name_like(var: str, pattern: str) -> Column:
     return matches(F.col(f"{var}_name"), pattern)
 
 
+def prop(var: str, name: str, kind: str = "string") -> Column:
+    """An open property of a variable, as a value of the type: null where it is absent or has no such value."""
+    return F.try_variant_get(F.col(f"{var}_properties"), f"$['{name}']", kind)
+
+
 def contains_word(var: str, word: str) -> Column:
     """Case-blind substring search: what the pattern (?i).*word.* finds, without a regular expression."""
     return F.contains(F.lower(F.col(f"{var}_name")), F.lit(word.lower()))
@@ -150,7 +155,7 @@ class Match:
             more = [F.col(f"{rel}_{c}").alias(c) for c in PROVENANCE if c not in out.columns]
             out = self.frame.select(*columns, *more)
         if limit is not None:
-            out = out.orderBy(*[c for c, kind in out.dtypes if not kind.startswith("map")]).limit(limit)
+            out = out.orderBy(*[c for c, kind in out.dtypes if "map<" not in kind and "variant" not in kind]).limit(limit)
         return out
 
 

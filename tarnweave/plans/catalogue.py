@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnweave.functions import media, text
 from tarnweave.operators import history
 from tarnweave.operators.match import Match, degrees, has_labels, low_confidence, matches, name_like
-from tarnweave.sources.graph import PROVENANCE, Graph, from_tables
+from tarnweave.sources.graph import NODE_OWN, PROVENANCE, REL_OWN, Graph, all_properties, from_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,14 +113,36 @@ def e6_optional_overview(g: Graph) -> DataFrame:
     return m.returns(c("a_id", "node_id"), c("a_name", "node"), c("r_type", "relation"), c("b_name", "connected"), c("r_evidence", "evidence"), c("r_source_file", "source_file"), c("r_chunk_id", "chunk_id"))
 
 
-@query("SELECT id, array_to_string(labels, ',') AS labels, name, community FROM nodes")
+def _json(**values: str) -> str:
+    """SQL for the object that an export has: names in their order, without nulls. A value in {} is text."""
+    parts = ["'\"" + k + "\":" + ("\"' || " + v[1:-1] + " || '\"'" if v[0] == "{" else "' || (" + v + ")::VARCHAR") for k, v in sorted(values.items())]
+    return "'{' || concat_ws(',', " + ", ".join(parts) + ") || '}'"
+
+
+_NODES = {
+    "region": ("r:", "r_regionkey", "Region", "r_name", "NULL::BIGINT", _json(name="{r_name}")),
+    "nation": ("n:", "n_nationkey", "Nation", "n_name", "n_regionkey", _json(name="{n_name}", leiden_community="n_regionkey")),
+    "customer": ("c:", "c_custkey", "Customer,Party", "c_name", "c_nationkey % 5", _json(name="{c_name}", leiden_community="c_nationkey % 5", segment="{c_mktsegment}", balance="c_acctbal")),
+    "supplier": ("s:", "s_suppkey", "Supplier,Party", "s_name", "s_nationkey % 5", _json(name="{s_name}", leiden_community="s_nationkey % 5", balance="s_acctbal")),
+    "part": ("p:", "p_partkey", "Part", "p_name", "p_size % 5", _json(name="{p_name}", leiden_community="p_size % 5", brand="{p_brand}", size="p_size")),
+    "orders": ("o:", "o_orderkey", "Order", "NULL", "NULL", _json(status="{o_orderstatus}", priority="{o_orderpriority}")),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' || {k} AS id, '{labels}' AS labels, {name} AS name, ({community})::BIGINT AS community, {json} AS properties FROM {t}" for t, (p, k, labels, name, community, json) in _NODES.items()), over_graph=False)
 def dump_nodes(g: Graph) -> DataFrame:
-    return g.nodes.select("id", F.array_join("labels", ",").alias("labels"), "name", c("leiden_community", "community"))
+    """With all properties, those that have columns too, as JSON."""
+    return g.nodes.select("id", F.array_join("labels", ",").alias("labels"), "name", c("leiden_community", "community"), F.to_json(all_properties(NODE_OWN)).alias("properties"))
+
 
+_REL_JSON = _json(evidence="{evidence}", source_file="{source_file}", chunk_id="{chunk_id}", confidence="confidence", run_id="{run_id}", quantity="l_quantity", line="l_linenumber", returned="CASE WHEN type = 'CONTAINS' THEN evidence LIKE 'R%' END")
+_LINE_ID = """'op:' || concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity::BIGINT, round(l_extendedprice * 100)::BIGINT, round(l_discount * 100)::BIGINT, round(l_tax * 100)::BIGINT, strftime(l_shipdate, '%Y%m%d'))"""
 
-@query("SELECT id, type, s AS start_id, e AS end_id, evidence, source_file, chunk_id, confidence, run_id FROM rels")
+
+@query(f", opened AS (SELECT {_LINE_ID} AS id, l_quantity, l_linenumber FROM lineitem) SELECT id, type, s AS start_id, e AS end_id, evidence, source_file, chunk_id, confidence, run_id, {_REL_JSON} AS properties FROM rels LEFT JOIN opened USING (id)")
 def dump_rels(g: Graph) -> DataFrame:
-    return g.rels.select("id", "type", c("start", "start_id"), c("end", "end_id"), "evidence", "source_file", "chunk_id", "confidence", "run_id")
+    own = F.to_json(all_properties(REL_OWN)).alias("properties")
+    return g.rels.select("id", "type", c("start", "start_id"), c("end", "end_id"), "evidence", "source_file", "chunk_id", "confidence", "run_id", own)
 
 
 @query("SELECT label, count(*)::BIGINT AS n FROM (SELECT unnest(labels) AS label FROM nodes) GROUP BY label")
@@ -136,11 +158,31 @@ def catalog_rel_types(g: Graph) -> DataFrame:
 @query("""SELECT kind, key, count(*)::BIGINT AS n FROM (
   SELECT 'Customer' AS kind, unnest(['segment', 'balance']) AS key FROM customer UNION ALL SELECT 'Party', unnest(['segment', 'balance']) FROM customer
   UNION ALL SELECT 'Supplier', 'balance' FROM supplier UNION ALL SELECT 'Party', 'balance' FROM supplier
-  UNION ALL SELECT 'Part', unnest(['brand', 'size']) FROM part UNION ALL SELECT 'Order', unnest(['status', 'priority']) FROM orders) GROUP BY ALL""")
+  UNION ALL SELECT 'Part', unnest(['brand', 'size']) FROM part UNION ALL SELECT 'Order', unnest(['status', 'priority']) FROM orders
+  UNION ALL SELECT 'CONTAINS', unnest(['quantity', 'line', 'returned']) FROM lineitem) GROUP BY ALL""")
 def catalog_property_keys(g: Graph) -> DataFrame:
     return g.property_keys()
 
 
+_TYPED = {
+    "Region": "name:STRING", "Nation": "name:STRING leiden_community:INTEGER", "Customer": "name:STRING leiden_community:INTEGER segment:STRING balance:FLOAT", "Supplier": "name:STRING leiden_community:INTEGER balance:FLOAT",
+    "Part": "name:STRING leiden_community:INTEGER brand:STRING size:INTEGER", "Order": "status:STRING priority:STRING", "CONTAINS": "quantity:FLOAT line:INTEGER returned:BOOLEAN",
+}
+_TYPED_ROWS = ", ".join(f"('{kind}', '{x.split(':')[0]}', '{x.split(':')[1]}')" for kind, all_of in _TYPED.items() for x in all_of.split())
+_COLUMNS = {"evidence": "STRING", "source_file": "STRING", "chunk_id": "STRING", "confidence": "FLOAT", "run_id": "STRING"}
+
+
+@query(f""", kinds AS (SELECT unnest(labels) AS kind, name, community FROM nodes),
+named AS (SELECT * FROM (VALUES {_TYPED_ROWS}) v(kind, key, type) UNION ALL SELECT 'Party', key, type FROM (VALUES {_TYPED_ROWS}) v(kind, key, type) WHERE kind = 'Supplier')
+SELECT kind, key, type, count(*)::BIGINT AS n FROM kinds JOIN named USING (kind) GROUP BY ALL
+UNION ALL SELECT 'Party', 'segment', 'STRING', count(*)::BIGINT FROM customer
+UNION ALL SELECT n.kind, n.key, n.type, count(*)::BIGINT FROM rels r JOIN named n ON n.kind = r.type GROUP BY ALL
+{" ".join(f"UNION ALL SELECT type, '{k}', '{t}', count({k})::BIGINT FROM rels GROUP BY type HAVING count({k}) > 0" for k, t in _COLUMNS.items())}""")
+def catalog_property_types(g: Graph) -> DataFrame:
+    """All properties of each label and relationship type, with the types of their values."""
+    return g.property_types()
+
+
 @query("SELECT b.labels[1] AS label, r.type AS relation, count(*)::BIGINT AS n FROM nodes a JOIN rels r ON r.s = a.id JOIN nodes b ON r.e = b.id GROUP BY ALL")
 def directed_expand(g: Graph) -> DataFrame:
     return Match.nodes(g, "a").out("r", "b").frame.groupBy(F.col("b_labels")[0].alias("label"), c("r_type", "relation")).agg(F.count("*").alias("n"))

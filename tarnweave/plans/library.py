@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions import media, text
 from tarnweave.operators import history
-from tarnweave.operators.match import Match
+from tarnweave.operators.match import Match, prop
 from tarnweave.operators.ranges import overlapping
 from tarnweave.operators.shortest import reached
 from tarnweave.plans.ask import regression
@@ -130,9 +130,9 @@ def expected_and_actual(table: Callable) -> DataFrame:
 
 @query("SELECT a.id AS customer_id, u.c_mktsegment AS segment, u.c_acctbal > 5000 AS rich FROM nodes a JOIN customer u ON a.id = 'c:' || u.c_custkey WHERE u.c_mktsegment = 'BUILDING'")
 def property_access(g: Graph) -> DataFrame:
-    """Properties out of the map: one compared as text, one as a number, which is null where it is none."""
-    p = F.col("a_properties")
-    return Match.nodes(g, "a", "Customer", where=p["segment"] == "BUILDING").returns(c("a_id", "customer_id"), p["segment"].alias("segment"), (p["balance"].try_cast("double") > 5000).alias("rich"))
+    """Open properties: one compared as text, one as a number, which is null where it is none."""
+    m = Match.nodes(g, "a", "Customer", where=prop("a", "segment") == "BUILDING")
+    return m.returns(c("a_id", "customer_id"), prop("a", "segment").alias("segment"), (prop("a", "balance", "double") > 5000).alias("rich"))
 
 
 @query("SELECT evidence, count(*)::BIGINT AS n, round(sum(confidence), 4) AS total, round(avg(confidence), 6) AS mean, round(stddev_samp(confidence), 6) AS spread, round(stddev_pop(confidence), 6) AS spread_all, round(quantile_cont(confidence, 0.5), 6) AS middle, quantile_disc(confidence, 0.9) AS high FROM rels WHERE type = 'CONTAINS' GROUP BY evidence")

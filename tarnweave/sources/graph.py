@@ -1,9 +1,10 @@
 """The property graph: two DataFrames, and where they come from and go to.
 
-nodes: id, labels, name, leiden_community, properties (map of strings)
-rels:  id, type, start, end, evidence, source_file, chunk_id, confidence, run_id, properties (map of strings)
+nodes: id, labels, name, leiden_community, properties
+rels:  id, type, start, end, evidence, source_file, chunk_id, confidence, run_id, properties
 
-Ids are strings. A node may have several labels; two nodes may have any number of relationships, and a relationship
+Properties are open: a VARIANT object, whose values keep their types (numbers, booleans, texts, lists, objects). Those that have
+a column of their own are kept there; exports put all together. A null property is none. Ids are strings. A node may have several labels; two nodes may have any number of relationships, and a relationship
 may begin and end at one node.
 """
 
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 NODE = ("id", "labels", "name", "leiden_community", "properties")
 REL = ("id", "type", "start", "end", "evidence", "source_file", "chunk_id", "confidence", "run_id", "properties")
 PROVENANCE = ("evidence", "source_file", "chunk_id", "confidence")
-DUMP_SCHEMA = (
-    "nodes array<struct<id: string, labels: array<string>, properties: map<string,string>>>, "
-    "relationships array<struct<id: string, type: string, properties: map<string,string>, start: string, end: string>>"
-)
+NODE_DUMP = "id string, labels array<string>, properties variant"
+REL_DUMP = "id string, type string, properties variant, start string, end string"
+#: Columns that hold properties, with their types.
+NODE_OWN = {"name": "string", "leiden_community": "bigint"}
+REL_OWN = {"evidence": "string", "source_file": "string", "chunk_id": "string", "confidence": "double", "run_id": "string"}
+#: Families of value types, by how their names begin.
+FAMILIES = {"ARRAY": "LIST", "OBJECT": "MAP", "BIGINT": "INTEGER", "DECIMAL": "FLOAT", "DOUBLE": "FLOAT", "FLOAT": "FLOAT", "BOOLEAN": "BOOLEAN", "STRING": "STRING"}
 
 
 @dataclass(frozen=True)
@@ -45,10 +49,30 @@ class Graph:
         return self.rels.groupBy("type").agg(F.count("*").alias("n"), F.count("evidence").alias("n_evidence"), F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"))
 
     def property_keys(self) -> DataFrame:
-        """(kind, key, n): the property names in use, of nodes by label and of relationships by type."""
-        nodes = self.nodes.select(F.explode("labels").alias("kind"), F.map_keys("properties").alias("k"))
-        rels = self.rels.select(F.col("type").alias("kind"), F.map_keys("properties").alias("k"))
-        return nodes.union(rels).select("kind", F.explode("k").alias("key")).groupBy("kind", "key").agg(F.count("*").alias("n"))
+        """(kind, key, n): the names of open properties in use, of nodes by label and of relationships by type."""
+        return self._open().groupBy("kind", "key").agg(F.count("*").alias("n"))
+
+    def property_types(self) -> DataFrame:
+        """(kind, key, type, n): all properties in use, open ones and those with columns, by the types of their values: STRING,
+        INTEGER, FLOAT, BOOLEAN, LIST, MAP, or the value's own type where it is another."""
+        kind = F.schema_of_variant("value")
+        family = F.when(F.lit(False), kind)
+        for begins, name in FAMILIES.items():
+            family = family.when(kind.startswith(begins), name)
+        every = self._open(all_properties(NODE_OWN), all_properties(REL_OWN))
+        return every.select("kind", "key", family.otherwise(kind).alias("type")).groupBy("kind", "key", "type").agg(F.count("*").alias("n"))
+
+    def property_schemas(self) -> DataFrame:
+        """(kind, schema): what all open properties of a label or type have in common, as an OBJECT type."""
+        nodes = self.nodes.select(F.explode("labels").alias("kind"), "properties")
+        every = nodes.union(self.rels.select("type", "properties"))
+        return every.groupBy("kind").agg(F.schema_of_variant_agg("properties").alias("schema"))
+
+    def _open(self, of_node: Column | None = None, of_rel: Column | None = None) -> DataFrame:
+        """(kind, key, value) of properties that are not null."""
+        nodes = self.nodes.select(F.explode("labels").alias("kind"), as_map(of_node if of_node is not None else F.col("properties")).alias("p"))
+        rels = self.rels.select(F.col("type").alias("kind"), as_map(of_rel if of_rel is not None else F.col("properties")).alias("p"))
+        return nodes.union(rels).select("kind", F.explode("p").alias("key", "value"))
 
     def require(self, labels: tuple[str, ...] = (), types: tuple[str, ...] = ()) -> None:
         """Raises ValueError for labels or types that the graph doesn't have. Reads the catalogue, a row for each."""
@@ -65,11 +89,10 @@ class Graph:
 
     def dump_nodes(self) -> DataFrame:
         """(value): a JSON object for each node, for a text sink of any size."""
-        return self.nodes.select(F.to_json(F.struct("id", "labels", _all_properties(("name", "leiden_community")).alias("properties"))).alias("value"))
+        return self.nodes.select(F.to_json(F.struct("id", "labels", all_properties(NODE_OWN).alias("properties"))).alias("value"))
 
     def dump_rels(self) -> DataFrame:
-        own = _all_properties(("evidence", "source_file", "chunk_id", "confidence", "run_id"))
-        return self.rels.select(F.to_json(F.struct("id", "type", own.alias("properties"), "start", "end")).alias("value"))
+        return self.rels.select(F.to_json(F.struct("id", "type", all_properties(REL_OWN).alias("properties"), "start", "end")).alias("value"))
 
     def dump(self, folder: str) -> None:
         """JSON lines, nodes and relationships apart: the whole graph never meets in one task."""
@@ -77,55 +100,57 @@ class Graph:
         self.dump_rels().write.mode("overwrite").text(f"{folder}/rels")
 
 
-def _all_properties(names: tuple[str, ...]) -> Column:
-    """The map with the named columns put back; absent ones are left out."""
-    own = F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string"))]), lambda _, v: v.isNotNull())
-    return F.map_concat(F.coalesce(F.col("properties"), F.create_map().cast("map<string,string>")), own)
+def as_map(properties: Column) -> Column:
+    """The properties that are not null, by name."""
+    return F.map_filter(F.try_variant_get(properties, "$", "map<string,variant>"), lambda _, v: v.isNotNull() & ~F.is_variant_null(v))
 
 
-def read(spark: SparkSession, folder: str) -> Graph:
-    return Graph(spark.read.parquet(f"{folder}/nodes").select(*NODE), spark.read.parquet(f"{folder}/rels").select(*REL))
+def all_properties(own: dict[str, str]) -> Column:
+    """The open properties and those of the columns, as one object. A column stands before an open property of its name."""
+    columns = F.create_map(*[x for n in own for x in (F.lit(n), F.col(n).cast("variant"))])
+    rest = F.coalesce(F.map_filter(as_map(F.col("properties")), lambda k, _: ~k.isin(*own)), F.create_map().cast("map<string,variant>"))
+    return F.to_variant_object(F.map_concat(rest, F.map_filter(columns, lambda _, v: v.isNotNull())))
+
 
+def open_object(properties: Column) -> Column:
+    """Properties given as a struct or as a map of one type, as an object."""
+    return F.to_variant_object(properties)
 
-def _nodes_of(raw: DataFrame) -> DataFrame:
-    p = F.col("properties")
-    rest = F.map_filter(p, lambda k, _: ~k.isin("name", "leiden_community"))
-    return raw.select("id", "labels", p["name"].alias("name"), p["leiden_community"].try_cast("bigint").alias("leiden_community"), rest.alias("properties"))
 
+def _typed(raw: DataFrame, own: dict[str, str], others: tuple[str, ...]) -> DataFrame:
+    """What all_properties() put together, apart again."""
+    named = [F.try_variant_get("properties", f"$.{n}", kind).alias(n) for n, kind in own.items()]
+    rest = F.coalesce(F.map_filter(as_map(F.col("properties")), lambda k, _: ~k.isin(*own)), F.create_map().cast("map<string,variant>"))
+    return raw.select(*others, *named, F.to_variant_object(rest).alias("properties"))
 
-def _rels_of(raw: DataFrame) -> DataFrame:
-    p = F.col("properties")
-    named = ("evidence", "source_file", "chunk_id", "confidence", "run_id")
-    rest = F.map_filter(p, lambda k, _: ~k.isin(*named))
-    return raw.select("id", "type", "start", "end", *[p[n].try_cast("double" if n == "confidence" else "string").alias(n) for n in named], rest.alias("properties"))
+
+def read(spark: SparkSession, folder: str) -> Graph:
+    return Graph(spark.read.parquet(f"{folder}/nodes").select(*NODE), spark.read.parquet(f"{folder}/rels").select(*REL))
 
 
 def load_dump(spark: SparkSession, folder: str) -> Graph:
     """What dump() wrote."""
-    nodes = spark.read.schema("id string, labels array<string>, properties map<string,string>").json(f"{folder}/nodes")
-    rels = spark.read.schema("id string, type string, properties map<string,string>, start string, end string").json(f"{folder}/rels")
-    return Graph(_nodes_of(nodes), _rels_of(rels))
+    return loaded(spark.read.schema(NODE_DUMP).json(f"{folder}/nodes"), spark.read.schema(REL_DUMP).json(f"{folder}/rels"))
 
 
-def load_document(spark: SparkSession, path: str) -> Graph:
-    """One JSON document {"nodes": [...], "relationships": [...]} in a file. It is read by one task, so it suits files
-    of a task's size; larger graphs come as JSON lines."""
-    raw = spark.read.schema(DUMP_SCHEMA).option("multiLine", True).json(path)
-    return Graph(_nodes_of(raw.select(F.inline("nodes"))), _rels_of(raw.select(F.inline("relationships"))))
+def loaded(nodes: DataFrame, rels: DataFrame) -> Graph:
+    """The graph of dumped nodes and relationships, whose properties are all in one object."""
+    return Graph(_typed(nodes, NODE_OWN, ("id", "labels")).select(*NODE), _typed(rels, REL_OWN, ("id", "type", "start", "end")).select(*REL))
 
 
 def _node(df: DataFrame, prefix: str, key: str, labels: tuple[str, ...], name: Column, community: Column, **properties: str) -> DataFrame:
-    own = [x for k, c in properties.items() for x in (F.lit(k), F.col(c).cast("string"))]
+    own = F.struct(*[F.col(c).alias(k) for k, c in properties.items()]) if properties else F.create_map().cast("map<string,string>")
     return df.select(
         F.concat(F.lit(f"{prefix}:"), F.col(key).cast("string")).alias("id"),
         F.array(*map(F.lit, labels)).alias("labels"),
         name.alias("name"),
         community.cast("bigint").alias("leiden_community"),
-        (F.create_map(*own) if own else F.create_map().cast("map<string,string>")).alias("properties"),
+        open_object(own).alias("properties"),
     )
 
 
-def _rel(df: DataFrame, prefix: str, key: Column, kind: str, start: tuple[str, str], end: tuple[str, str], **columns: Column) -> DataFrame:
+def _rel(df: DataFrame, prefix: str, key: Column, kind: str, start: tuple[str, str], end: tuple[str, str], properties: dict[str, Column] | None = None, **columns: Column) -> DataFrame:
+    own = F.struct(*[v.alias(k) for k, v in properties.items()]) if properties else F.create_map().cast("map<string,string>")
     text, id_of = F.lit(None).cast("string"), lambda x: F.concat(F.lit(f"{x[0]}:"), F.col(x[1]).cast("string"))
     kinds = {"confidence": "double"}
     return df.select(
@@ -134,7 +159,7 @@ def _rel(df: DataFrame, prefix: str, key: Column, kind: str, start: tuple[str, s
         id_of(start).alias("start"),
         id_of(end).alias("end"),
         *[columns.get(c, text).cast(kinds.get(c, "string")).alias(c) for c in ("evidence", "source_file", "chunk_id", "confidence", "run_id")],
-        F.create_map().cast("map<string,string>").alias("properties"),
+        open_object(own).alias("properties"),
     )
 
 
@@ -161,7 +186,7 @@ def from_tables(spark: SparkSession, folder: str) -> Graph:
         _rel(t["orders"], "co", c("o_orderkey"), "PLACED", ("c", "o_custkey"), ("o", "o_orderkey"), source_file=F.lit("orders.parquet"), **key),
         _rel(
             t["lineitem"], "op", line, "CONTAINS", ("o", "l_orderkey"), ("p", "l_partkey"), evidence=F.concat("l_returnflag", "l_linestatus"),
-            source_file=F.lit("lineitem.parquet"), chunk_id=c("l_suppkey"), confidence=F.round(1.0 - c("l_discount"), 2), run_id=F.year("l_shipdate"),
+            source_file=F.lit("lineitem.parquet"), chunk_id=c("l_suppkey"), properties={"quantity": c("l_quantity"), "line": c("l_linenumber"), "returned": c("l_returnflag") == "R"}, confidence=F.round(1.0 - c("l_discount"), 2), run_id=F.year("l_shipdate"),
         ),
         _rel(t["lineitem"].select("l_partkey", "l_suppkey").distinct(), "ps", F.concat_ws("-", "l_partkey", "l_suppkey"), "SUPPLIED_BY", ("p", "l_partkey"), ("s", "l_suppkey"), source_file=F.lit("lineitem.parquet")),
     ]

@@ -14,10 +14,10 @@ RELS = [("1", "P", "a", "b", "said", 0.7), ("2", "P", "b", "c", "", None), ("3",
 
 @pytest.fixture(scope="module")
 def g(spark):
-    empty = F.create_map().cast("map<string,string>")
+    empty = sources.open_object(F.create_map().cast("map<string,string>"))
     nodes = spark.createDataFrame(NODES, "id string, labels array<string>, name string").withColumns({"leiden_community": F.lit(4).cast("bigint"), "properties": empty})
     rels = spark.createDataFrame(RELS, "id string, type string, start string, end string, evidence string, confidence double")
-    rels = rels.withColumns({"source_file": F.lit("f.pdf"), "chunk_id": F.lit("c_1"), "run_id": F.lit(None).cast("string"), "properties": F.create_map(F.lit("k"), F.col("id"))})
+    rels = rels.withColumns({"source_file": F.lit("f.pdf"), "chunk_id": F.lit("c_1"), "run_id": F.lit(None).cast("string"), "properties": sources.open_object(F.create_map(F.lit("k"), F.col("id")))})
     return Graph(nodes, rels)
 
 
@@ -110,13 +110,6 @@ def test_dump_and_parquet_round_trips(g, spark, tmp_path):
             assert rows(a.select(*plain, F.to_json("properties"))) == rows(b.select(*plain, F.to_json("properties")))
 
 
-def test_one_document(spark, tmp_path):
-    (tmp_path / "g.json").write_text('{"nodes":[{"id":"1","labels":["A"],"properties":{"name":"n","x":"2"}}],"relationships":[{"id":"7","type":"T","properties":{"confidence":"0.5"},"start":"1","end":"1"}]}')
-    got = sources.load_document(spark, str(tmp_path / "g.json"))
-    assert got.nodes.select("name", F.col("properties")["x"]).first() == ("n", "2")
-    assert got.rels.select("confidence", "start").first() == (0.5, "1")
-
-
 def test_catalog(g):
     assert rows(g.labels()) == [("X", 3), ("Y", 2)]
     assert rows(g.property_keys()) == [("P", "k", 2), ("Q", "k", 2)]

@@ -11,7 +11,7 @@ from tarnweave.operators import match, ranges
 from tarnweave.operators.match import Match
 from tarnweave.operators.shortest import reached
 from tarnweave.sources import adjacency
-from tarnweave.sources.graph import NODE, REL, Graph, from_tables
+from tarnweave.sources.graph import NODE, REL, Graph, from_tables, open_object
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +24,9 @@ def graph(spark, names, rels):
     """names: id to label. rels: (id, type, start, end)."""
     nodes = spark.createDataFrame([(n, [label], f"N{n}", 1, {}) for n, label in names.items()], "id string, labels array<string>, name string, leiden_community long, properties map<string,string>")
     kind = "id string, type string, start string, end string, evidence string, source_file string, chunk_id string, confidence double, run_id string, properties map<string,string>"
-    return Graph(nodes.select(*NODE), spark.createDataFrame([(*r, f"e{r[0]}", "f", None, 0.5, None, {"k": r[0]}) for r in rels], kind).select(*REL))
+    rels = spark.createDataFrame([(*r, f"e{r[0]}", "f", None, 0.5, None, {"k": r[0]}) for r in rels], kind)
+    opened = open_object(F.col("properties"))
+    return Graph(nodes.withColumn("properties", opened).select(*NODE), rels.withColumn("properties", opened).select(*REL))
 
 
 def random_rels(seed, n_nodes, n):
