@@ -15,6 +15,7 @@ from tarnweave.operators.ranges import overlapping
 from tarnweave.operators.shortest import reached
 from tarnweave.plans.ask import regression
 from tarnweave.plans.catalogue import _PAIRS, _TRAILS, STRUCTURE, c, query
+from tarnweave.plans.named import Registry
 from tarnweave.sources.adjacency import adjacent
 from tarnweave.sources.graph import Graph
 
@@ -235,3 +236,26 @@ def where_words(g: Graph) -> DataFrame:
     labels = F.col("a_labels")
     others = ~(has_labels(labels, ["Party"]) | has_labels(labels, ["Order"]) | F.col("a_name").startswith("P"))
     return Match.nodes(g, "a", where=contains_word("a", "Customer#0000000") | others).returns(c("a_id", "id"), c("a_name", "name"))
+
+
+@query("SELECT a.name AS source, r.type AS relation, b.name AS target, b.id AS target_id, r.evidence, r.source_file, r.chunk_id, r.confidence FROM nodes a JOIN und r ON r.s = a.id JOIN nodes b ON b.id = r.e WHERE a.name = 'NATION_7'")
+def named_query(g: Graph) -> DataFrame:
+    """A named question, called as an SQL table function."""
+    return Registry(g).ask("connected_to", who="NATION_7")
+
+
+@query("""SELECT 's:' || s_suppkey AS call_id, NULL AS relation, NULL AS target, 'unknown question: forget' AS error FROM supplier WHERE s_suppkey % 4 = 0
+UNION ALL SELECT 's:' || s_suppkey, NULL, NULL, 'missing: least' FROM supplier WHERE s_suppkey % 4 = 1
+UNION ALL SELECT 's:' || s_suppkey, 'IN_NATION', n_name, NULL FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 = 2
+UNION ALL SELECT 's:' || s_suppkey, 'SUPPLIED_BY', p_name, NULL FROM supplier JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE s_suppkey % 4 = 2
+UNION ALL SELECT 's:' || s_suppkey, 'IN_NATION', 'n:' || s_nationkey, NULL FROM supplier WHERE s_suppkey % 4 = 3""", over_graph=False)
+def dispatch_errors(g: Graph) -> DataFrame:
+    """A call for each supplier: some name no question, some lack an argument, the others are answered."""
+    suppliers = g.nodes.filter(F.array_contains("labels", "Supplier"))
+    kind = F.split("id", ":")[1].cast("bigint") % 4
+    name = F.when(kind == 0, "forget").when(kind == 2, "connected_to").otherwise("statements_of")
+    least = F.when(kind == 3, "0.9").when(kind == 1, "much")
+    calls = suppliers.select(F.col("id").alias("call_id"), name.alias("name"), F.create_map(F.lit("who"), F.col("name"), F.lit("node"), F.col("id"), F.lit("least"), least).alias("arguments"))
+    rows = Registry(g).dispatch(calls)
+    of = lambda k: F.get_json_object("row", f"$.{k}")
+    return rows.select("call_id", of("relation").alias("relation"), F.coalesce(of("target"), of("target_id")).alias("target"), "error")
