@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnweave.sources.shared import clear_stashed, shared_dir, stash, stash_dir  # noqa: F401 (operators take them from here)
+
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,37 +20,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 1 << 21
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session whose executors are
-    the driver itself takes a temporary folder; on a cluster, where no machine's own folder will do, it is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file://{tempfile.gettempdir()}/checkpoints"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: this cuts the lineage, and lost executors lose nothing. The tables
-    of a session lie in one folder of it, which clear_stashed() removes."""
-    path = f"{stash_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def stash_dir(spark: SparkSession) -> str:
-    """The session's own folder in the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/stash-{spark.sparkContext.applicationId}"
-
-
-def clear_stashed(spark: SparkSession) -> None:
-    """Removes what this session's queries have written between their steps. Their results can't be read afterwards, so
-    write them first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stash_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, most: int = 100_000) -> DataFrame:
     """left joined with right on `key`, which is unique in right; n: how many rows of left have it. Rows of a key with more
     than `most` are dealt to salts, so no key is one task's; the keys that are so hot are few, one for `most` rows at most."""

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnweave.llm.common import words
+from tarnweave.llm.common import spare, words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -86,23 +86,25 @@ def mix(
     made = ("size", "source_size", "target", "epochs", "picked", "taken")
     df = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in made])
     w = F.greatest(F.coalesce(quality_weight(F.col(text)) if weight is None else weight, F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
-    docs = df.withColumns({"size": F.size(words(F.col(text))).cast("long"), "_key": -F.log(draw(F.col(doc_id))) / w})
-    docs = docs.withColumn("_bin", bin_of(F.col("_key")))
-    sums = docs.groupBy(F.col(source).alias("source"), F.col("_bin").alias("bin")).agg(F.sum("size").alias("bin_size"))
+    # helpers under names that the input doesn't have
+    key, own_bin, in_bin, of, bin_, before = spare(df, "_key", "_own_bin", "_in_bin", "_source", "_bin", "_bin_before")
+    docs = df.withColumns({"size": F.size(words(F.col(text))).cast("long"), key: -F.log(draw(F.col(doc_id))) / w})
+    docs = docs.withColumn(own_bin, bin_of(F.col(key)))
+    sums = docs.groupBy(F.col(source).alias("source"), F.col(own_bin).alias("bin")).agg(F.sum("size").alias("bin_size"))
     plan = targets(sums.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, most)
     by_bin = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("bin_before", F.coalesce(F.sum("bin_size").over(by_bin), F.lit(0)))
     same = lambda a, b: a.eqNullSafe(b)
-    bins = sums.alias("s").join(plan.alias("p"), same(F.col("s.source"), F.col("p.source"))).select("s.source", "s.bin", "s.bin_before", "p.source_size", "p.target")
-    bins = bins.select(F.col("source").alias("_s"), F.col("bin").alias("_b"), "bin_before", "source_size", "target")
-    in_bin = Window.partitionBy(F.col(source), "_bin").orderBy("_key", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("_in_bin", F.coalesce(F.sum("size").over(in_bin), F.lit(0)))
+    bins = sums.alias("s").join(plan.alias("p"), same(F.col("s.source"), F.col("p.source")))
+    bins = bins.select(F.col("s.source").alias(of), F.col("s.bin").alias(bin_), F.col("s.bin_before").alias(before), "p.source_size", "p.target")
+    by_key = Window.partitionBy(F.col(source), own_bin).orderBy(key, doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    docs = docs.withColumn(in_bin, F.coalesce(F.sum("size").over(by_key), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     left = F.col("target") - F.col("epochs") * F.col("source_size")
     return (
-        docs.join(bins, same(F.col(source), F.col("_s")) & (F.col("_bin") == F.col("_b")))
+        docs.join(bins, same(F.col(source), F.col(of)) & (F.col(own_bin) == F.col(bin_)))
         .withColumn("epochs", epochs)
-        .withColumn("picked", (F.col("bin_before") + F.col("_in_bin") + F.col("size") / 2 <= left) & (F.col("epochs") < most))
+        .withColumn("picked", (F.col(before) + F.col(in_bin) + F.col("size") / 2 <= left) & (F.col("epochs") < most))
         .withColumn("taken", (F.col("size") * (F.col("epochs") + F.col("picked").cast("int"))).cast("long"))
-        .drop("_key", "_bin", "_in_bin", "_s", "_b", "bin_before")
+        .drop(key, own_bin, in_bin, of, bin_, before)
     )

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnweave.llm.common import lower_ascii
+from tarnweave.llm.common import lower_ascii, spare
 
 #: Terms, their kinds and weights: words of gambling, pornography, shady medicine, malware and link spam, in several
 #: languages. Any table of this form can take its place.
@@ -74,11 +74,11 @@ def vocabulary(df: DataFrame, url: str = "url", terms: Sequence[tuple[str, str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [hits(x, table) for x in batch.column("_url_lower").to_pylist()]
+            got = [hits(x, table) for x in batch.column(len(names)).to_pylist()]
             columns = [pa.array([x[k] for x in got], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, *made.names])
 
-    lower = F.coalesce(lower_ascii(F.col(url)), F.lit("")).alias("_url_lower")
+    lower = F.coalesce(lower_ascii(F.col(url)), F.lit("")).alias(spare(df, "_url_lower")[0])
     return df.select(*[f"`{n}`" for n in names], lower).mapInArrow(run, T.StructType([*kept, *made.fields]))
 
 

@@ -8,7 +8,8 @@ Tags are cut as HTML says: quotes count only where an attribute's value begins,
 formulas, scripts and the like are raw up to their own end. Words in class, id and role are one feature among several:
 some (navigation, advert, comment) say strongly that something is beside the text, others (search, share, related)
 weakly, so that words and links, of the block and its neighbours, decide. Names on html, body, main and article, and
-states such as has-sidebar, don't count, nor does a name on what wraps the text.
+states such as has-sidebar or ad-free, don't count, nor does a name on what wraps the text, or all text of an article. Pages whose
+blocks are all short, outside articles, have a tree of their own, grown on `SHORT`: there a block isn't dropped for being short.
 
 Cases: null or empty html, and pages without a kept block, give an empty text; unclosed or truncated tags end with
 the page; comments, scripts, styles and templates are no text; repeated rows are extracted each; an input column named
@@ -41,12 +42,15 @@ BESIDE = frozenset("nav footer aside button dialog menu".split())
 HOLDERS = frozenset(("html", "body", "main", "article"))
 #: Words in class, id or role that say strongly, or weakly, that something is beside the text.
 STRONG = frozenset(
+    "kommentare kommentar commentaires commentaire comentarios comentario commenti commento discussion responses "
     "ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent disqus footer gdpr menu "
     "modal nav navbar navigation newsletter pager pagination paywall popup promo sidebar sponsor sponsored subscribe subscription toolbar".split()
 )
 WEAK = frozenset("alert banner complementary header links masthead notice notification promoted recommended related replies reply respond search share sharing social tags teaser teasers widget".split())
 #: A class that says what a page has or lacks, as no-sidebar, names nothing.
 STATES = frozenset(("has", "no", "with", "without", "is", "hide"))
+#: Nor does one whose word says what kind of page this is, or that it has none of it.
+KINDS = frozenset(("layout", "page", "theme", "free", "enabled", "disabled"))
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _VALUE = r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)"
 _ATTRIBUTE = rf"[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+"
@@ -98,6 +102,20 @@ LABELLED = (
     (60, 0.0, 30, 0.0, 0, 0.0, 1, 2, 0, 0), (50, 0.0, 0, 0.0, 50, 0.0, 0, 2, 0, 0), (90, 0.0, 40, 0.0, 0, 0.0, 1, 3, 0, 0), (5, 0.0, 0, 0.0, 0, 0.0, 0, 3, 0, 0),
     (75, 0.1, 80, 0.0, 60, 0.0, 1, 2, 0, 0), (30, 0.0, 30, 0.0, 35, 0.0, 0, 2, 0, 0), (120, 0.0, 100, 0.0, 80, 0.0, 0, 3, 0, 0), (40, 0.2, 60, 0.0, 0, 0.0, 1, 3, 0, 0),
 )
+#: A page is short if no block of so many words, mostly without links, is free (not beside the text) and none is in an article.
+LONG_BLOCK = 25
+#: Hand-labelled blocks of short pages: a note, a poem, questions and answers, a list, a card.
+SHORT = (
+    (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (5, 0.0, 0, 0.0, 6, 0.0, 0, 0, 0, 1), (6, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0, 1),
+    (4, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0, 1), (3, 0.0, 1, 1.0, 8, 0.0, 0, 0, 0, 1), (8, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 1), (12, 0.0, 2, 0.0, 9, 0.0, 0, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 4, 0.0, 0, 0, 1, 1), (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 1), (7, 0.2, 5, 0.0, 0, 0.0, 0, 0, 0, 1), (9, 0.1, 0, 0.0, 1, 1.0, 0, 0, 0, 1),
+    (14, 0.0, 6, 0.0, 11, 0.0, 0, 0, 0, 1), (2, 0.0, 14, 0.0, 12, 0.0, 0, 0, 0, 1), (4, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 1), (15, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 5, 0.0, 0, 0, 0, 0), (3, 1.0, 8, 0.0, 0, 0.0, 0, 0, 0, 0), (4, 0.8, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
+    (5, 1.0, 6, 0.0, 3, 1.0, 0, 0, 0, 0), (6, 0.7, 3, 1.0, 9, 0.0, 0, 0, 0, 0), (4, 0.0, 6, 0.0, 0, 0.0, 0, 3, 0, 0), (9, 0.0, 3, 0.0, 5, 0.0, 0, 2, 0, 0),
+    (2, 0.0, 5, 0.0, 0, 0.0, 0, 1, 0, 0), (3, 0.0, 4, 0.0, 3, 0.0, 0, 0, 1, 1), (4, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 1), (3, 0.0, 5, 0.0, 3, 0.0, 0, 0, 0, 1),
+    (20, 0.0, 4, 0.0, 18, 0.0, 0, 0, 0, 1), (24, 0.3, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (2, 1.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0), (10, 0.9, 4, 0.0, 5, 0.0, 0, 0, 0, 0),
+    (6, 0.0, 0, 0.0, 5, 0.0, 0, 3, 1, 0),
+)
 
 
 class Block:
@@ -122,7 +140,7 @@ def strength(value: str) -> int:
         words = [w.lower() for w in _WORD.findall(name)]
         for k, w in enumerate(words):
             if w in STRONG or w in WEAK:
-                if k and words[k - 1] in STATES:
+                if k and words[k - 1] in STATES or k + 1 < len(words) and words[k + 1] in KINDS:
                     continue
                 out = max(out, BY_STRONG if w in STRONG else BY_WEAK)
     return out
@@ -168,6 +186,15 @@ def settle(found: list[Block]) -> None:
             wrappers.update(max(words, key=words.__getitem__))
         total = sum(b.words for b in found)
         wrappers.update(x for x, n in held.items() if 2 * n > total and (x[0] == "form" or x[2] == BY_WEAK or not bare and not words))
+    # an article all of whose text lies in named elements has it in the one with most words
+    inside: dict[tuple[str, int, int], dict[tuple[str, int, int] | None, int]] = {}
+    for b in found:
+        for k, a in enumerate(() if b.beside else b.around):
+            if a[0] in ARTICLE:
+                own = inside.setdefault(a, {})
+                name = next((x for x in b.around[k + 1 :] if x[0] not in ARTICLE and x not in wrappers), None)
+                own[name] = own.get(name, 0) + b.words
+    wrappers.update(max(own, key=own.__getitem__) for own in inside.values() if None not in own)
     for b in found:
         b.beside = max([b.beside, *(x[2] for x in b.around if x[0] not in ARTICLE and x not in wrappers)])
 
@@ -262,6 +289,10 @@ def rows_of(found: list[Block]) -> list[tuple[float, ...]]:
     return [(*own[i], *around[i], *around[i + 2], int(b.article), b.beside, int(b.heading)) for i, b in enumerate(found)]
 
 
+def is_short(found: list[Block]) -> bool:
+    return not any(not b.beside and (b.article or b.words >= LONG_BLOCK and 2 * b.linked < b.words) for b in found)
+
+
 def grow(table: tuple[tuple[float, ...], ...], depth: int = 8) -> tuple | bool:
     """A decision tree by Gini impurity: (feature, cut, tree up to the cut, tree above it), or the answer. Among equal
     splits, the first feature and least cut win."""
@@ -282,9 +313,9 @@ def grow(table: tuple[tuple[float, ...], ...], depth: int = 8) -> tuple | bool:
     return f, cut, grow(tuple(r for r in table if r[f] <= cut), depth - 1), grow(tuple(r for r in table if r[f] > cut), depth - 1)
 
 
-@lru_cache(1)
-def tree() -> tuple | bool:
-    return grow(LABELLED)
+@lru_cache(2)
+def tree(short: bool = False) -> tuple | bool:
+    return grow(SHORT if short else LABELLED)
 
 
 def keeps(node: tuple | bool, row: tuple[float, ...]) -> bool:
@@ -296,7 +327,7 @@ def keeps(node: tuple | bool, row: tuple[float, ...]) -> bool:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    node = tree()
+    node = tree(is_short(found))
     return " ".join(b.text for b, row in zip(found, rows_of(found)) if keeps(node, row))
 
 

@@ -164,11 +164,16 @@ def test_clashing_columns(spark, docs, rows):
     assert mixed.count() == len(rows) and dict(mixed.dtypes)["size"] == "bigint"
     assert suffix.remove_later_copies(odd).filter("n_bytes >= 0 AND _d = 'clash'").count() == len(rows)
     assert substring.remove_repeats(odd).filter("n_words >= 0 AND _o0 = 'clash'").count() == len(rows)
+    helpers = ("_s", "_S", "_key", "_bin", "_own_bin", "_in_bin", "_bin_before", "bin_before", "bin", "bin_size", "_source", "__key", "_url_lower", "__URL_lower")
+    more = docs.select("doc_id", "text", "source", *[F.lit("clash").alias(c) for c in helpers if c != "_S"])
+    out = mixing.mix(more)
+    assert set(more.columns) < set(out.columns) and out.filter(" AND ".join(f"`{c}` = 'clash'" for c in helpers)).count() == len(rows)
+    assert bag(out.select("doc_id", "source", "size", "target", "taken").collect()) == bag(mixed.select("doc_id", "source", "size", "target", "taken").collect())
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int").withColumn("text", F.lit("clash"))
     assert quality.judge(odd, labels).filter("kept OR NOT kept").count() == len(rows)
     vectors = spark.createDataFrame([(None, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [1.0, 0.01]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>").withColumn("n_links", F.lit("clash"))
     assert sorted((repr(r.vec_id), r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(vectors).collect()) == [("2", 2, 2, True), ("2", 2, 2, True), ("3", 0, 3, True), ("None", 2, 2, False)]
-    pages = spark.createDataFrame([(1, "http://a.com/x")] * 2, "page_id long, url string").withColumn("Verdict", F.lit("clash"))
+    pages = spark.createDataFrame([(1, "http://a.com/x")] * 2, "page_id long, url string").withColumns({c: F.lit("clash") for c in ("Verdict", "_url_lower", "__url_LOWER", "_S")})
     assert [r.verdict for r in urlfilter.judge(pages, queries.URL_RULES).collect()] == ["allow", "allow"]
 
 
