@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnweave.llm import buckets, common, sketch, winnow
-from tarnweave.llm.common import stash
+from tarnweave.llm.common import spare, stash
 
 #: Text bytes of a vectorised step, which takes about a hundred times as much memory. A longer text takes several steps, of
 #: this many bytes or words.
@@ -233,7 +233,8 @@ def mark(
     made = T.StructType.fromDDL(schema)
     new = made.fieldNames()
     others = [c for c in df.columns if c.lower() != text.lower() and c.lower() not in [n.lower() for n in new]]
-    d, t = F.coalesce(F.col(key).cast("long"), F.lit(LAST)), F.xxhash64(text)
+    df, own = in_order(df, key)
+    d, t = F.coalesce(F.col(own).cast("long"), F.lit(LAST)), F.xxhash64(text)
     docs = df.select(d.alias("_d"), t.alias("_t"), F.col(text).alias("_text"))
     size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     step = (kind.width - kind.gram + 2) / 2 * (6 if kind.words else 1)
@@ -265,6 +266,17 @@ def mark(
     return out.select(*[F.col(f"_o{i}").alias(c) for i, c in enumerate(others)], *new)
 
 
+def in_order(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """df, and the column by whose whole numbers its documents are ordered: the key, or for a key of another type one more column,
+    which grows with it. The different keys are sorted by ranges, and written, so that all passes see the same numbers."""
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        return df, key
+    (own,) = spare(df, "_order")
+    ids = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_id")).distinct().orderBy("_id")
+    ids = stash(ids.select("_id", F.monotonically_increasing_id().alias(own)), "ids")
+    return df.join(ids, df[key] == ids["_id"], "left").select(*[df[f"`{c}`"] for c in df.columns], own), own
+
+
 def docs_with(df: DataFrame, d: F.Column, t: F.Column, text: str, others: list[str]) -> DataFrame:
     """The other columns under names of our own, so that none can clash."""
     return df.select(*[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(others)], d.alias("_d"), t.alias("_t"), F.col(f"`{text}`").alias("_text"))

@@ -7,7 +7,7 @@ a document however many of its windows have it.
 
 Cases: a null text has no words; texts shorter than a window keep all words; windows are compared by 64 bits of
 their anchor and 64 bits of the whole, of rolling hashes with different bases over different hashes of the words; rows with one id are one document, so nothing is removed between them; null ids come last and are one
-document; ties keep both; an empty table gives an empty one; output columns replace input ones of the same name.
+document; ids that are no whole numbers, such as text, come in Spark's order; ties keep both; an empty table gives an empty one; output columns replace input ones of the same name.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ the different stretches with one anchor are sorted together, to the depth of `wi
 
 Cases: a null or empty text has no bytes; texts shorter than the width keep all bytes; removal may cut a character, so
 the kept text is binary; rows with one id are told apart by their texts' hashes (equal rows are one document); null
-ids come last; an empty table gives an empty one; output columns replace input ones of the same name.
+ids come last; ids that are no whole numbers, such as text, come in Spark's order; an empty table gives an empty one; output columns replace input ones of the same name.
 """
 
 from __future__ import annotations
