@@ -207,7 +207,9 @@ def _met(first: DataFrame, last: DataFrame, step: DataFrame, least: int, most: i
     fronts, longest = [first], (most + 1) // 2
     for k in range(1, longest + 1):
         own = step if k < longest else step.join(near, F.col("_e") == F.col("_near"), "left_semi")
-        fronts.append(stash(_hop(fronts[-1], own), "fronts"))
+        front = _hop(fronts[-1], own)
+        once = k == longest and sum(least <= n <= most for n in (2 * k - 1, 2 * k)) < 2  # nothing else reads it
+        fronts.append(front if once else stash(front, "fronts"))
     found = []
     for n in range(least, most + 1):
         front, back = fronts[(n + 1) // 2], backs[n // 2]

@@ -102,9 +102,9 @@ def byte_chunks(table: Callable) -> DataFrame:
 
 @query("SELECT doc_id, (strlen(text) // 2 * 2)::BIGINT AS n_bytes, md5(substr(hex(encode(text)), 1, 4 * (strlen(text) // 2))) AS hex_md5 FROM documents WHERE strlen(text) > 0", graph=False)
 def byte_carry(table: Callable) -> DataFrame:
-    """Chunks of three bytes made into whole samples of two, the odd byte carried over; and put together again."""
+    """Chunks of an odd number of bytes made into whole samples of two, the odd byte carried over; and put together again."""
     docs = table("documents").filter(F.octet_length("text") > 0)
-    cut = docs.select("doc_id", F.posexplode(media.byte_chunks(F.col("text").cast("binary"), 3)).alias("seq", "pcm"))
+    cut = docs.select("doc_id", F.posexplode(media.byte_chunks(F.col("text").cast("binary"), 1023)).alias("seq", "pcm"))
     whole = text.joined(media.aligned(cut, "doc_id", "seq", "pcm").select("doc_id", "seq", F.hex("aligned").alias("hex")), "doc_id", "seq", "hex", "")
     return whole.select("doc_id", (F.length("hex") / 2).cast("bigint").alias("n_bytes"), F.md5(F.col("hex").cast("binary")).alias("hex_md5"))
 
