@@ -83,6 +83,13 @@ def read_only(query: Column) -> Column:
     return ~bare.rlike(r"(?i)\b(create|merge|delete|detach|set|remove|drop|load|foreach|call)\b")
 
 
+def selects(query: Column) -> Column:
+    """Whether an SQL text is a query that only reads, and calls no methods of the machine."""
+    bare = F.regexp_replace(query, r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", "''")
+    opens = bare.rlike(r"(?i)\A[\s(]*(select|with|values|from|table)\b")
+    return read_only(query) & opens & ~bare.rlike(r"(?i)\b(insert|update|alter|truncate|into|cache|refresh|reflect|try_reflect|java_method)\b")
+
+
 def filled(template: str, **values: Column) -> Column:
     """The template with each {name} replaced; null values are empty."""
     out = F.lit(template)

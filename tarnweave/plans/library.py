@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.functions import media, text
-from tarnweave.operators import history
+from tarnweave.operators import history, silence
 from tarnweave.operators.match import Match, prop
 from tarnweave.operators.ranges import overlapping
 from tarnweave.operators.shortest import reached
+from tarnweave.plans import metrics
 from tarnweave.plans.ask import regression
 from tarnweave.plans.catalogue import _PAIRS, _TRAILS, STRUCTURE, c, query
 from tarnweave.plans.named import Registry
@@ -259,3 +260,50 @@ def dispatch_errors(g: Graph) -> DataFrame:
     rows = Registry(g).dispatch(calls)
     of = lambda k: F.get_json_object("row", f"$.{k}")
     return rows.select("call_id", of("relation").alias("relation"), F.coalesce(of("target"), of("target_id")).alias("target"), "error")
+
+
+_SPEECH = """WITH s AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL),
+p AS (SELECT label, vec_id, CASE WHEN v IS NULL OR isnan(v) THEN 0.0::DOUBLE ELSE v END AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS place FROM s),
+f AS (SELECT label, place // 24 AS frame, sum(x * x) / count(*) AS energy FROM p GROUP BY ALL),
+m AS (SELECT *, last_value(CASE WHEN energy >= 0.018 THEN true WHEN energy < 0.012 THEN false END IGNORE NULLS) OVER (PARTITION BY label ORDER BY frame) AS loud FROM f),
+o AS (SELECT label, frame, coalesce((frame - lag(frame) OVER (PARTITION BY label ORDER BY frame) - 1 >= 2)::INT, 1) AS opens FROM m WHERE loud),
+g AS (SELECT label, frame, sum(opens) OVER (PARTITION BY label ORDER BY frame) AS segment FROM o),
+speech AS (SELECT label, min(frame)::BIGINT AS first_frame, (max(frame) - min(frame) + 1)::BIGINT AS n_frames FROM g GROUP BY label, segment HAVING max(frame) - min(frame) + 1 >= 3)
+"""
+_GATE = silence.Gate(size=24, high=0.018, low=0.012, least_speech=3, least_gap=2)
+
+
+@query(_SPEECH + "SELECT * FROM speech", graph=False)
+def speech_segments(table: Callable) -> DataFrame:
+    """Vectors of one label as the chunks of one recording: its segments of speech, in frames that run across chunks."""
+    return silence.segments(table("embeddings"), "label", "vec_id", "embedding", _GATE)
+
+
+@query(_SPEECH + "SELECT label, vec_id, count(*)::BIGINT AS n, round(sum(x), 5) AS total FROM p JOIN speech USING (label) WHERE place >= first_frame * 24 AND place < (first_frame + n_frames) * 24 GROUP BY ALL", graph=False)
+def silence_left_out(table: Callable) -> DataFrame:
+    """What is left of each chunk without its silence."""
+    left = silence.without_silence(table("embeddings"), "label", "vec_id", "embedding", _GATE)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return left.groupBy("label", "vec_id").agg(F.sum(F.size("embedding")).alias("n"), F.round(F.sum(total), 5).alias("total"))
+
+
+@query("SELECT 'nodes' AS name, 'rows' AS status, count(*)::BIGINT AS rows FROM nodes UNION ALL SELECT 'relationships', 'rows', count(*) FROM rels UNION ALL SELECT 'placed', 'rows', count(*) FROM rels WHERE type = 'PLACED' UNION ALL SELECT 'unsure', 'empty', count(*) FROM rels WHERE confidence < 0")
+def observed_spans(g: Graph) -> DataFrame:
+    """Spans of jobs over the graph, with the rows that each observed as it ran."""
+    spans: list[metrics.Span] = []
+    placed = Match.nodes(g, "a", "Customer").out("r", "b", types=["PLACED"]).frame
+    for name, frame in {"nodes": g.nodes, "relationships": g.rels, "placed": placed, "unsure": g.rels.filter("confidence < 0")}.items():
+        metrics.measured(frame, lambda df: df.write.format("noop").mode("overwrite").save(), spans, name)
+    return metrics.span_table(g.nodes.sparkSession, spans).select("name", "status", "rows")
+
+
+@query(_PAIRS + """, actual AS (SELECT conv_id, min(assistant) AS answer FROM pairs GROUP BY conv_id), turns AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id, concat('ВОПРОС ', conv_id, ':', chr(10), text, chr(10), chr(10), 'ОТВЕТ ТЕКУЩИЙ:', chr(10), CASE WHEN coalesce(answer, '') = '' THEN 'ОТВЕТ НЕ ПОЛУЧЕН (пусто)' ELSE answer END, chr(10), chr(10), 'ПРАВИЛЬНЫЙ ОТВЕТ:', chr(10), text, chr(10), chr(10), 'ВРЕМЯ ОТВЕТА:', chr(10), printf('%.2f', n * 0.25), ' сек', chr(10), chr(10), repeat('-', 40), chr(10)) AS report
+FROM (SELECT conv_id, text FROM conversations WHERE turn = 0) JOIN turns USING (conv_id) LEFT JOIN actual USING (conv_id)""", graph=False)
+def report_cases(table: Callable) -> DataFrame:
+    """A report of conversations as cases: the first turn stands for question and expected answer, a quarter of a second for each turn."""
+    turns = table("conversations")
+    cases = turns.filter("turn = 0").select("conv_id", "text").join(turns.groupBy("conv_id").agg((F.count("*") * 0.25).alias("seconds")), "conv_id")
+    actual = history.pairs(turns).groupBy("conv_id").agg(F.min("assistant").alias("answer"))
+    report = metrics.rendered(F.col("conv_id"), F.col("text"), F.col("answer"), F.col("text"), F.col("seconds"))
+    return cases.join(actual, "conv_id", "left").select("conv_id", report.alias("report"))
