@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnweave.sources.adjacency import AdjacentGraph
-from tarnweave.sources.graph import NODE, PROVENANCE, REL, Graph
+from tarnweave.sources.graph import NODE, OWN_ENDS, PROVENANCE, REL, Graph
 from tarnweave.sources.shared import stash
 
 #: The deepest trail that is expanded: each step is a join with all relationships.
@@ -66,7 +66,7 @@ class Match:
             frame = self.graph.meet(self.frame, f"{start or self.at}_id", rel, way, types).join(end, F.col(f"{rel}_{far}") == F.col(f"{to}_id"))
             return Match(self.graph, frame.filter(where) if where is not None else frame, to)
         rels = rels.filter(F.col("type").isin(*types)) if types else rels
-        rels = rels.select(*[F.col(c).alias(f"{rel}_{c}") for c in REL])
+        rels = rels.select(*[F.col(c).alias(f"{rel}_{c}") for c in (*REL, *OWN_ENDS) if c in rels.columns])
         met = F.col(f"{start or self.at}_id") == F.col(f"{rel}_{near}")
         if how == "inner":
             # the bound rows meet their relationships first, and only what they reach meets the far nodes
@@ -85,9 +85,12 @@ class Match:
         """(at)<-[rel]-(to)"""
         return self._expand(self.graph.rels, rel, to, labels, types, where, "end", "start", "inner", start)
 
-    def both(self, rel: str, to: str, *labels: str, types: Sequence[str] = (), where: Column | None = None, start: str | None = None) -> Match:
-        """(at)-[rel]-(to): every relationship once from each end, a loop once."""
-        return self._expand(self.graph.undirected(), rel, to, labels, types, where, "start", "end", "inner", start)
+    def both(self, rel: str, to: str, *labels: str, types: Sequence[str] = (), where: Column | None = None, start: str | None = None, ends: bool = False) -> Match:
+        """(at)-[rel]-(to): every relationship once from each end, a loop once. ends: <rel>_own_start and <rel>_own_end too, the
+        ids that the relationship itself has for its ends; adjacency lists don't have those."""
+        if ends and isinstance(self.graph, AdjacentGraph):
+            raise ValueError("adjacency lists don't have the relationships' own ends")
+        return self._expand(self.graph.undirected(ends) if ends else self.graph.undirected(), rel, to, labels, types, where, "start", "end", "inner", start)
 
     def optional_out(self, rel: str, to: str, *labels: str, types: Sequence[str] = (), where: Column | None = None, start: str | None = None) -> Match:
         """As out(); rows without a match stay, with nulls. `where` is part of the pattern."""

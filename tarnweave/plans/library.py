@@ -8,17 +8,17 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.functions import media, text
+from tarnweave.functions import dates, lists, media, text
 from tarnweave.operators import history, silence
 from tarnweave.operators.match import Match, prop
 from tarnweave.operators.ranges import overlapping
 from tarnweave.operators.shortest import reached
 from tarnweave.plans import metrics
 from tarnweave.plans.ask import regression
-from tarnweave.plans.catalogue import _PAIRS, _TRAILS, STRUCTURE, c, query
+from tarnweave.plans.catalogue import _NODES, _PAIRS, _TRAILS, STRUCTURE, c, query
 from tarnweave.plans.named import Registry
 from tarnweave.sources.adjacency import adjacent
-from tarnweave.sources.graph import Graph
+from tarnweave.sources.graph import NODE_OWN, Graph, all_properties
 
 
 @query(_PAIRS + """, kept AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2))
@@ -307,3 +307,46 @@ def report_cases(table: Callable) -> DataFrame:
     actual = history.pairs(turns).groupBy("conv_id").agg(F.min("assistant").alias("answer"))
     report = metrics.rendered(F.col("conv_id"), F.col("text"), F.col("answer"), F.col("text"), F.col("seconds"))
     return cases.join(actual, "conv_id", "left").select("conv_id", report.alias("report"))
+
+
+@query(_TRAILS.format(start="true") + """SELECT first AS source_id, array_to_string(ids, ',') AS path_ids, len(list_filter(names, lambda x: NOT starts_with(x, 'A'))) = len(names) AS without_a, len(list_filter(names, lambda x: x = 'EUROPE')) > 0 AS european,
+  len(list_filter(types, lambda x: x = 'IN_REGION')) = 0 AS inside, len(list_filter(names, lambda x: starts_with(x, 'NATION'))) = 1 AS one_nation, list_sum(list_transform(names, lambda x: length(x)))::BIGINT AS letters, array_to_string(range(length, -1, -2), ',') AS places
+FROM trail JOIN nodes z ON z.id = last WHERE length >= 1 AND (list_contains(z.labels, 'Region') OR list_contains(z.labels, 'Nation'))""")
+def list_predicates(g: Graph) -> DataFrame:
+    """All, any, none or a single one of a path's members; a sum over them, and their places counted down by two."""
+    ends = F.array_contains("z_labels", "Region") | F.array_contains("z_labels", "Nation")
+    m = Match.nodes(g, "a", "Supplier").trails("z", least=1, most=3, types=STRUCTURE, where=ends)
+    names = F.col("path_nodes")
+    return m.returns(
+        c("a_id", "source_id"), F.array_join("path_ids", ",").alias("path_ids"),
+        lists.every(names, lambda x: ~x.startswith("A")).alias("without_a"), lists.some(names, lambda x: x == "EUROPE").alias("european"),
+        lists.none(F.col("path_rels"), lambda r: r["type"] == "IN_REGION").alias("inside"), lists.single(names, lambda x: x.startswith("NATION")).alias("one_nation"),
+        F.aggregate(names, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x)).alias("letters"), F.array_join(lists.span(F.col("length"), F.lit(0), -2).cast("array<string>"), ",").alias("places"),
+    )
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, o_orderdate::DATE AS a, l_shipdate::DATE AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+s AS (SELECT *, least(a, b) AS lo, greatest(a, b) AS hi, CASE WHEN b < a THEN -1 ELSE 1 END AS sign FROM d),
+m AS (SELECT *, ((year(hi) - year(lo)) * 12 + month(hi) - month(lo))::INT AS k FROM s),
+n AS (SELECT *, k - CASE WHEN (lo + to_months(k))::DATE > hi THEN 1 ELSE 0 END AS whole FROM m)
+SELECT whole * sign AS months, (date_diff('day', (lo + to_months(whole::INT))::DATE, hi) * sign)::INT AS days, count(*)::BIGINT AS n, min((b + INTERVAL 3 MONTH)::DATE + 10) AS due FROM n GROUP BY ALL""", graph=False)
+def durations(table: Callable) -> DataFrame:
+    """How long lines took from order to shipment, in months and days, and the earliest date three months and ten days later."""
+    orders = table("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("ordered"))
+    lines = table("lineitem").select("l_orderkey", F.col("l_shipdate").cast("date").alias("shipped"))
+    took = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("shipped", dates.between(F.col("ordered"), F.col("shipped")).alias("took"))
+    return took.groupBy(c("took.months", "months"), c("took.days", "days")).agg(F.count("*").alias("n"), F.min(dates.plus(F.col("shipped"), 3, 10)).alias("due"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' || {k} AS id, array_to_string(json_keys({json}), ',') AS keys FROM {t}" for t, (p, k, _, _, _, json) in _NODES.items()), over_graph=False)
+def node_keys(g: Graph) -> DataFrame:
+    """The names of each node's properties, in their order."""
+    keys = F.json_object_keys(F.to_json(all_properties(NODE_OWN)))
+    return g.nodes.select("id", F.array_join(F.array_sort(keys), ",").alias("keys"))
+
+
+@query("SELECT n.name AS nation, r.type AS relation, r.s = n.id AS leaves, x.id AS start_id, y.id AS end_id FROM rels r JOIN nodes n ON n.id IN (r.s, r.e) AND list_contains(n.labels, 'Nation') JOIN nodes x ON x.id = r.s JOIN nodes y ON y.id = r.e WHERE r.type IN ('IN_REGION', 'IN_NATION')")
+def relationship_ends(g: Graph) -> DataFrame:
+    """What is next to nations, whichever way it points, with each relationship's own start and end."""
+    m = Match.nodes(g, "n", "Nation").both("r", "b", types=STRUCTURE, ends=True)
+    return m.returns(c("n_name", "nation"), c("r_type", "relation"), (F.col("r_own_start") == F.col("n_id")).alias("leaves"), c("r_own_start", "start_id"), c("r_own_end", "end_id"))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 NODE = ("id", "labels", "name", "leiden_community", "properties")
 REL = ("id", "type", "start", "end", "evidence", "source_file", "chunk_id", "confidence", "run_id", "properties")
+#: The ends of a relationship as it is stored, beside those that it is walked by.
+OWN_ENDS = ("own_start", "own_end")
 PROVENANCE = ("evidence", "source_file", "chunk_id", "confidence")
 NODE_DUMP = "id string, labels array<string>, properties variant"
 REL_DUMP = "id string, type string, properties variant, start string, end string"
@@ -33,12 +35,14 @@ class Graph:
     nodes: DataFrame
     rels: DataFrame
 
-    def undirected(self) -> DataFrame:
-        """Each relationship in both directions; a loop once. One scan; filters on other columns than the ends still reach it."""
-        way = lambda a, b: F.struct(F.col(a).alias("start"), F.col(b).alias("end"))
+    def undirected(self, ends: bool = False) -> DataFrame:
+        """Each relationship in both directions; a loop once. One scan; filters on other columns than the ends still reach it.
+        ends: with the relationship's own ends too, in own_start and own_end."""
+        own = [F.col(x).alias(f"own_{x}") for x in ("start", "end")] if ends else []
+        way = lambda a, b: F.struct(F.col(a).alias("start"), F.col(b).alias("end"), *own)
         both = F.when(F.col("start") == F.col("end"), F.array(way("start", "end"))).otherwise(F.array(way("start", "end"), way("end", "start")))
         others = [c for c in REL if c not in ("start", "end")]
-        return self.rels.select(*others, F.inline(both)).select(*REL)
+        return self.rels.select(*others, F.inline(both)).select(*REL, *(OWN_ENDS if ends else ()))
 
     def labels(self) -> DataFrame:
         """(label, n): the nodes of each label."""
