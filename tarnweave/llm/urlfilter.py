@@ -4,6 +4,9 @@ The vocabulary is a table of terms, each strict or soft, with a weight. One Aho-
 lower-cased URL. A hit counts only between boundaries: the characters beside it are not ASCII letters or digits. One
 strict term rejects, and so do two or more different soft terms whose weights add up to `soft_needed`.
 
+Rules are looked up, not tried one by one: by each domain above the host, and there by the lengths that its rules' paths
+have. So a URL takes a few look-ups however many rules there are.
+
 Cases: a URL that is null or has no `://` has an empty host and path, fits no rule, and is judged by the vocabulary
 on what text it has (null: allow); a rule without a host fits nothing; ties between rules of one length go to the
 longer host; repeated rows are judged each; an input column named like an output column is replaced.
@@ -12,14 +15,15 @@ longer host; repeated rows are judged each; an input column named like an output
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tarnweave.llm.common import lower_ascii, spare
 
@@ -58,28 +62,80 @@ def hits(url: str, terms: tuple[tuple[str, str, float], ...]) -> tuple[int, int,
     return len(found) - len(soft), len(soft), math.fsum(soft)
 
 
-def vocabulary(df: DataFrame, url: str = "url", terms: Sequence[tuple[str, str, float]] = VOCABULARY) -> DataFrame:
-    """df with n_strict and n_soft (int), how many different terms of each kind the URL holds, and soft_weight. Of a term
-    that comes twice, a strict row counts, or the heavier one. Narrow: no shuffle."""
+class Rules:
+    """Rules by host: the lengths of its paths, longest first, and what each path says. Of a host and path that come twice,
+    an allowing rule counts."""
+
+    def __init__(self, rules: Sequence[tuple[str, str, str]]):
+        self.hosts: dict[str, tuple[list[int], dict[str, str]]] = {}
+        for action, host, path in rules:
+            if action not in ("allow", "block"):
+                raise ValueError(f"a rule allows or blocks: {action}")
+            if host:
+                paths = self.hosts.setdefault(host, ([], {}))[1]
+                paths[path] = min(action, paths.get(path, action))
+        for lengths, paths in self.hosts.values():
+            lengths.extend(sorted({len(x) for x in paths}, reverse=True))
+
+    def longest(self, host: str, path: str) -> tuple[str | None, str | None]:
+        """The longest rule that fits (of rules of one length, that of the longer host), and its action; None where none fits."""
+        best, rule, action, at = 0, None, None, 0
+        while True:
+            own = host[at:]
+            lengths, paths = self.hosts.get(own, ((), {}))
+            for n in lengths:
+                if len(own) + n <= best:
+                    break
+                said = paths.get(path[:n]) if n <= len(path) else None
+                if said is not None:
+                    best, rule, action = len(own) + n, own + path[:n], said
+                    break
+            at = host.find(".", at) + 1
+            if not at:
+                return rule, action
+
+
+def _with(df: DataFrame, made: T.StructType, inputs: Sequence[Column], values: Callable[..., tuple]) -> DataFrame:
+    """df with the columns that values() gives for the inputs of each row; of df's columns, those of other names. Narrow."""
+    kept = [f for f in df.schema if f.name.lower() not in made.names]
+    names = [f.name for f in kept]
+    taken = spare(df, *[f"_input{k}" for k in range(len(inputs))])
+    kinds = [to_arrow_type(f.dataType) for f in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(len(names) + k).to_pylist() for k in range(len(taken))))
+            got = [values(*x) for x in rows]
+            columns = [pa.array([x[k] for x in got], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), *columns], [*names, *made.names])
+
+    return df.select(*[f"`{n}`" for n in names], *[x.alias(n) for x, n in zip(inputs, taken)]).mapInArrow(run, T.StructType([*kept, *made.fields]))
+
+
+def _terms(terms: Sequence[tuple[str, str, float]]) -> tuple[tuple[str, str, float], ...]:
+    """Different terms, lower-cased. Of a term that comes twice, a strict row counts, or the heavier one."""
     own: dict[str, tuple[str, float]] = {}
     for term, kind, weight in terms:
         if kind not in ("strict", "soft"):
             raise ValueError(f"a term is strict or soft: {kind}")
         if term:
             own[term.lower()] = max(own.get(term.lower(), ("", -math.inf)), (kind, float(weight)))
-    table = tuple((t, *x) for t, x in sorted(own.items()))
-    made = T.StructType.fromDDL("n_strict int, n_soft int, soft_weight double")
-    kept = [f for f in df.schema if f.name.lower() not in made.names]
-    names = [f.name for f in kept]
+    return tuple((t, *x) for t, x in sorted(own.items()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [hits(x, table) for x in batch.column(len(names)).to_pylist()]
-            columns = [pa.array([x[k] for x in got], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, *made.names])
 
-    lower = F.coalesce(lower_ascii(F.col(url)), F.lit("")).alias(spare(df, "_url_lower")[0])
-    return df.select(*[f"`{n}`" for n in names], lower).mapInArrow(run, T.StructType([*kept, *made.fields]))
+_COUNTED = T.StructType().add("n_strict", "integer").add("n_soft", "integer").add("soft_weight", "double")
+_RULED = T.StructType([*_COUNTED.fields]).add("rule", "string").add("verdict", "string")
+
+
+def _lower(url: str) -> Column:
+    return F.coalesce(lower_ascii(F.col(url)), F.lit(""))
+
+
+def vocabulary(df: DataFrame, url: str = "url", terms: Sequence[tuple[str, str, float]] = VOCABULARY) -> DataFrame:
+    """df with n_strict and n_soft (int), how many different terms of each kind the URL holds, and soft_weight. Of a term
+    that comes twice, a strict row counts, or the heavier one. Narrow: no shuffle."""
+    own = _terms(terms)
+    return _with(df, _COUNTED, [_lower(url)], lambda x: hits(x, own))
 
 
 def judge(
@@ -89,24 +145,21 @@ def judge(
     terms: Sequence[tuple[str, str, float]] = VOCABULARY,
     soft_needed: float = SOFT_NEEDED,
 ) -> DataFrame:
-    """df with host, path, rule, n_strict, n_soft, soft_weight and verdict. `rules`: (action, host, path), a short list of the
-    caller's that becomes part of the plan; a rule fits its host and all subdomains where the path starts with its own."""
-    out = ("host", "path", "rule", "verdict", "n_strict", "n_soft", "soft_weight")
+    """df with host, path, n_strict, n_soft, soft_weight, rule and verdict. `rules`: (action, host, path), the caller's list,
+    which goes along with each task; a rule fits its host and all subdomains where the path starts with its own. Narrow."""
+    out = ("host", "path", *_RULED.names)
     df = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in out])
-    whole = F.coalesce(F.col(url), F.lit(""))
-    rest = F.regexp_extract(whole, r"(?s)^.*?://(.*)$", 1)
-    df = vocabulary(df, url, terms).withColumns({
+    own, ruled = _terms(terms), Rules(rules)
+    rest = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://(.*)$", 1)
+    df = df.withColumns({
         "host": lower_ascii(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)),
         "path": F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1),
     })
-    rule = action = None
-    for kind, host, path in sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r)):
-        if kind not in ("allow", "block"):
-            raise ValueError(f"a rule allows or blocks: {kind}")
-        if not host:
-            continue
-        fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
-        rule = F.when(fits, host + path) if rule is None else rule.when(fits, host + path)
-        action = F.when(fits, kind) if action is None else action.when(fits, kind)
-    vote = F.when((F.col("n_strict") > 0) | ((F.col("n_soft") >= 2) & (F.col("soft_weight") >= soft_needed)), "block").otherwise("allow")
-    return df.withColumns({"rule": F.lit(None).cast("string") if rule is None else rule, "verdict": vote if action is None else action.otherwise(vote)})
+
+    def judged(lower: str, host: str, path: str) -> tuple:
+        n_strict, n_soft, weight = hits(lower, own)
+        rule, action = ruled.longest(host, path)
+        rejected = n_strict > 0 or (n_soft >= 2 and weight >= soft_needed)
+        return n_strict, n_soft, weight, rule, action or ("block" if rejected else "allow")
+
+    return _with(df, _RULED, [_lower(url), F.col("host"), F.col("path")], judged)

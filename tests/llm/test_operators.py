@@ -113,6 +113,26 @@ def test_url_rules_and_terms(spark):
     assert got == {k: c[1:] for k, c in enumerate(cases)}
 
 
+def test_many_url_rules_against_trying_each(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "ab"[rng.integers(2)] * int(rng.integers(1, 3))
+    rules = [(("allow", "block")[rng.integers(2)], ".".join(word() for _ in range(rng.integers(1, 4))), "/" * int(rng.integers(2)) + "/".join(word() for _ in range(rng.integers(0, 3)))) for _ in range(3000)]
+    rules += [("block", "", "/a"), ("allow", "b..a", "")]
+    urls = [f"http://{'.'.join(word() for _ in range(rng.integers(1, 5)))}/{'/'.join(word() for _ in range(rng.integers(0, 4)))}" for _ in range(400)] + ["http://aa", "http://.a/b", "http://b..a/", "http:///a"]
+
+    def want(url):
+        host, _, path = url[7:].partition("/")
+        path = "/" + path if "/" in url[7:] else ""
+        fit = [(-len(h + p), -len(h), a, h + p) for a, h, p in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (min(fit)[3], min(fit)[2]) if fit else (None, "allow")
+
+    got = {r.url: (r.rule, r.verdict) for r in urlfilter.judge(spark.createDataFrame([(u, "x") for u in urls], "url string, _input0 string"), rules, terms=()).collect()}
+    assert got == {u: want(u) for u in urls}
+    assert len({x for x in got.values()}) > 50
+    with pytest.raises(ValueError):
+        urlfilter.Rules([("deny", "a", "")])
+
+
 def test_weighted_terms(spark):
     terms = (("sure", "strict", 1.0), ("mild", "soft", 0.5), ("half", "soft", 1.5), ("much", "soft", 3.0), ("Sure", "soft", 9.0), ("", "strict", 1.0))
     cases = {"http://a-sure.net": "block", "http://surely.net": "allow", "http://much.net": "allow", "http://mild.net/mild": "allow", "http://mild.net/half": "block", "http://x.net/mild_much": "block", "http://x.net/MILD.much9": "allow"}
