@@ -143,8 +143,12 @@ def decode_wav(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("_wav", decode(content)).select("*", "_wav.rate", "_wav.samples").drop("_wav")
 
 
-def encode_wav(samples: np.ndarray, rate: int = LISTEN_RATE) -> bytes:
-    """16-bit mono WAV."""
+def encode_wav(samples: np.ndarray, rate: int = LISTEN_RATE, floating: bool = False) -> bytes:
+    """Mono WAV of 16-bit samples, or of 32-bit floats, which keep what is beyond full scale."""
+    if floating:
+        body = np.asarray(samples, "<f4").tobytes()
+        form = struct.pack("<4sIHHIIHHH", b"fmt ", 18, 3, 1, rate, 4 * rate, 4, 32, 0) + struct.pack("<4sII", b"fact", 4, len(samples))
+        return struct.pack("<4sI4s", b"RIFF", 12 + len(form) + len(body), b"WAVE") + form + struct.pack("<4sI", b"data", len(body)) + body
     out = io.BytesIO()
     with wave.open(out, "wb") as f:
         f.setnchannels(1)
@@ -152,3 +156,14 @@ def encode_wav(samples: np.ndarray, rate: int = LISTEN_RATE) -> bytes:
         f.setframerate(rate)
         f.writeframes((np.clip(samples, -1, 1) * PEAK).astype("<i2").tobytes())
     return out.getvalue()
+
+
+def wav(samples: Column, rate: int = LISTEN_RATE, floating: bool = False) -> Column:
+    """Arrays of samples as WAV files. Null and NaN samples are silence; a null array gives null."""
+
+    @F.pandas_udf("binary")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if x is None else encode_wav(np.nan_to_num(np.array(x, float), posinf=1, neginf=-1), rate, floating) for x in batch], dtype=object)
+
+    return encode(samples.cast("array<double>"))

@@ -350,3 +350,15 @@ def relationship_ends(g: Graph) -> DataFrame:
     """What is next to nations, whichever way it points, with each relationship's own start and end."""
     m = Match.nodes(g, "n", "Nation").both("r", "b", types=STRUCTURE, ends=True)
     return m.returns(c("n_name", "nation"), c("r_type", "relation"), (F.col("r_own_start") == F.col("n_id")).alias("leaves"), c("r_own_start", "start_id"), c("r_own_end", "end_id"))
+
+
+@query("""SELECT vec_id, CASE WHEN embedding IS NOT NULL THEN 16000 END::INT AS rate, len(embedding)::INT AS n,
+  round(list_sum(list_transform(embedding, lambda x: trunc(CASE WHEN x IS NULL OR isnan(x) THEN 0.0::DOUBLE ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, x::DOUBLE)) END * 32767) / 32768)), 6) AS total,
+  round(list_sum(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR isnan(x) THEN 0.0::DOUBLE ELSE x::FLOAT::DOUBLE END)), 6) AS total_floating FROM embeddings""", graph=False)
+def wav_files(table: Callable) -> DataFrame:
+    """Vectors as WAV files, of 16-bit samples and of floats, and read again."""
+    files = table("embeddings").select("vec_id", media.wav(F.col("embedding")).alias("content"), media.wav(F.col("embedding"), floating=True).alias("other"))
+    total = lambda x: F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 6)
+    read = media.decode_wav(files).select("vec_id", "other", "rate", F.size("samples").alias("n"), total(F.col("samples")).alias("total"))
+    again = media.decode_wav(read.drop("rate"), "other")
+    return again.select("vec_id", "rate", "n", "total", total(F.col("samples")).alias("total_floating"))

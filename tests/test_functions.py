@@ -122,3 +122,19 @@ def test_history(spark):
 def test_windowed_counts(spark):
     df = spark.sql("SELECT timestamp'2026-01-01 00:01:00' AS ts, 'x' AS event_type, 2.0D AS value")
     assert chunks.windowed(df).select("event_type", "n", "total").first() == ("x", 1, 2.0)
+
+
+def test_wav_files_of_both_kinds(spark, tmp_path):
+    rows = [(0, [0.0, 0.5, -1.0, 2.0, None]), (1, []), (2, None), (3, [float("nan"), float("inf"), 0.25])]
+    df = spark.createDataFrame(rows, "k int, x array<double>")
+    for floating, want in ((True, [[0, 0.5, -1, 2, 0], [], None, [0, 1, 0.25]]), (False, [[0, 16383 / 32768, -32767 / 32768, 32767 / 32768, 0], [], None, [0, 32767 / 32768, 8191 / 32768]])):
+        files = df.select("k", media.wav(F.col("x"), 8000, floating).alias("content")).orderBy("k").collect()
+        folder = tmp_path / str(floating)
+        folder.mkdir()
+        for r in files:
+            if r.content is not None:
+                (folder / f"{r.k}.wav").write_bytes(bytes(r.content))
+        (folder / "2.wav").write_bytes(b"none")
+        read = media.decode_wav(spark.read.format("binaryFile").load(str(folder))).orderBy("path").collect()
+        assert [r.samples for r in read] == want
+        assert [r.rate for r in read] == [8000, 8000, None, 8000]
