@@ -9,11 +9,13 @@ how much shorter and longer contexts count are mixed by how well each has coded
 trained one on. Before a word, its bytes may be saved: a decision whether it is the word that most often follows the
 last three (see wordcounts), predicted by how often it did, comes first.
 
-Training: partitions count (context, byte) pairs, ranges of contexts are merged apart, and their nodes' counts go to
-hashed tables with check bits. Tables follow the input up to `MOST_BITS`, a proven bound of what is broadcast: all
-tables are under 20 MB. Where contexts want the same slot, the one that was seen most often has it. Then every
-partition learns weights online from all its training texts, each byte predicted without itself; weights are averaged
-by how often a gate was seen, the map's counts are added. Followers' counts are exchanged, not broadcast, without a bound.
+Training: blocks of texts send their different (context, byte) pairs to the tasks that sum ranges of contexts, and the
+states of the nodes on each pair's way come back, as with words and followers; so all contexts count, however many the
+input has, and nothing is broadcast or bounded. From 1 MB of training text on a context's slot is its whole hash. Below,
+there are so many slots that about eight contexts share theirs with another one, and the one seen most often has it. Only
+tables of all slots that are under `TABLES` (some kilobytes of text) are made and broadcast. Then every partition learns
+weights online from all its training texts, each byte predicted without itself; weights are averaged by how often a gate
+was seen, the map's counts are added.
 
 Cases: a null text is empty and has its end only; a null id counts as an empty one; repeated rows are scored, and
 counted, each; texts over 1 MiB are coded in pieces that know the last six bytes before them; without training texts
@@ -24,7 +26,7 @@ extra columns don't matter.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -39,9 +41,8 @@ from tarnweave.llm.wordcounts import LEVELS, level, pack, pack_sorted, unpack, u
 #: Contexts are the last 1 to this many bytes; pieces know eight bytes before them.
 ORDERS, PAD = 6, 8
 END, START = 255, 254
-#: Slots of each context's table: a power of two of the training bytes by `SHARE`, between these bounds. A slot has 16 bytes.
-LEAST_BITS, MOST_BITS = 12, (12, 16, 17, 18, 18, 18)
-SHARE = (12, 9, 6, 4, 3, 3)
+#: Bits of slots at least; and bytes of all tables, of 16 a slot, that are made whole.
+LEAST_BITS, TABLES = 12, 32 << 20
 #: A context is in the tables from so many times on.
 SEEN = 2
 #: Text bytes of a piece, of a step, and of a step's counting; events that one step of learning takes.
@@ -49,7 +50,7 @@ PIECE, STEP, COUNT_BYTES, LEARN = 1 << 20, 1 << 19, 2 << 20, 1 << 13
 #: Different pairs of a context that a partition holds before it sends them; and, in bits, pairs whose costs a worker remembers.
 HELD, REMEMBERED = 2_000_000, 20
 #: Training bytes whose pairs one shard of each context's table has, about.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Predictions are kept in steps of 1 / SCALE. Sums end at this size, so that a byte's chances can be multiplied.
 SCALE, MOST_SUM = 15, np.float32(10)
 #: Shorter and longer contexts; and settings of how much more or less each counts, with what they weigh at first.
@@ -61,9 +62,8 @@ FIRST = 256
 GATES = (ORDERS + 1) * 2
 BINS = 24
 _NIBBLE = np.arange(16)
-#: The four nodes of each nibble's path, and the bits of each byte.
+#: The four nodes of each nibble's path.
 _PATH = np.stack([1 + 0 * _NIBBLE, 2 + (_NIBBLE >> 3), 4 + (_NIBBLE >> 2), 8 + (_NIBBLE >> 1)], 1)
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
 _GAP = np.array([s in (32, *range(9, 14), END, START) for s in range(256)])
 
 
@@ -162,8 +162,9 @@ class Shape(NamedTuple):
 
 
 def shape(size: int) -> Shape:
-    bits = tuple(min(most, max(LEAST_BITS, size.bit_length() - less)) for less, most in zip(SHARE, MOST_BITS))
-    return Shape(bits, min(LEAST_BITS - 4, max(3, (size // SHARD_BYTES).bit_length())), min(56, max(32, size.bit_length() + 8)))
+    told = min(56, max(32, size.bit_length() + 12))
+    bits = min(told, max(LEAST_BITS, 2 * size.bit_length() - 8))
+    return Shape((bits,) * ORDERS, max(3, (size // SHARD_BYTES).bit_length()), told)
 
 
 def high_slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -340,7 +341,7 @@ class Tables:
     def inputs(self, pair: np.ndarray, alone: bool) -> tuple[list[np.ndarray], list[tuple[int, slice]], np.ndarray]:
         """Of every pair the contexts' predictions for its eight decisions, toward what the bits are; pairs are ordered by
         gate: each gate's rows, and the order. Neighbours with the same last bytes are looked up once."""
-        found, known = [], np.zeros(len(pair), np.uint8)
+        found = []
         for k in range(1, ORDERS + 1):
             packed, checks = self.predictions(alone)[k - 1]
             short = pair >> np.uint64(48 - 8 * k)
@@ -355,13 +356,151 @@ class Tables:
                 slot <<= 4
                 slot += nibble
                 np.multiply(np.take(packed, slot), same, out=both[:, half])
-            known[np.repeat(both[:, 0] != 0, times)] = k
             found.append(np.repeat(both.view(np.uint64).ravel(), times))
-        gate = known + _GAP[(pair >> np.uint64(40) & np.uint64(255)).astype(np.int64)] * np.uint8(ORDERS + 1)
-        order = np.argsort(gate, kind="stable")
-        edges = np.append(0, np.cumsum(np.bincount(gate, minlength=GATES)))
-        rows = [(g, slice(edges[g], edges[g + 1])) for g in range(GATES) if edges[g + 1] > edges[g]]
-        return [np.take(x, order).view(np.int8).reshape(-1, 8).astype(np.float32) for x in found], rows, order
+        return arranged(found, pair)
+
+
+def arranged(found: list[np.ndarray], pair: np.ndarray) -> tuple[list[np.ndarray], list[tuple[int, slice]], np.ndarray]:
+    """The contexts' predictions for each pair as numbers, ordered by gate: each gate's rows, and the order."""
+    known = np.zeros(len(pair), np.uint8)
+    for k, x in enumerate(found, 1):
+        known[x.view(np.uint32)[::2] != 0] = k
+    gate = known + _GAP[(pair >> np.uint64(40) & np.uint64(255)).astype(np.int64)] * np.uint8(ORDERS + 1)
+    order = np.argsort(gate, kind="stable")
+    edges = np.append(0, np.cumsum(np.bincount(gate, minlength=GATES)))
+    rows = [(g, slice(edges[g], edges[g + 1])) for g in range(GATES) if edges[g + 1] > edges[g]]
+    return [np.take(x, order).view(np.int8).reshape(-1, 8).astype(np.float32) for x in found], rows, order
+
+
+class Pairs:
+    """The different pairs of a block, sorted; how often training texts have each; and the places of each step of pieces."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, train: np.ndarray):
+        steps = [(*alike(pairs(s)), s.begin, train[s.text]) for s in pieces(data, at)]
+        self.key = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in steps)]))
+        self.n, self.steps = np.zeros(len(self.key), np.int64), []
+        for key, which, begin, own in steps:
+            place = np.searchsorted(self.key, key).astype(np.int32)
+            times = np.bincount(which, weights=np.repeat(own, np.diff(np.append(begin, len(which)))), minlength=len(key))
+            self.n += np.bincount(place, weights=times, minlength=len(self.key)).astype(np.int64)
+            self.steps.append((place, which, begin))
+
+    def contexts(self, made: Shape) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each context the different keys, sorted as ranges have them, and the place of each pair's key."""
+        for k in range(1, ORDERS + 1):
+            short = self.key >> np.uint64(48 - 8 * k)
+            at = np.flatnonzero(np.append(True, short[1:] != short[:-1])) if len(short) else np.zeros(0, np.int64)
+            own = self.key[at]
+            keys, which = wordcounts.different(squeezed(order_hash(own, k), made) | byte_of(own))
+            yield keys, np.repeat(which, np.diff(np.append(at, len(short))))
+
+    def states(self, made: Shape, got: list[bytes]) -> list[np.ndarray]:
+        """Of each context the states of the eight decisions of every pair: levels of its own count and of the other one.
+        got: what came back for the contexts, range by range."""
+        out, k = [], 0
+        for keys, which in self.contexts(made):
+            rows, have = [np.zeros((0, 8), np.uint8)], 0
+            while have < len(keys):
+                rows.append(levels_of(wordcounts.unpack(got[k]).view(np.int64).reshape(PLACES, -1)))
+                have, k = have + len(rows[-1]), k + 1
+            out.append(np.concatenate(rows).view(np.uint64).ravel()[which])
+        return out
+
+
+#: What comes back for a pair: how often it is there, how often the other branch of each decision on its way was taken, and
+#: in two bits, whether the states of its first and last four decisions are not in their slots.
+PLACES = 10
+
+
+def levels_of(back: np.ndarray) -> np.ndarray:
+    """16 times the level of a decision's own count, and the level of the other one; of a range's answers."""
+    out, own = np.empty((back.shape[1], 8), np.uint8), back[0].copy()
+    for j in range(7, -1, -1):
+        out[:, j] = 16 * wordcounts.level(own) + wordcounts.level(back[1 + j])
+        own += back[1 + j]
+    if back[9].any():
+        out[back[9] & 1 != 0, :4] = 0
+        out[back[9] & 2 != 0, 4:] = 0
+    return out
+
+
+def asked(made: Shape) -> wordcounts.More:
+    """What blocks send of their pairs, and what comes back. A part is a range of one context's hashes."""
+
+    def ask(data: np.ndarray, at: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        own = Pairs(data, at, train)
+        own.steps.clear()
+        for k, (keys, which) in enumerate(own.contexts(made)):
+            n = np.bincount(which, weights=own.n, minlength=len(keys)).astype(np.int64)
+            edges = np.searchsorted(keys >> np.uint64(made.hash + 8 - made.shard), np.arange((1 << made.shard) + 1, dtype=np.uint64))
+            for p in np.flatnonzero(np.diff(edges)):
+                yield (k << made.shard) + int(p), keys[edges[p] : edges[p + 1]], n[edges[p] : edges[p + 1]]
+
+    return wordcounts.More(ask, lambda part, key, n: ways(key, n, part >> made.shard, made))
+
+
+def ways(key: np.ndarray, n: np.ndarray, context: int, made: Shape) -> np.ndarray:
+    """What `PLACES` says, of a range's sorted different pairs and their counts; zeros for contexts that aren't in the tables."""
+    result = np.zeros((len(key), PLACES), np.uint32)
+    if not len(key):
+        return result
+    begin = np.flatnonzero(np.append(True, key[1:] >> np.uint64(8) != key[:-1] >> np.uint64(8)))
+    seen = np.flatnonzero(np.repeat(np.add.reduceat(n, begin) >= SEEN, np.diff(np.append(begin, len(key)))))
+    if not len(seen):
+        return result
+    key, n = key[seen], np.minimum(n[seen], LEVELS[-1])
+    fresh = [np.append(True, key[1:] >> cut != key[:-1] >> cut) for cut in (np.uint64(8), np.uint64(4))]
+    begin, out = np.flatnonzero(fresh[0]), np.zeros((len(key), PLACES), np.uint32)
+    out[:, 0] = n
+    for some in row_steps(np.diff(np.append(begin, len(key))), 1 << 16):
+        own = slice(begin[some.start], begin[some.stop] if some.stop < len(begin) else len(key))
+        for half, nibble in enumerate((key[own] >> np.uint64(4) & np.uint64(15), key[own] & np.uint64(15))):
+            nibble, of = nibble.astype(np.int64), np.cumsum(fresh[half][own]) - 1
+            counts = np.bincount(16 * of + nibble, weights=n[own], minlength=16 * (of[-1] + 1))
+            for depth in range(3, -1, -1):  # counts: of the branches after this decision
+                out[own, 1 + 4 * half + depth] = counts[(of << depth + 1) + (nibble >> 3 - depth ^ 1)]
+                counts = counts[::2] + counts[1::2]
+    if made.bits[context] < made.hash:
+        for half, has in enumerate(owners(key, n, fresh, context, made)):
+            out[:, 9] |= (~has[np.cumsum(fresh[half]) - 1]).astype(np.uint32) << half
+    result[seen] = np.minimum(out, LEVELS[-1])
+    return result
+
+
+def owners(key: np.ndarray, n: np.ndarray, fresh: list[np.ndarray], context: int, made: Shape) -> list[np.ndarray]:
+    """Which contexts, and which first four bits after them, have their slots, as in `part_of_table`."""
+    begin = [np.flatnonzero(x) for x in fresh]
+    times = [np.add.reduceat(n, x) for x in begin]
+    h = [key[x] >> np.uint64(8) << np.uint64(64 - made.hash) for x in begin]
+    bits = made.bits[context]
+    slots = [high_slots(h[0], bits)[0], low_slots(h[1], key[begin[1]] >> np.uint64(4) & np.uint64(15), bits, made.shard)[0]]
+    slot = np.concatenate(slots)
+    order = np.lexsort((np.concatenate(times), slot))
+    has = np.zeros(len(slot), bool)
+    has[order[np.append(slot[order][1:] != slot[order][:-1], True)]] = True
+    return [has[: len(begin[0])], has[len(begin[0]) :]]
+
+
+_TOWARD = {alone: _ratios(alone)[0] for alone in (False, True)}
+
+
+def toward(found: list[np.ndarray], pair: np.ndarray, alone: bool) -> tuple[list[np.ndarray], list[tuple[int, slice]], np.ndarray]:
+    """As `Tables.inputs`, of the states that came back for some pairs."""
+    return arranged([np.take(_TOWARD[alone], np.ascontiguousarray(x).view(np.uint8)).view(np.uint64) for x in found], pair)
+
+
+def costs_with(own: Pairs, found: list[np.ndarray], mixer: Mixer) -> np.ndarray:
+    """As `costs`, of a block's pairs and the states that came back for them."""
+    each = np.empty((len(own.key), len(SETTINGS)), np.float32)
+    for i in range(0, len(own.key), LEARN):
+        some = slice(i, i + LEARN)
+        xs, rows, order = toward([x[some] for x in found], own.key[some], False)
+        each[i + order] = by_setting(xs, rows, mixer)
+    out, at = np.empty(sum(len(which) for _, which, _ in own.steps), np.float32), 0
+    for place, which, begin in own.steps:
+        out[at : at + len(which)] = adapted(which, begin, each[place])
+        at += len(which)
+    return out
 
 
 def costs_of(pair: np.ndarray, tables: Tables, mixer: Mixer) -> np.ndarray:
@@ -381,6 +520,10 @@ def costs_of(pair: np.ndarray, tables: Tables, mixer: Mixer) -> np.ndarray:
     return out
 
 
+#: Inputs of some pairs, and how often training texts have each.
+Step = tuple[tuple[list[np.ndarray], list[tuple[int, slice]], np.ndarray], np.ndarray]
+
+
 class Tally:
     """What learning counts: how far weights have moved, how often gates were seen, and the map's cells."""
 
@@ -444,18 +587,45 @@ class Mixer:
 def learnt(docs: DataFrame, tables: Broadcast) -> Mixer:
     """Weights and map from all training texts, learnt online in each partition and averaged."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, own, tally = Mixer(), tables.value, Tally()
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[Step]:
+        own = tables.value
         for key, n in held_pairs(batches):
             # neighbours are of a kind: steps of learning take them from all over
             stride = -(-len(key) // LEARN)
             for i in range(stride):
-                xs, rows, order = own.inputs(key[i::stride], True)
-                mixer.learn(xs, rows, n[i::stride][order].astype(np.float32), tally)
+                yield own.inputs(key[i::stride], True), n[i::stride]
+
+    return averaged(docs.filter("_train").select("_text"), steps)
+
+
+def learnt_from_blocks(joined: DataFrame, parts: int, made: Shape) -> Mixer:
+    """As `learnt`, from blocks and the states that came back for them."""
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[Step]:
+        for rows, data, at, (*_, back) in wordcounts.whole_blocks(batches, parts):
+            own = Pairs(data, at, rows.column("_train").to_numpy(zero_copy_only=False))
+            own.steps.clear()
+            found, seen = own.states(made, back), np.flatnonzero(own.n)
+            stride = -(-len(seen) // LEARN)
+            for i in range(stride):
+                some = seen[i::stride]
+                yield toward([x[some] for x in found], own.key[some], True), own.n[some]
+
+    return averaged(joined, steps)
+
+
+def averaged(docs: DataFrame, steps: Callable[[Iterator[pa.RecordBatch]], Iterator[Step]]) -> Mixer:
+    """A mixer that learns from each partition's steps; weights are averaged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, tally = Mixer(), Tally()
+        for (xs, rows, order), n in steps(batches):
+            mixer.learn(xs, rows, n[order].astype(np.float32), tally)
+        common.release()
         rows = np.concatenate([(mixer.weights * tally.seen).ravel(), tally.seen.ravel(), tally.right, tally.total])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(rows)], ["cell", "x"])
 
-    cells = docs.filter("_train").select("_text").mapInArrow(run, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x"))
+    cells = docs.mapInArrow(run, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x"))
     out, n, m = Mixer(), ORDERS * GATES * 8, GATES * 8
     sums = np.zeros(n + m + 16 * BINS)
     for cell, x in cells.collect():
@@ -535,15 +705,19 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
     length = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
     size, trained, ends = docs.agg(F.sum(length), F.sum(F.when(F.col("_train"), length)), F.count_if("_train")).first()
     size, trained = size or 0, trained or 0
-    joined, tokens, different, follows = wordcounts.exchange(docs, size)
     made = shape(trained)
-    rows = merged(gathered(docs, made), made).toLocalIterator()
-    tables = spark.sparkContext.broadcast(Tables(made).fill(rows))
-    mixer = learnt(docs, tables)
+    few = sum(16 << b for b in made.bits) <= TABLES
+    joined, parts, tokens, different, follows = wordcounts.exchange(docs, size, None if few else asked(made))
+    if few:
+        tables = spark.sparkContext.broadcast(Tables(made).fill(merged(gathered(docs, made), made).toLocalIterator()))
+        mixer = learnt(docs, tables)
+    else:
+        mixer = learnt_from_blocks(joined, parts, made)
+        common.forget_shuffles(spark)
     train_tokens, kinds = tokens + ends, different + (ends > 0)
     floor = float(np.log10(train_tokens + add * (kinds + 1)))
 
-    def each(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray, words: wordcounts.Words, counts: np.ndarray, followers: np.ndarray) -> pa.RecordBatch:
+    def each(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray, words: wordcounts.Words, counts: np.ndarray, followers: np.ndarray, more: list[bytes]) -> pa.RecordBatch:
         n = rows.num_rows
         counts, followers = counts[words.which].astype(np.int64), followers[words.pair]
         n_words = np.bincount(words.text, minlength=n)
@@ -554,7 +728,15 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
         state, hit = (followers >> np.uint64(1)).astype(np.uint8), (followers & np.uint64(1)).astype(bool)
         del counts, followers
         words.__dict__.clear()  # the bytes' costs need the memory
-        total = np.append(0.0, np.cumsum(costs(data, at, tables.value, mixer), dtype=np.float64))
+        if few:
+            cost = costs(data, at, tables.value, mixer)
+        else:
+            own = Pairs(data, at, np.zeros(n, bool))
+            found = own.states(made, more)
+            more.clear()
+            cost = costs_with(own, found, mixer)
+            del own, found
+        total = np.append(0.0, np.cumsum(cost, dtype=np.float64))
         p = follows[state]
         saved = np.where(hit, total[last] - total[first] + np.log(p), np.log1p(-p)) * (state > 0)
         edges = at + np.arange(n + 1)
@@ -567,4 +749,4 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
 
     kind = docs.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return joined.mapInArrow(lambda batches: wordcounts.each_block(batches, size, each), schema).withColumnRenamed("_id", key)
+    return joined.mapInArrow(lambda batches: wordcounts.each_block(batches, size, parts, each), schema).withColumnRenamed("_id", key)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tarnweave.llm import common, winnow
 from tarnweave.llm.common import stash
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 14 << 20
 #: Text bytes whose counts one task sums, about.
 RANGE_BYTES = 4 << 20
 #: Words of a follower's context, and bits of the word that follows.
@@ -37,9 +38,12 @@ LOWER[65:91] += 32
 LEVELS = np.array([0, 1, 2, 3, 4, 5, 6, 8, 12, 16, 24, 48, 128, 512, 4096, 65536])
 
 
+_LEVEL = (np.searchsorted(LEVELS, np.arange(LEVELS[-1] + 1), "right") - 1).astype(np.uint8)
+
+
 def level(n: np.ndarray) -> np.ndarray:
     """The last of LEVELS up to n, by its number."""
-    return (np.searchsorted(LEVELS, n, "right") - 1).astype(np.uint8)
+    return np.take(_LEVEL, np.minimum(n, LEVELS[-1]))
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -82,6 +86,14 @@ def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[fresh], which
 
 
+class More(NamedTuple):
+    """What else blocks ask for: ask gives parts with sorted different keys and their training counts, of a block's bytes,
+    offsets and which texts train; answer gives rows of numbers for a part's different keys, of all blocks' sums."""
+
+    ask: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray, np.ndarray]]]
+    answer: Callable[[int, np.ndarray, np.ndarray], np.ndarray]
+
+
 class Words:
     """The words of a block: which text each is of, the different ones, and the followers."""
 
@@ -99,9 +111,30 @@ class Words:
         self.pairs, self.pair = different(pair)
 
 
-def blocks(docs: DataFrame, parts: int, bits: int) -> DataFrame:
-    """docs: _id, _train, _text. (block, part, a, b): part -1 has the block's rows, the next `parts` its words of one
-    range of hashes, and the next ones its followers."""
+def texts(docs: DataFrame) -> DataFrame:
+    """docs: _id, _train, _text. (block, part, a): the rows of each block, part -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for rows, _, _ in common.blocks(iter([batch]), "_text", BLOCK_BYTES):
+                sink = io.BytesIO()
+                with pa.ipc.new_stream(sink, rows.schema) as out:
+                    out.write_batch(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary())], ["block", "part", "a"])
+                block += 1
+        common.release()
+
+    return docs.select("_id", "_train", "_text").mapInArrow(run, "block long, part int, a binary")
+
+
+def rows_of(head: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.decompress(head)).read_next_batch()
+
+
+def asked(blocks: DataFrame, parts: int, bits: int, more: More | None = None) -> DataFrame:
+    """(block, part, a, b): the first `parts` parts have a block's words of one range of hashes, with training counts, the
+    next ones its followers, and those from 2 * parts on what `more` asks for."""
 
     def cut(keys: np.ndarray, counts: np.ndarray, width: int, first: int) -> Iterator[tuple[int, bytes, bytes]]:
         edges = np.searchsorted(keys, (np.arange(1, parts, dtype=object) * (1 << width) // parts).astype(np.uint64))
@@ -111,26 +144,26 @@ def blocks(docs: DataFrame, parts: int, bits: int) -> DataFrame:
             yield first + int(p), pack_sorted(keys[own]), pack(counts[own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for rows, data, at in common.blocks(iter([batch]), "_text", BLOCK_BYTES):
+            for block, head in zip(batch.column("block"), batch.column("a")):
+                rows = rows_of(head.as_py())
+                data, at = common.raw(rows.column("_text"))
+                trained = rows.column("_train").to_numpy(zero_copy_only=False)
                 w = Words(data, at, bits)
-                train = rows.column("_train").to_numpy(zero_copy_only=False)[w.text]
-                sink = io.BytesIO()
-                with pa.ipc.new_stream(sink, rows.schema) as out:
-                    out.write_batch(rows)
-                got = [(-1, zstandard.compress(sink.getvalue(), 3), b"")]
-                got += cut(w.known, np.bincount(w.which, weights=train, minlength=len(w.known)), 64, 0)
+                train = trained[w.text]
+                got = [*cut(w.known, np.bincount(w.which, weights=train, minlength=len(w.known)), 64, 0)]
                 got += cut(w.pairs, np.bincount(w.pair, weights=train[w.at], minlength=len(w.pairs)), bits + WORD_BITS, parts)
+                del w, train
+                if more is not None:
+                    got += [(2 * parts + p, pack_sorted(k), pack(n)) for p, k, n in more.ask(data, at, trained)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(got), pa.int64()), pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.binary()), pa.array([x[2] for x in got], pa.binary())],
+                    [pa.array([block.as_py()] * len(got), pa.int64()), pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.binary()), pa.array([x[2] for x in got], pa.binary())],
                     ["block", "part", "a", "b"],
                 )
-                block += 1
-                del w, train, got
+                del got
                 common.release()
 
-    return docs.select("_id", "_train", "_text").mapInArrow(run, "block long, part int, a binary, b binary")
+    return blocks.mapInArrow(run, "block long, part int, a binary, b binary")
 
 
 def followed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +196,7 @@ def followed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out.astype(np.uint64), hits, np.bincount(lone, weights=counts[seen], minlength=256).astype(np.int64)
 
 
-def summed(words: DataFrame, parts: int) -> DataFrame:
+def summed(words: DataFrame, parts: int, more: More | None = None) -> DataFrame:
     """(block, part, a, cell, v, n): for each block's words their training counts, for its followers what `followed` tells.
     Rows without a block: cell -1 has the range's different words and all words, the others hits and times of a state."""
 
@@ -176,12 +209,14 @@ def summed(words: DataFrame, parts: int) -> DataFrame:
             total = np.bincount(which, weights=np.concatenate([y for _, _, y in own]), minlength=len(known)).astype(np.int64)
             if now < parts:
                 back, rows = total, [(None, b"", -1, int((total > 0).sum()), int(total.sum()))]
+            elif now >= 2 * parts:
+                back, rows = more.answer(now - 2 * parts, known, total), []
             else:
                 back, hits, times = followed(known, total)
                 rows = [(None, b"", int(c), int(hits[c]), int(times[c])) for c in np.flatnonzero(times)]
             at = 0
             for b, x, _ in own:
-                rows.append((b, pack(back[which[at : at + len(x)]]), 0, 0, 0))
+                rows.append((b, pack(back[which[at : at + len(x)]].T.ravel()), 0, 0, 0))
                 at += len(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([now] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4))],
@@ -205,13 +240,14 @@ def summed(words: DataFrame, parts: int) -> DataFrame:
     return words.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, "block long, part int, a binary, cell long, v long, n long")
 
 
-def exchange(docs: DataFrame, size: int) -> tuple[DataFrame, int, int, np.ndarray]:
-    """docs: _id, _train, _text, of `size` bytes of text. What `each_block` reads; the training words and the different ones;
-    and the probability, by state, that a word is the most frequent follower."""
+def exchange(docs: DataFrame, size: int, more: More | None = None) -> tuple[DataFrame, int, int, int, np.ndarray]:
+    """docs: _id, _train, _text, of `size` bytes of text. What `each_block` reads, and its number of ranges; the training
+    words and the different ones; and the probability, by state, that a word is the most frequent follower."""
     own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, own, -(-size // RANGE_BYTES))
-    made = stash(blocks(docs, parts, context_bits(size)), "words")
-    counted = stash(summed(made.filter("part >= 0"), parts), "counts")
+    blocks = stash(texts(docs), "texts")
+    counted = stash(summed(asked(blocks, parts, context_bits(size), more), parts, more), "counts")
+    common.forget_shuffles(docs.sparkSession)
     words = different = 0
     hits, times = np.zeros(256), np.zeros(256)
     for cell, v, n in counted.filter("block is null").groupBy("cell").agg(F.sum("v"), F.sum("n")).collect():
@@ -219,30 +255,38 @@ def exchange(docs: DataFrame, size: int) -> tuple[DataFrame, int, int, np.ndarra
             different, words = v, n
         else:
             hits[cell], times[cell] = v, n
-    both = made.filter("part < 0").select("block", "part", "a").union(counted.filter("block is not null").select("block", "part", "a"))
-    return both.repartition("block").sortWithinPartitions("block", "part"), words, different, (hits + 0.5) / (times + 1)
+    both = blocks.union(counted.filter("block is not null").select("block", "part", "a"))
+    return both.repartition("block").sortWithinPartitions("block", "part"), parts, words, different, (hits + 0.5) / (times + 1)
 
 
-def each_block(batches: Iterator[pa.RecordBatch], size: int, then: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, Words, np.ndarray, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """then(rows, bytes, offsets, words, training count of each different word, state and hit of each follower) of every block."""
-    now, head, got = None, b"", []
+def whole_blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[list[bytes]]]]:
+    """The rows of every block, their bytes and offsets, and what came back for its words, its followers and more, packed."""
+    now, head, got = None, b"", [[], [], []]
 
-    def done() -> pa.RecordBatch:
-        rows = pa.ipc.open_stream(zstandard.decompress(head)).read_next_batch()
-        data, at = common.raw(rows.column("_text"))
-        w = Words(data, at, context_bits(size))
-        back = np.concatenate([np.zeros(0, np.uint64), *map(unpack, got)])
-        return then(rows, data, at, w, back[: len(w.known)], back[len(w.known) :])
+    def done() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[list[bytes]]]:
+        rows = rows_of(head)
+        return rows, *common.raw(rows.column("_text")), got
 
     for batch in batches:
-        for block, _, a in zip(*batch.columns):
-            block, a = block.as_py(), a.as_py()
+        for block, part, a in zip(*batch.columns):
+            block, part, a = block.as_py(), part.as_py(), a.as_py()
             if block != now:
                 if now is not None:
                     yield done()
                     common.release()
-                now, head, got = block, a, []
+                now, head, got = block, a, [[], [], []]
             else:
-                got.append(a)
+                got[min(2, part // parts)].append(a)
     if now is not None:
         yield done()
+
+
+def unpacked(got: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *map(unpack, got)])
+
+
+def each_block(batches: Iterator[pa.RecordBatch], size: int, parts: int, then: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, Words, np.ndarray, np.ndarray, list[bytes]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """then(rows, bytes, offsets, words, training count of each different word, state and hit of each follower, what came
+    back for more, packed) of every block."""
+    for rows, data, at, (known, pairs, more) in whole_blocks(batches, parts):
+        yield then(rows, data, at, Words(data, at, context_bits(size)), unpacked(known), unpacked(pairs), more)

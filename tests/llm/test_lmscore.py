@@ -234,3 +234,33 @@ def test_words_of_two_letters_in_a_clever_order_are_told_apart():
         starts, ends, _ = common.word_bounds(data, at)
         h = winnow.word_units(data, starts, ends)
         assert h[0] != h[1] and h[0] == h[2]
+
+
+def test_contexts_that_are_exchanged_score_as_those_in_tables(spark, rows, df, monkeypatch):
+    docs = df.select((~held_column()).alias("_train"), F.col("text").alias("_text"))
+    made = lmscore.shape(sum(len(lower(t)) for i, t in rows if not held(i)))
+    tables = lmscore.Tables(made).fill(lmscore.merged(lmscore.gathered(docs, made), made).toLocalIterator())
+    mixer = lmscore.learnt(docs, spark.sparkContext.broadcast(tables))
+    learnt = []
+    monkeypatch.setattr(lmscore, "TABLES", 0)
+    monkeypatch.setattr(wordcounts, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(lmscore, "learnt_from_blocks", lambda *a, f=lmscore.learnt_from_blocks: learnt.append(f(*a)) or mixer)
+    got = collections.defaultdict(list)
+    for r in lmscore.score(df, held_column()).collect():
+        got[r.doc_id].append(r.score)
+    scalar = Scalar(rows, tables, mixer)
+    for i, t in rows:
+        want = scalar.score(t)
+        assert min(abs(x - want) for x in got[i]) < 2e-4 * (1 + abs(want))
+    seen = learnt[0].weights != lmscore.Mixer().weights
+    assert (seen == (mixer.weights != lmscore.Mixer().weights)).all()
+
+
+def test_no_context_is_dropped_however_many_there_are(spark):
+    """1.5 million contexts of five and of six bytes, each there twice: more than tables of 2 ** 18 slots can have."""
+    rng = np.random.default_rng(34)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 50_000)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate([*texts, *texts])), "doc_id int, text string").repartition(4)
+    for r in lmscore.score(df, F.lit(False)).collect():
+        assert r.bits_per_byte < 1.5
+    assert lmscore.shape(30 << 30).bits == (lmscore.shape(30 << 30).hash,) * lmscore.ORDERS
