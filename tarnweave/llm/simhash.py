@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tarnweave.llm import buckets
 from tarnweave.llm.common import join_hot, stash
 from tarnweave.llm.components import components
+from tarnweave.llm.winnow import scatter
 
 SEED = 42
 #: Shingles whose bits are counted in one step.
@@ -63,6 +64,21 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * bits_set(hashes) > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
+_FACTORS = scatter(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
+
+
+def several(hashes: np.ndarray, n: int) -> np.ndarray:
+    """n fingerprints of the same shingles: by their hashes as they are, and by these mixed with other factors."""
+    total = np.zeros(64 * n, np.int64)
+    for i in range(0, len(hashes), 255):  # so many bits a byte can count
+        own = hashes[i : i + 255]
+        mixed = np.empty((len(own), n), "<u8")
+        mixed[:, 0] = own
+        mixed[:, 1:] = scatter(own[:, None] * _FACTORS[: n - 1])
+        total += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")
+
+
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """(key, fp): fp a long with the fingerprint's 64 bits. Narrow: no shuffle."""
 
