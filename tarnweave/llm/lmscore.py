@@ -399,21 +399,23 @@ class Pairs:
         got: what came back for the contexts, range by range."""
         out, k = [], 0
         for keys, which in self.contexts(made):
-            rows, have = [np.zeros((0, 8), np.uint8)], 0
+            rows, have = [np.zeros(0, np.uint64)], 0
             while have < len(keys):
-                rows.append(levels_of(wordcounts.unpack(got[k]).view(np.int64).reshape(PLACES, -1)))
+                rows.append(wordcounts.unpack_alike(got[k]))
                 have, k = have + len(rows[-1]), k + 1
-            out.append(np.concatenate(rows).view(np.uint64).ravel()[which])
+            out.append(np.concatenate(rows)[which])
         return out
 
 
-#: What comes back for a pair: how often it is there, how often the other branch of each decision on its way was taken, and
-#: in two bits, whether the states of its first and last four decisions are not in their slots.
+#: What a range counts for a pair: how often it is there, how often the other branch of each decision on its way was taken, and
+#: in two bits, whether the states of its first and last four decisions are not in their slots. Only the decisions' states
+#: come back, a byte each.
 PLACES = 10
 
 
 def levels_of(back: np.ndarray) -> np.ndarray:
-    """16 times the level of a decision's own count, and the level of the other one; of a range's answers."""
+    """16 times the level of a decision's own count, and the level of the other one, of each decision; of what a range
+    counts."""
     out, own = np.empty((back.shape[1], 8), np.uint8), back[0].copy()
     for j in range(7, -1, -1):
         out[:, j] = 16 * wordcounts.level(own) + wordcounts.level(back[1 + j])
@@ -436,7 +438,7 @@ def asked(made: Shape) -> wordcounts.More:
             for p in np.flatnonzero(np.diff(edges)):
                 yield (k << made.shard) + int(p), keys[edges[p] : edges[p + 1]], n[edges[p] : edges[p + 1]]
 
-    return wordcounts.More(ask, lambda part, key, n: ways(key, n, part >> made.shard, made))
+    return wordcounts.More(ask, lambda part, key, n: levels_of(ways(key, n, part >> made.shard, made).T).view(np.uint64).ravel())
 
 
 def ways(key: np.ndarray, n: np.ndarray, context: int, made: Shape) -> np.ndarray:
@@ -611,7 +613,7 @@ def learnt_from_blocks(joined: DataFrame, parts: int, made: Shape) -> Mixer:
                 some = seen[i::stride]
                 yield toward([x[some] for x in found], own.key[some], True), own.n[some]
 
-    return averaged(joined, steps)
+    return averaged(joined.filter((F.col("part") < 0) | (F.col("part") >= 2 * parts)), steps)  # words aren't needed
 
 
 def averaged(docs: DataFrame, steps: Callable[[Iterator[pa.RecordBatch]], Iterator[Step]]) -> Mixer:

@@ -65,6 +65,21 @@ def unpack_sorted(x: bytes) -> np.ndarray:
     return np.cumsum(unpack(x), dtype=np.uint64)
 
 
+def pack_alike(x: np.ndarray) -> bytes:
+    """Numbers of which most are alike, whatever their size: the different ones, the most frequent first, and their places."""
+    own, which, times = np.unique(x, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    place = np.empty(len(order), np.uint64)
+    place[order] = np.arange(len(order), dtype=np.uint64)
+    head = pack(own[order])
+    return len(head).to_bytes(4, "little") + head + pack(place[which])
+
+
+def unpack_alike(x: bytes) -> np.ndarray:
+    after = 4 + int.from_bytes(x[:4], "little")
+    return unpack(x[4:after])[unpack(x[after:]).astype(np.int64)]
+
+
 def context_bits(size: int) -> int:
     """Of a follower's context, for so many bytes of text."""
     return min(48, max(24, size.bit_length() + 6))
@@ -88,7 +103,8 @@ def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class More(NamedTuple):
     """What else blocks ask for: ask gives parts with sorted different keys and their training counts, of a block's bytes,
-    offsets and which texts train; answer gives rows of numbers for a part's different keys, of all blocks' sums."""
+    offsets and which texts train; answer gives a number for each of a part's different keys, of all blocks' sums, which come
+    back as `pack_alike` packs them."""
 
     ask: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray, np.ndarray]]]
     answer: Callable[[int, np.ndarray, np.ndarray], np.ndarray]
@@ -214,9 +230,9 @@ def summed(words: DataFrame, parts: int, more: More | None = None) -> DataFrame:
             else:
                 back, hits, times = followed(known, total)
                 rows = [(None, b"", int(c), int(hits[c]), int(times[c])) for c in np.flatnonzero(times)]
-            at = 0
+            at, packed = 0, pack if now < 2 * parts else pack_alike
             for b, x, _ in own:
-                rows.append((b, pack(back[which[at : at + len(x)]].T.ravel()), 0, 0, 0))
+                rows.append((b, packed(back[which[at : at + len(x)]]), 0, 0, 0))
                 at += len(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([now] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4))],

@@ -264,3 +264,17 @@ def test_no_context_is_dropped_however_many_there_are(spark):
     for r in lmscore.score(df, F.lit(False)).collect():
         assert r.bits_per_byte < 1.5
     assert lmscore.shape(30 << 30).bits == (lmscore.shape(30 << 30).hash,) * lmscore.ORDERS
+
+
+def test_answers_are_packed_by_whole_states():
+    """Ranges answer with the states of a pair's decisions, as one number, and not with ten counts."""
+    rng = np.random.default_rng(35)
+    for n in (0, 1, 40_000):
+        n_of, made = rng.geometric(0.4, n), lmscore.shape(100 << 20)
+        key = np.unique(rng.integers(0, 1 << made.hash + 8, n).astype(np.uint64))
+        (_, more), n_of = lmscore.asked(made), n_of[: len(key)]
+        back = more(5 << made.shard, key, n_of)
+        assert back.dtype == np.uint64 and len(back) == len(key)
+        assert (back.view(np.uint8).reshape(-1, 8) == lmscore.levels_of(lmscore.ways(key, n_of, 5, made).T)).all()
+        packed = wordcounts.pack_alike(back)
+        assert (wordcounts.unpack_alike(packed) == back).all() and len(packed) < 0.4 * n + 200
