@@ -47,6 +47,8 @@ LEAST_BITS, TABLES = 12, 32 << 20
 SEEN = 2
 #: Text bytes of a piece, of a step, and of a step's counting; events that one step of learning takes.
 PIECE, STEP, COUNT_BYTES, LEARN = 1 << 20, 1 << 19, 2 << 20, 1 << 13
+#: Pairs of a block that are sorted at once.
+SORTED = 8 << 20
 #: Different pairs of a context that a partition holds before it sends them; and, in bits, pairs whose costs a worker remembers.
 HELD, REMEMBERED = 2_000_000, 20
 #: Training bytes whose pairs one shard of each context's table has, about.
@@ -122,6 +124,22 @@ def pairs(s: Symbols) -> np.ndarray:
     return (eight[s.coded - 8] >> np.uint64(16)) | s.out[s.coded].astype(np.uint64) << np.uint64(48)
 
 
+def pairs_in_order(data: np.ndarray, at: np.ndarray, train: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As `pairs`, of all pieces of the texts, with which of them train; up to `most` at a time."""
+    n = len(at) - 1
+    kind = np.repeat(np.tile(np.array([0, 1, 2], np.uint8), n), np.stack([np.full(n, PAD), np.diff(at), np.ones(n, np.int64)], 1).ravel())
+    out = np.full(len(kind), START, np.uint8)
+    out[kind == 1] = wordcounts.LOWER[data]
+    out[kind == 2] = END
+    coded, train = kind != 0, np.repeat(train, np.diff(at) + PAD + 1)
+    eight = np.ndarray(max(0, len(out) - 7), "<u8", out, strides=(1,))
+    for i in range(PAD, len(out), most):
+        some = slice(i, min(i + most, len(out)))
+        pair = eight[i - PAD : some.stop - PAD] >> np.uint64(16)
+        pair |= out[some].astype(np.uint64) << np.uint64(48)
+        yield pair[coded[some]], train[some][coded[some]]
+
+
 def order_hash(pair: np.ndarray, k: int) -> np.ndarray:
     """A hash of the last k bytes before."""
     return winnow.scatter((pair & np.uint64((1 << 48) - 1)) >> np.uint64(48 - 8 * k) | np.uint64(k << 56))
@@ -218,9 +236,10 @@ def held_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
     common.release()
 
 
-def tallied(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys, sorted, and how often each is there."""
-    key = np.sort(key)
+def tallied(key: np.ndarray, over: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and how often each is there. over: the array may be sorted itself."""
+    key = key if over else key.copy()
+    key.sort()
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     return key[begin], np.diff(np.append(begin, len(key)))
 
@@ -229,7 +248,11 @@ def counted(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys, sorted, and the sums of their counts; of arrays of sorted keys and of counts in turn."""
     key, n = np.concatenate(parts[::2]), np.concatenate(parts[1::2])
     order = np.argsort(key, kind="stable")  # merges sorted stretches
-    key, n = key[order], n[order]
+    return summed_alike(key[order], n[order])
+
+
+def summed_alike(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys of sorted ones, and the sums of their counts."""
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     return key[begin], np.add.reduceat(n, begin) if len(key) else n
 
@@ -372,18 +395,60 @@ def arranged(found: list[np.ndarray], pair: np.ndarray) -> tuple[list[np.ndarray
     return [np.take(x, order).view(np.int8).reshape(-1, 8).astype(np.float32) for x in found], rows, order
 
 
+class Places:
+    """The place of any of some sorted different keys. A slot of a table has one key, the most frequent one that wants it; those
+    that aren't in their slots have a second table, and those that aren't there are searched for."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        self.key, self.tables = key, []
+        bits, own = max(8, len(key).bit_length() + 1), np.argsort(np.minimum(n, 65535).astype(np.uint16), kind="stable").astype(np.int32)
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            slot_of = lambda x, f=np.uint64(factor), b=np.uint64(64 - bits): (x * f >> b).view(np.int64)
+            table, slot = np.zeros(1 << bits, np.int32), slot_of(key[own])
+            table[slot] = own
+            own = own[table[slot] != own]
+            self.tables.append((slot_of, table))
+
+    def __call__(self, sought: np.ndarray) -> np.ndarray:
+        out, lost = np.empty(len(sought), np.int32), slice(None)
+        for slot_of, table in self.tables:
+            own = sought[lost]
+            place = np.take(table, slot_of(own))
+            out[lost] = place
+            wrong = np.flatnonzero(np.take(self.key, place) != own)
+            lost = wrong if isinstance(lost, slice) else lost[wrong]
+        out[lost] = np.searchsorted(self.key, sought[lost])
+        return out
+
+
 class Pairs:
-    """The different pairs of a block, sorted; how often training texts have each; and the places of each step of pieces."""
+    """The different pairs of a block, sorted, and how often training texts have each."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, train: np.ndarray):
-        steps = [(*alike(pairs(s)), s.begin, train[s.text]) for s in pieces(data, at)]
-        self.key = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in steps)]))
-        self.n, self.steps = np.zeros(len(self.key), np.int64), []
-        for key, which, begin, own in steps:
-            place = np.searchsorted(self.key, key).astype(np.int32)
-            times = np.bincount(which, weights=np.repeat(own, np.diff(np.append(begin, len(which)))), minlength=len(key))
-            self.n += np.bincount(place, weights=times, minlength=len(self.key)).astype(np.int64)
-            self.steps.append((place, which, begin))
+        self.key, self.n, have = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        held = np.empty(min(len(data) + len(at), SORTED), np.uint64)
+        for pair, own in pairs_in_order(data, at, train):
+            if have + len(pair) > len(held):
+                self._add(held[:have])
+                have = 0
+            held[have : have + len(pair)] = pair << np.uint64(1) | own
+            have += len(pair)
+        self._add(held[:have])
+
+    def _add(self, held: np.ndarray) -> None:
+        key, n = tallied(held, True)
+        key, n = summed_alike(key >> np.uint64(1), n * (key & np.uint64(1)).view(np.int64))
+        self.key, self.n = counted(self.key, self.n, key, n) if len(self.key) else (key, n)
+
+    def places(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each coded byte's pair, and where pieces begin."""
+        which, done, look = np.empty(len(data) + len(at) - 1, np.int32), 0, Places(self.key, self.n)
+        for pair, _ in pairs_in_order(data, at, np.zeros(len(at) - 1, bool)):
+            which[done : done + len(pair)] = look(pair)
+            done += len(pair)
+        n = np.maximum(1, -(-np.diff(at) // PIECE))
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return which, np.repeat(at[:-1] + np.arange(len(n)), n) + nth * PIECE
 
     def contexts(self, made: Shape) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each context the different keys, sorted as ranges have them, and the place of each pair's key."""
@@ -403,7 +468,7 @@ class Pairs:
             while have < len(keys):
                 rows.append(wordcounts.unpack_alike(got[k]))
                 have, k = have + len(rows[-1]), k + 1
-            out.append(np.concatenate(rows)[which])
+            out.append(with_told(keys, np.concatenate(rows))[which])
         return out
 
 
@@ -426,19 +491,50 @@ def levels_of(back: np.ndarray) -> np.ndarray:
     return out
 
 
+#: By how the bytes of neighbours differ: the decisions up to the one at which they part. And a pair's states after so many.
+_UP_TO = np.array([0, *(9 - x.bit_length() for x in range(1, 256))], np.uint8)
+_AFTER = np.array([(1 << 64) - (1 << 8 * k) for k in range(9)], np.uint64)
+
+
+def told(keys: np.ndarray) -> np.ndarray:
+    """How many of each pair's first decisions have states that the pair before tells, as it has the same context: they are
+    the same nodes, and at the last of them it took the other branch."""
+    out, apart = np.zeros(len(keys), np.uint8), keys[1:] ^ keys[:-1]
+    out[1:] = np.where(apart < 256, np.take(_UP_TO, apart & np.uint64(255)), 0)
+    return out
+
+
+def without_told(keys: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """Zeros for the states that the pair before tells, of sorted different keys."""
+    return states & np.take(_AFTER, told(keys))
+
+
+def with_told(keys: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """The states again, from what `without_told` leaves."""
+    upto, place = told(keys), np.arange(len(keys), dtype=np.int32)
+    out, byte = states.view(np.uint8).reshape(-1, 8).T.copy(), keys.astype(np.uint8)
+    for j in range(8):
+        own = upto > j
+        rows = np.flatnonzero(own)
+        source = np.maximum.accumulate(np.where(own, 0, place))[rows]
+        state = out[j][source]
+        turned = (byte[rows] ^ byte[source]) & np.uint8(128 >> j) != 0
+        out[j][rows] = np.where(turned, state >> 4 | state << 4, state)
+    return np.ascontiguousarray(out.T).view(np.uint64).ravel()
+
+
 def asked(made: Shape) -> wordcounts.More:
     """What blocks send of their pairs, and what comes back. A part is a range of one context's hashes."""
 
     def ask(data: np.ndarray, at: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         own = Pairs(data, at, train)
-        own.steps.clear()
         for k, (keys, which) in enumerate(own.contexts(made)):
             n = np.bincount(which, weights=own.n, minlength=len(keys)).astype(np.int64)
             edges = np.searchsorted(keys >> np.uint64(made.hash + 8 - made.shard), np.arange((1 << made.shard) + 1, dtype=np.uint64))
             for p in np.flatnonzero(np.diff(edges)):
                 yield (k << made.shard) + int(p), keys[edges[p] : edges[p + 1]], n[edges[p] : edges[p + 1]]
 
-    return wordcounts.More(ask, lambda part, key, n: levels_of(ways(key, n, part >> made.shard, made).T).view(np.uint64).ravel())
+    return wordcounts.More(ask, lambda part, key, n: levels_of(ways(key, n, part >> made.shard, made).T).view(np.uint64).ravel(), without_told)
 
 
 def ways(key: np.ndarray, n: np.ndarray, context: int, made: Shape) -> np.ndarray:
@@ -492,17 +588,13 @@ def toward(found: list[np.ndarray], pair: np.ndarray, alone: bool) -> tuple[list
 
 
 def costs_with(own: Pairs, found: list[np.ndarray], mixer: Mixer) -> np.ndarray:
-    """As `costs`, of a block's pairs and the states that came back for them."""
+    """The cost of each of a block's pairs in each setting, from the states that came back for them."""
     each = np.empty((len(own.key), len(SETTINGS)), np.float32)
     for i in range(0, len(own.key), LEARN):
         some = slice(i, i + LEARN)
         xs, rows, order = toward([x[some] for x in found], own.key[some], False)
         each[i + order] = by_setting(xs, rows, mixer)
-    out, at = np.empty(sum(len(which) for _, which, _ in own.steps), np.float32), 0
-    for place, which, begin in own.steps:
-        out[at : at + len(which)] = adapted(which, begin, each[place])
-        at += len(which)
-    return out
+    return each
 
 
 def costs_of(pair: np.ndarray, tables: Tables, mixer: Mixer) -> np.ndarray:
@@ -606,7 +698,6 @@ def learnt_from_blocks(joined: DataFrame, parts: int, made: Shape) -> Mixer:
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[Step]:
         for rows, data, at, (*_, back) in wordcounts.whole_blocks(batches, parts):
             own = Pairs(data, at, rows.column("_train").to_numpy(zero_copy_only=False))
-            own.steps.clear()
             found, seen = own.states(made, back), np.flatnonzero(own.n)
             stride = -(-len(seen) // LEARN)
             for i in range(stride):
@@ -670,7 +761,9 @@ def adapted(which: np.ndarray, begin: np.ndarray, each: np.ndarray) -> np.ndarra
     """The costs of coded bytes: by a mix of the settings, which weigh in each piece as they did at first, times the chance
     that each gave the piece's bytes before. They are weighed anew after FIRST bytes, twice as many, and so on."""
     out = np.empty(len(which), np.float32)
-    size = np.diff(np.append(begin, len(which)))
+    size, four = np.diff(np.append(begin, len(which))), np.zeros((len(each), 4), np.float32)
+    four[:, : each.shape[1]] = each
+    four = four.view(np.complex128).ravel()  # one look-up for all settings
     weigh = np.tile(AT_FIRST, (len(begin), 1)).astype(np.float64)
     low, piece = 0, np.flatnonzero(size > 0)
     while len(piece):
@@ -679,12 +772,15 @@ def adapted(which: np.ndarray, begin: np.ndarray, each: np.ndarray) -> np.ndarra
         edges = np.cumsum(n) - n
         for rows in row_steps(n):
             at = np.arange(edges[rows.start], edges[rows.stop - 1] + n[rows.stop - 1]) - np.repeat(edges[rows] - begin[piece[rows]] - low, n[rows])
-            cost = np.take(each, np.take(which, at), axis=0)
+            own = np.take(which, at)
             share = weigh[piece[rows]]
             share = np.exp(share - share.max(1)[:, None])
             share = (share / share.sum(1)[:, None]).astype(np.float32)
-            out[at] = -np.log(np.einsum("ij,ij->i", np.exp(-cost), np.repeat(share, n[rows], axis=0)))
-            weigh[piece[rows]] -= np.add.reduceat(cost, edges[rows] - edges[rows.start], axis=0, dtype=np.float64)
+            chance = np.zeros(len(at), np.float32)
+            for k, cost in enumerate(np.ascontiguousarray(np.take(four, own).view(np.float32).reshape(-1, 4).T[: each.shape[1]])):
+                weigh[piece[rows], k] -= np.add.reduceat(cost.astype(np.float64), edges[rows] - edges[rows.start])
+                chance += np.exp(np.negative(cost, out=cost), out=cost) * np.repeat(share[:, k], n[rows])
+            out[at] = -np.log(chance, out=chance)
         low = high
         piece = piece[size[piece] > low]
     return out
@@ -714,8 +810,8 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
         tables = spark.sparkContext.broadcast(Tables(made).fill(merged(gathered(docs, made), made).toLocalIterator()))
         mixer = learnt(docs, tables)
     else:
-        mixer = learnt_from_blocks(joined, parts, made)
-        common.forget_shuffles(spark)
+        with common.shuffles_once(spark):
+            mixer = learnt_from_blocks(joined, parts, made)
     train_tokens, kinds = tokens + ends, different + (ends > 0)
     floor = float(np.log10(train_tokens + add * (kinds + 1)))
 
@@ -730,15 +826,18 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
         state, hit = (followers >> np.uint64(1)).astype(np.uint8), (followers & np.uint64(1)).astype(bool)
         del counts, followers
         words.__dict__.clear()  # the bytes' costs need the memory
+        common.release()
         if few:
             cost = costs(data, at, tables.value, mixer)
         else:
-            own = Pairs(data, at, np.zeros(n, bool))
-            found = own.states(made, more)
+            own = Pairs(data, at, np.ones(n, bool))
+            own_costs = costs_with(own, own.states(made, more), mixer)
             more.clear()
-            cost = costs_with(own, found, mixer)
-            del own, found
-        total = np.append(0.0, np.cumsum(cost, dtype=np.float64))
+            cost = adapted(*own.places(data, at), own_costs)
+            del own, own_costs
+        total = np.zeros(len(cost) + 1)
+        np.cumsum(cost, out=total[1:], dtype=np.float64)
+        del cost
         p = follows[state]
         saved = np.where(hit, total[last] - total[first] + np.log(p), np.log1p(-p)) * (state > 0)
         edges = at + np.arange(n + 1)

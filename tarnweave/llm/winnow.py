@@ -70,18 +70,24 @@ def byte_units(data: np.ndarray, which: int = 0) -> np.ndarray:
 def word_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each word of the bytes: the sum of the scattered eights of its bytes, each with its place, and its length.
     No polynomial, so words made of two letters in a clever order don't meet either."""
-    length = ends - starts
-    eights = (length + 7) >> 3
-    edges = np.cumsum(eights)
-    place = np.arange(edges[-1] if len(edges) else 0) - np.repeat(edges - eights, eights)
-    begin = np.repeat(starts, eights) + 8 * place
-    left = np.minimum(np.repeat(ends, eights) - begin, 8).astype(np.uint64)
+    length = (ends - starts).astype(np.uint64)
     padded = np.append(data, np.zeros(8, np.uint8))
-    lane = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[begin]
-    drop = np.uint64(8) * (np.uint64(8) - left)
-    lane = scatter((lane << drop >> drop) ^ scatter(place.astype(np.uint64) * np.uint64(_BASE[0]) + np.uint64(_SEED[0])))
-    sums = np.add.reduceat(lane, edges - eights) if len(edges) else np.zeros(0, np.uint64)
-    return scatter(sums + length.astype(np.uint64) * np.uint64(_SEED[1]))
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    eight = np.uint64(8)
+
+    def eights(begin: np.ndarray, left: np.ndarray, place: np.ndarray) -> np.ndarray:
+        drop = eight * (eight - np.minimum(left, eight))
+        return scatter((lanes[begin] << drop >> drop) ^ scatter(place * np.uint64(_BASE[0]) + np.uint64(_SEED[0])))
+
+    sums = eights(starts, length, np.zeros(1, np.uint64))
+    some = np.flatnonzero(length > eight)  # most words have one eight only
+    if len(some):
+        more = ((length[some] + np.uint64(7) >> np.uint64(3)) - np.uint64(1)).astype(np.int64)
+        edges = np.cumsum(more)
+        place = 1 + np.arange(edges[-1]) - np.repeat(edges - more, more)
+        begin = np.repeat(starts[some], more) + 8 * place
+        sums[some] += np.add.reduceat(eights(begin, (np.repeat(ends[some], more) - begin).astype(np.uint64), place.astype(np.uint64)), edges - more)
+    return scatter(sums + length * np.uint64(_SEED[1]))
 
 
 def leftmost_least(h: np.ndarray, w: int) -> np.ndarray:

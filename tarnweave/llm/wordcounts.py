@@ -46,15 +46,25 @@ def level(n: np.ndarray) -> np.ndarray:
     return np.take(_LEVEL, np.minimum(n, LEVELS[-1]))
 
 
+_PACKER, _UNPACKER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(x: np.ndarray) -> bytes:
-    """Whole numbers by planes of their bytes: planes of zeros take nothing."""
-    planes = np.ascontiguousarray(np.asarray(x, "<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.compress(planes.tobytes(), 1)
+    """Whole numbers by planes of their bytes, as many as the largest needs, after their number."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    planes = x.astype(np.uint8) if width == 1 else np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + _PACKER.compress(planes)
 
 
 def unpack(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+    planes = np.frombuffer(_UNPACKER.decompress(memoryview(x)[1:]), np.uint8).reshape(x[0], -1)
+    if x[0] == 1:
+        return planes[0].astype("<u8")
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    for k, plane in enumerate(planes):
+        out[:, k] = plane
+    return out.view("<u8").ravel()
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -86,15 +96,23 @@ def context_bits(size: int) -> int:
 
 
 def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys, sorted, and the number of each place's key. Their first bits are sorted with the places, which
-    beats sorting places; only where different keys agree there, the keys themselves are."""
+    """The different keys, sorted, and the number of each place's key. The first bits of how far they are above the least
+    are sorted with the places, which beats sorting places; where different keys agree there, their neighbours are sorted."""
     low = np.uint64(max(1, len(keys).bit_length()))
-    up = np.uint64(0) if not len(keys) else np.uint64(64 - int(keys.max()).bit_length())
-    both = np.sort(keys << up >> low << low | np.arange(len(keys), dtype=np.uint64))
-    place = (both & (np.uint64(1) << low) - np.uint64(1)).astype(np.int64)
+    least = keys.min() if len(keys) else np.uint64(0)
+    up = np.uint64(64 - int(keys.max() - least).bit_length()) if len(keys) and keys.max() > least else np.uint64(0)
+    both = keys - least
+    both <<= up
+    both >>= low
+    both <<= low
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    both &= (np.uint64(1) << low) - np.uint64(1)
+    place = both.view(np.int64)
     key = keys[place]
     if (key[1:] < key[:-1]).any():
-        return np.unique(keys, return_inverse=True)
+        order = np.argsort(key, kind="stable")  # quick where most are in order
+        place, key = place[order], key[order]
     fresh = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
     which = np.empty(len(keys), np.int64)
     which[place] = np.cumsum(fresh) - 1
@@ -103,11 +121,12 @@ def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class More(NamedTuple):
     """What else blocks ask for: ask gives parts with sorted different keys and their training counts, of a block's bytes,
-    offsets and which texts train; answer gives a number for each of a part's different keys, of all blocks' sums, which come
-    back as `pack_alike` packs them."""
+    offsets and which texts train; answer gives a number for each of a part's different keys, of all blocks' sums; brief, of a
+    block's keys and their numbers, leaves of these what comes back, as `pack_alike` packs it."""
 
     ask: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray, np.ndarray]]]
     answer: Callable[[int, np.ndarray, np.ndarray], np.ndarray]
+    brief: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 class Words:
@@ -230,9 +249,10 @@ def summed(words: DataFrame, parts: int, more: More | None = None) -> DataFrame:
             else:
                 back, hits, times = followed(known, total)
                 rows = [(None, b"", int(c), int(hits[c]), int(times[c])) for c in np.flatnonzero(times)]
-            at, packed = 0, pack if now < 2 * parts else pack_alike
+            at = 0
             for b, x, _ in own:
-                rows.append((b, packed(back[which[at : at + len(x)]]), 0, 0, 0))
+                got = back[which[at : at + len(x)]]
+                rows.append((b, pack(got) if now < 2 * parts else pack_alike(more.brief(x, got)), 0, 0, 0))
                 at += len(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([now] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4))],
@@ -261,9 +281,9 @@ def exchange(docs: DataFrame, size: int, more: More | None = None) -> tuple[Data
     words and the different ones; and the probability, by state, that a word is the most frequent follower."""
     own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, own, -(-size // RANGE_BYTES))
-    blocks = stash(texts(docs), "texts")
-    counted = stash(summed(asked(blocks, parts, context_bits(size), more), parts, more), "counts")
-    common.forget_shuffles(docs.sparkSession)
+    with common.shuffles_once(docs.sparkSession):
+        blocks = stash(texts(docs), "texts")
+        counted = stash(summed(asked(blocks, parts, context_bits(size), more), parts, more), "counts")
     words = different = 0
     hits, times = np.zeros(256), np.zeros(256)
     for cell, v, n in counted.filter("block is null").groupBy("cell").agg(F.sum("v"), F.sum("n")).collect():
@@ -272,7 +292,8 @@ def exchange(docs: DataFrame, size: int, more: More | None = None) -> tuple[Data
         else:
             hits[cell], times[cell] = v, n
     both = blocks.union(counted.filter("block is not null").select("block", "part", "a"))
-    return both.repartition("block").sortWithinPartitions("block", "part"), parts, words, different, (hits + 0.5) / (times + 1)
+    dealt = both.repartition(4 * max(1, -(-size // BLOCK_BYTES)), "block")  # few tasks have several blocks, which would be one batch
+    return dealt.sortWithinPartitions("block", "part"), parts, words, different, (hits + 0.5) / (times + 1)
 
 
 def whole_blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[list[bytes]]]]:

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import time
 import zlib
 
 import numpy as np
@@ -278,3 +279,62 @@ def test_answers_are_packed_by_whole_states():
         assert (back.view(np.uint8).reshape(-1, 8) == lmscore.levels_of(lmscore.ways(key, n_of, 5, made).T)).all()
         packed = wordcounts.pack_alike(back)
         assert (wordcounts.unpack_alike(packed) == back).all() and len(packed) < 0.4 * n + 200
+
+
+def test_answers_leave_out_what_neighbours_tell():
+    """A context's pairs share the first nodes of their ways: what the pair before tells isn't sent."""
+    rng = np.random.default_rng(36)
+    made = lmscore.shape(100 << 20)
+    context = np.sort(rng.integers(0, 1 << made.hash, 8_000).astype(np.uint64))
+    key = np.unique(np.repeat(context, 5) << np.uint64(8) | rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ,\xff\xc3\xa9", np.uint8), 40_000).astype(np.uint64))
+    (ask, answer, brief), n = lmscore.asked(made), rng.geometric(0.3, len(key))
+    back = answer(5 << made.shard, key, n)
+    some = np.flatnonzero(rng.random(len(key)) < 0.7)  # a block has some of a range's pairs
+    for own in (some[:0], some[:1], some):
+        assert (lmscore.with_told(key[own], brief(key[own], back[own])) == back[own]).all()
+    assert len(wordcounts.pack_alike(brief(key[some], back[some]))) < 0.7 * len(wordcounts.pack_alike(back[some]))
+
+
+def test_pairs_of_a_block(monkeypatch):
+    monkeypatch.setattr(lmscore, "PIECE", 100)
+    rng = np.random.default_rng(37)
+    texts = [bytes(rng.choice(list(b"aB c"), n)).decode() for n in (0, 1, 250, 7, 100, 3000, 0)]
+    data, at = common.raw(pa.array(texts))
+    train = np.array([True, False, True, True, False, True, True])
+    steps = list(lmscore.pieces(data, at))
+    every, begin, text = np.concatenate([lmscore.pairs(s) for s in steps]), steps[0].begin, np.repeat(np.arange(7), np.diff(at) + 1)
+    assert len(steps) == 1
+    for most in (1 << 18, 300, 7):
+        assert (np.concatenate([x for x, _ in lmscore.pairs_in_order(data, at, train, most)]) == every).all()
+    monkeypatch.setattr(lmscore, "pairs_in_order", lambda *a, f=lmscore.pairs_in_order: f(*a, 64))
+    for most in (1 << 20, 500):
+        monkeypatch.setattr(lmscore, "SORTED", most)
+        own = lmscore.Pairs(data, at, train)
+        assert (own.key == np.unique(every)).all() and (own.n == [(every[train[text]] == x).sum() for x in own.key]).all()
+        which, first = own.places(data, at)
+        assert (own.key[which] == every).all() and (first == begin).all()
+
+
+def test_keys_that_agree_in_their_first_bits_are_told_apart_in_order():
+    rng = np.random.default_rng(38)
+    keys = rng.integers(0, 1 << 14, 50_000).astype(np.uint64) + (rng.integers(0, 2, 50_000).astype(np.uint64) << np.uint64(63))
+    for some in (keys, keys[:1], keys[:0], np.full(9, 5, np.uint64), np.append(keys, np.uint64(0))):
+        found, which = wordcounts.different(some)
+        assert (found == np.unique(some)).all() and (found[which] == some).all()
+
+
+def test_the_first_exchange_leaves_no_files(spark, tmp_path):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x for x in (found.apply(k).getName() for k in range(found.size())) if x.startswith("shuffle_")}
+
+    had, before = files(), spark.conf.get(common.FILE_CLEANUP, None)
+    held = spark.range(1000).repartition(3, "id")  # a plan that can be read again keeps its files from a collection
+    with common.shuffles_once(spark):
+        held.write.parquet(f"{tmp_path}/out")
+    for _ in range(50):
+        if files() <= had:
+            break
+        time.sleep(0.1)
+    assert files() <= had and spark.conf.get(common.FILE_CLEANUP, None) == before
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1000 and held.count() == 1000
