@@ -698,6 +698,7 @@ def learnt_from_blocks(joined: DataFrame, parts: int, made: Shape) -> Mixer:
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[Step]:
         for rows, data, at, (*_, back) in wordcounts.whole_blocks(batches, parts):
             own = Pairs(data, at, rows.column("_train").to_numpy(zero_copy_only=False))
+            common.release()
             found, seen = own.states(made, back), np.flatnonzero(own.n)
             stride = -(-len(seen) // LEARN)
             for i in range(stride):
@@ -831,10 +832,15 @@ def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "tex
             cost = costs(data, at, tables.value, mixer)
         else:
             own = Pairs(data, at, np.ones(n, bool))
+            common.release()
             own_costs = costs_with(own, own.states(made, more), mixer)
             more.clear()
-            cost = adapted(*own.places(data, at), own_costs)
-            del own, own_costs
+            places = own.places(data, at)
+            del own
+            common.release()
+            cost = adapted(*places, own_costs)
+            del places, own_costs
+            common.release()
         total = np.zeros(len(cost) + 1)
         np.cumsum(cost, out=total[1:], dtype=np.float64)
         del cost
