@@ -54,7 +54,8 @@ def html_escaped(x: Column) -> Column:
 
 
 def data_uri(x: Column, kind: str = "image/jpeg") -> Column:
-    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(x))
+    """In one line: base64() puts line ends after each 76 characters."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.translate(F.base64(x), "\r\n", ""))
 
 
 def json_object(x: Column) -> Column:

@@ -1,3 +1,4 @@
+import base64
 import html
 import json
 from urllib.parse import quote, unquote
@@ -138,3 +139,10 @@ def test_wav_files_of_both_kinds(spark, tmp_path):
         read = media.decode_wav(spark.read.format("binaryFile").load(str(folder))).orderBy("path").collect()
         assert [r.samples for r in read] == want
         assert [r.rate for r in read] == [8000, 8000, None, 8000]
+
+
+@pytest.mark.parametrize("n", [0, 57, 58, 300])
+def test_a_data_uri_is_one_line(spark, n):
+    raw = bytes(k % 256 for k in range(n))
+    want = "data:image/png;base64," + base64.b64encode(raw).decode()
+    assert one(spark, raw, lambda x: text.data_uri(x, "image/png"), "binary") == want
