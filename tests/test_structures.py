@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarnweave.operators import match, ranges
+from tarnweave.operators import hubs, match, ranges
 from tarnweave.operators.match import Match
 from tarnweave.operators.shortest import reached
 from tarnweave.sources import adjacency
@@ -170,3 +170,18 @@ def test_range_join_of_nothing_and_of_clashing_names(spark):
     assert ranges.overlapping(a, b.limit(0), ("a", "a"), ("c", "c")).count() == 0
     with pytest.raises(ValueError, match="both sides"):
         ranges.overlapping(a, a, ("a", "a"), ("a", "a"))
+
+
+def test_a_hub_is_dealt_and_its_last_hop_is_not_written(spark, monkeypatch):
+    """Trails over a hub are as many as the square of its relationships: they must not be written, nor come from one task."""
+    written = {}
+    monkeypatch.setattr(match, "stash", lambda df, name, real=match.stash: written.setdefault(f"{name}{len(written)}", real(df, name)))
+    monkeypatch.setattr(hubs, "ROWS", 8)
+    monkeypatch.setattr(hubs.meet, "__defaults__", (None, 8))
+    own = graph(spark, {"n": "N", **{f"x{k}": "X" for k in range(60)}}, [(f"r{k}", "P", f"x{k}", "n") for k in range(60)])
+    m = Match.nodes(own, "a", "X").trails("z", least=1, most=2, names=F.lower)
+    got = rows(m.frame.select("a_id", "z_id", F.array_join("path_ids", ","), F.array_join("path_nodes", ",")))
+    want = [(f"x{a}", "n", f"r{a}", f"nx{a},nn") for a in range(60)] + [(f"x{a}", f"x{b}", f"r{a},r{b}", f"nx{a},nn,nx{b}") for a in range(60) for b in range(60) if a != b]
+    assert got == sorted(want, key=repr)
+    assert sum(df.count() for df in written.values()) == 60
+    assert m.frame.filter("length = 2").groupBy(F.spark_partition_id()).count().count() > 1
