@@ -185,3 +185,13 @@ def test_a_hub_is_dealt_and_its_last_hop_is_not_written(spark, monkeypatch):
     assert got == sorted(want, key=repr)
     assert sum(df.count() for df in written.values()) == 60
     assert m.frame.filter("length = 2").groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_no_hop_goes_where_only_its_own_relationship_leads_back(spark, monkeypatch):
+    """From suppliers to nations: a customer is next to a nation, but by the relationship that led to it."""
+    g, hops = from_tables(spark, SF), []
+    real_hop = match._hop
+    monkeypatch.setattr(match, "_hop", lambda now, step, back=False: hops.append(real_hop(now, step, back)) or hops[-1])
+    found = Match.nodes(g, "a", "Supplier").trails("z", least=1, most=3, types=("IN_REGION", "IN_NATION"), where=F.array_contains("z_labels", "Nation"))
+    assert found.frame.groupBy("length").count().orderBy("length").collect()
+    assert {r[0][0] for r in hops[-1].select("_end").collect()} == {"r"}
