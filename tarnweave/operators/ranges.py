@@ -2,9 +2,10 @@
 
 An interval lies in the bins that it touches, at the finest level at which those are few; a level's bins are sixteen times as
 wide as those of the level below. At coarser levels it is only looked for: it has its one or two bins there too, so that it meets
-the longer intervals that live there. A pair meets at the level of the longer one, in one or more bins, of which the
-last that both begin before counts: so each pair comes once, without a distinct. The rows of a bin are joined by Spark, which splits
-a bin that is too large for one task (adaptive skew joins).
+the longer intervals of the other side that live there. A pair meets at the level of the longer one, in one or more bins, of which the
+last that both begin before counts: so each pair comes once, without a distinct. Two intervals that are only looked for never meet,
+and no interval goes to levels at which nothing of the other side lives: the coarsest bins hold all rows, and their pairs would be
+the square. A bin's rows of one side are dealt to several tasks where they are many (hubs.meet()).
 
 Cases: an interval with a null or NaN end, or whose first end is greater than its last one, overlaps nothing; ends belong to the interval,
 so a point is an interval of equal ends; infinite ends are those of the largest numbers; repeated rows are pairs each.
@@ -17,27 +18,41 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnweave.operators import hubs
+
 #: How many bins of a level an interval touches at most, and the ratio of the widths of two levels.
 TOUCHED, RATIO = 4, 16
 #: The coarsest level: a single bin beyond what 60 bits tell.
 LEVELS = 24
 
 
-def _bins(df: DataFrame, first: str, last: str, width: float, levels: int, names: tuple[str, ...]) -> DataFrame:
-    """df's rows, once for each bin: level, bin, the row's own level and its first bin at this level, under `names`."""
-    level, at, own, begins = names
+def _bin_of(x: Column, width: float, level: Column) -> Column:
+    return F.floor(x / (F.pow(F.lit(float(RATIO)), level) * width)).cast("long")
+
+
+def _inside(x: str, width: float) -> Column:
     most = float(2**52) * width
-    inside = lambda x: F.greatest(F.lit(-most), F.least(F.lit(most), F.col(x).cast("double")))
-    bin_of = lambda x, k: F.floor(x / (F.pow(F.lit(float(RATIO)), k) * width)).cast("long")
-    low, high = inside(first), inside(last)
-    fits = [F.when(bin_of(high, F.lit(k)) - bin_of(low, F.lit(k)) < TOUCHED, F.lit(k)) for k in range(levels)]
+    return F.greatest(F.lit(-most), F.least(F.lit(most), F.col(x).cast("double")))
+
+
+def _lives(df: DataFrame, first: str, last: str, width: float, levels: int, own: str) -> DataFrame:
+    """df's intervals with the level that each lives at, as `own`."""
+    low, high = _inside(first, width), _inside(last, width)
+    fits = [F.when(_bin_of(high, width, F.lit(k)) - _bin_of(low, width, F.lit(k)) < TOUCHED, F.lit(k)) for k in range(levels)]
     whole = F.col(first).isNotNull() & F.col(last).isNotNull() & ~F.isnan(F.col(first).cast("double")) & ~F.isnan(F.col(last).cast("double")) & (F.col(first) <= F.col(last))
-    rows = df.filter(whole).withColumn(own, F.coalesce(*fits, F.lit(levels)))
-    rows = rows.withColumn(level, F.explode(F.sequence(F.col(own), F.lit(levels))))
+    return df.filter(whole).withColumn(own, F.coalesce(*fits, F.lit(levels)))
+
+
+def _bins(rows: DataFrame, first: str, last: str, width: float, levels: int, at: list[int], names: tuple[str, ...]) -> DataFrame:
+    """The rows of _lives(), once for each bin at their own level and at those of `at` above: level, bin, the row's own level and
+    its first bin at this level, under `names`."""
+    level, bin_, own, begins = names
+    above = F.filter(F.array(*map(F.lit, at)).cast("array<int>"), lambda k: k > F.col(own))
+    rows = rows.withColumn(level, F.explode(F.concat(F.array(own), above)))
     # the last level has one bin for everything that is longer than all others
-    at_level = lambda x: F.when(F.col(level) == levels, F.lit(0).cast("long")).otherwise(bin_of(x, F.col(level)))
-    rows = rows.withColumn(begins, at_level(low))
-    return rows.withColumn(at, F.explode(F.sequence(F.col(begins), at_level(high))))
+    at_level = lambda x: F.when(F.col(level) == levels, F.lit(0).cast("long")).otherwise(_bin_of(_inside(x, width), width, F.col(level)))
+    rows = rows.withColumn(begins, at_level(first))
+    return rows.withColumn(bin_, F.explode(F.sequence(F.col(begins), at_level(last))))
 
 
 def width_for(df: DataFrame, first: str, last: str) -> float:
@@ -59,9 +74,22 @@ def overlapping(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], r
     width = width or max(width_for(left, *left_ends), width_for(right, *right_ends))
     names = lambda side: tuple(f"_{side}_{x}" for x in ("level", "bin", "own", "begins"))
     a, b = names("a"), names("b")
-    one, two = _bins(left, *left_ends, width, levels, a), _bins(right, *right_ends, width, levels, b)
-    meet = (F.col(a[0]) == F.col(b[0])) & (F.col(a[1]) == F.col(b[1]))
+    one, two = _lives(left, *left_ends, width, levels, a[2]), _lives(right, *right_ends, width, levels, b[2])
+    lived = [sorted(r[0] for r in side.select(x[2]).distinct().collect()) for side, x in ((one, a), (two, b))]
+    one, two = _bins(one, *left_ends, width, levels, lived[1], a), _bins(two, *right_ends, width, levels, lived[0], b)
     once = (F.greatest(a[2], b[2]) == F.col(a[0])) & (F.greatest(a[3], b[3]) == F.col(a[1]))
     overlap = (F.col(left_ends[0]) <= F.col(right_ends[1])) & (F.col(right_ends[0]) <= F.col(left_ends[1]))
-    pairs = one.join(two, meet & once & overlap & (condition if condition is not None else F.lit(True)))
-    return pairs.select(*left.columns, *right.columns)
+    holds = once & overlap & (condition if condition is not None else F.lit(True))
+    lives = lambda x: F.col(x[2]) == F.col(x[0])
+    hashed = lambda df: F.xxhash64(*[n for n, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+    one, two = (side.withColumn(f"{x[1]}_at", F.struct(x[0], x[1])).withColumn(f"{x[1]}_row", hashed(df)) for side, x, df in ((one, a, left), (two, b, right)))
+
+    def met(few: DataFrame, x: tuple[str, ...], many: DataFrame, y: tuple[str, ...]) -> DataFrame:
+        return hubs.meet(few, many, f"{x[1]}_at", f"{y[1]}_at", f"{y[1]}_row", holds).select(*left.columns, *right.columns)
+
+    pairs = met(two.filter(lives(b)), b, one.filter(lives(a)), a)
+    if lived[0] and lived[1] and lived[0][0] < lived[1][-1]:
+        pairs = pairs.union(met(two.filter(lives(b)), b, one.filter(~lives(a)), a))
+    if lived[0] and lived[1] and lived[1][0] < lived[0][-1]:
+        pairs = pairs.union(met(one.filter(lives(a)), a, two.filter(~lives(b)), b))
+    return pairs

@@ -195,3 +195,18 @@ def test_no_hop_goes_where_only_its_own_relationship_leads_back(spark, monkeypat
     found = Match.nodes(g, "a", "Supplier").trails("z", least=1, most=3, types=("IN_REGION", "IN_NATION"), where=F.array_contains("z_labels", "Nation"))
     assert found.frame.groupBy("length").count().orderBy("length").collect()
     assert {r[0][0] for r in hops[-1].select("_end").collect()} == {"r"}
+
+
+@pytest.mark.parametrize("rows_of_a_salt", [1024, 3])
+def test_range_join_looks_only_where_something_lives(spark, monkeypatch, rows_of_a_salt):
+    """All rows are in the coarsest bins: where nothing lives there, they must not meet there, as that is the square of them."""
+    monkeypatch.setattr(hubs.meet, "__defaults__", (None, rows_of_a_salt))
+    binned, real = [], ranges._bins
+    monkeypatch.setattr(ranges, "_bins", lambda *args: binned.append(real(*args)) or binned[-1])
+    a = spark.range(400).select(F.col("id").alias("i"), F.col("id").cast("double").alias("a"))
+    b = spark.range(400).select(F.col("id").alias("j"), (F.col("id") - 0.25).alias("c"), (F.col("id") + 0.25).alias("d"))
+    assert ranges.overlapping(a, b, ("a", "a"), ("c", "d")).count() == 400
+    assert sum(df.count() for df in binned) <= 3 * 400
+    long = spark.createDataFrame([(400, 0.0, 1e9), (401, 7.0, 20.0)], "j long, c double, d double")
+    assert ranges.overlapping(a, b.union(long), ("a", "a"), ("c", "d")).count() == 400 + 400 + 14
+    assert ranges.overlapping(b.union(long), a, ("c", "d"), ("a", "a")).count() == 400 + 400 + 14
