@@ -138,16 +138,16 @@ class Match:
         every = every.withColumn("length", F.size("path_ids")).join(ends, F.col("_end") == F.col(f"{to}_id")).drop("_end")
         return Match(self.graph, _named(self.graph, stash(every, "trails"), named) if names else every, to)
 
-    def nearest(self, to: str, *labels: str, types: Sequence[str] = (), directed: bool = False, most: int | None = None) -> Match:
+    def nearest(self, to: str, *labels: str, types: Sequence[str] = (), directed: bool = False, most: int | None = None, where: Column | None = None) -> Match:
         """Every other node that the bound one reaches, as `to`, with `length`, the relationships of the shortest paths there, and
-        n_paths, how many those are. No path is listed, so there is no bound on their lengths but `most`."""
-        from tarnweave.operators.shortest import reached
-
-        found = reached(self.graph, self.frame.select(F.col(f"{self.at}_id").alias("id")), types, directed, most)
-        ends = _nodes(self.graph, to, labels, None)
-        found = found.select(F.col("start_id").alias("_start"), F.col("node_id").alias("_end"), "length", "n_paths")
-        frame = self.frame.join(found, F.col(f"{self.at}_id") == F.col("_start")).join(ends, F.col("_end") == F.col(f"{to}_id"))
-        return Match(self.graph, frame.drop("_start", "_end"), to)
+        n_paths, how many those are. No path is listed, so there is no bound on their lengths but `most`. Where the nodes have labels
+        or a condition (`where`, on their columns), the others are left out before each start's rows are made."""
+        from tarnweave.operators.shortest import expanded, walked
+
+        members, found = walked(self.graph, self.frame.select(F.col(f"{self.at}_id").alias("id")), types, directed, most)
+        found = found.join(_nodes(self.graph, to, labels, where), F.col("node_id") == F.col(f"{to}_id"))
+        frame = expanded(members.join(self.frame, F.col("start_id") == F.col(f"{self.at}_id")), found)
+        return Match(self.graph, frame.drop("start_id", "node_id"), to)
 
     def shortest(self, start: str) -> Match:
         """Of trails, those as short as any between their ends; start: the variable that they begin at."""

@@ -167,9 +167,9 @@ def string_functions(g: Graph) -> DataFrame:
 SELECT first AS start_id, last AS end_id, min(length)::INT AS length, count(*)::BIGINT AS n FROM reached JOIN nodes z ON z.id = last AND (list_contains(z.labels, 'Region') OR list_contains(z.labels, 'Supplier')) WHERE k = 1 GROUP BY ALL""")
 def shortest_paths(g: Graph) -> DataFrame:
     """From suppliers to suppliers and regions, three relationships away at most: length and number of the shortest paths."""
-    m = Match.nodes(g, "a", "Supplier").nearest("z", types=STRUCTURE, most=3)
-    ends = m.where(F.array_contains("z_labels", "Region") | F.array_contains("z_labels", "Supplier"))
-    return ends.returns(c("a_id", "start_id"), c("z_id", "end_id"), "length", F.col("n_paths").cast("bigint").alias("n"))
+    ends = F.array_contains("z_labels", "Region") | F.array_contains("z_labels", "Supplier")
+    m = Match.nodes(g, "a", "Supplier").nearest("z", types=STRUCTURE, most=3, where=ends)
+    return m.returns(c("a_id", "start_id"), c("z_id", "end_id"), "length", F.col("n_paths").cast("bigint").alias("n"))
 
 
 @query("""SELECT 'r:' || r_regionkey AS start_id, 'c:' || c_custkey AS end_id, 2::INT AS length, 1::BIGINT AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarnweave.operators import hubs, match, ranges
+from tarnweave.operators import hubs, match, ranges, shortest
 from tarnweave.operators.match import Match
 from tarnweave.operators.shortest import reached
 from tarnweave.sources import adjacency
@@ -210,3 +210,18 @@ def test_range_join_looks_only_where_something_lives(spark, monkeypatch, rows_of
     long = spark.createDataFrame([(400, 0.0, 1e9), (401, 7.0, 20.0)], "j long, c double, d double")
     assert ranges.overlapping(a, b.union(long), ("a", "a"), ("c", "d")).count() == 400 + 400 + 14
     assert ranges.overlapping(b.union(long), a, ("c", "d"), ("a", "a")).count() == 400 + 400 + 14
+
+
+def test_starts_around_one_hub_are_walked_once(spark, monkeypatch):
+    """Leaves that reach each other by their hub are as many pairs as the square of them: no frontier may hold these."""
+    written = {}
+    monkeypatch.setattr(shortest, "stash", lambda df, name, real=shortest.stash: written.setdefault(f"{name}{len(written)}", real(df, name)))
+    names = {"n": "N", "m": "N", **{f"x{k}": "X" for k in range(50)}, **{f"y{k}": "Y" for k in range(50)}}
+    rels = [(f"r{v}", "P", v, "n") for v in names if v not in "nm"] + [("m1", "P", "n", "m"), ("m2", "P", "m", "n"), ("o", "P", "x0", "m"), ("p", "P", "x1", "n")]
+    own = graph(spark, names, rels)
+    m = Match.nodes(own, "a", "X").nearest("z", most=3, where=F.array_contains("z_labels", "X"))
+    got = rows(m.frame.select("a_id", "z_id", "length", F.col("n_paths").cast("long")))
+    want = [(f"x{k}", *r[1:]) for k in range(50) for r in breadth_first(rels, f"x{k}", False, most=3) if r[1][0] == "x"]
+    assert got == sorted(want, key=repr) and len(got) == 50 * 49
+    assert sum(df.count() for name, df in written.items() if name.startswith("frontier")) < 500
+    assert rows(reached(own, own.nodes.select("id"), most=0)) == []
