@@ -172,7 +172,7 @@ class Match:
 
 def _nodes(graph: Graph, var: str, labels: Sequence[str], where: Column | None) -> DataFrame:
     nodes = graph.nodes.filter(has_labels(F.col("labels"), labels)) if labels else graph.nodes
-    nodes = nodes.select(*[F.col(c).alias(f"{var}_{c}") for c in NODE])
+    nodes = nodes.select(*[F.col(c).alias(f"{var}_{c}") for c in NODE if c in nodes.columns])
     return nodes.filter(where) if where is not None else nodes
 
 

@@ -195,8 +195,8 @@ def shortest_paths_far(table: Callable) -> DataFrame:
 
 @query("""SELECT b.id AS part_id, r.type AS relation, a.labels[1] AS label, count(*)::BIGINT AS n, min(r.confidence) AS least FROM nodes b JOIN und r ON r.s = b.id JOIN nodes a ON a.id = r.e WHERE list_contains(b.labels, 'Part') GROUP BY ALL""")
 def adjacency_expand(g: Graph) -> DataFrame:
-    """What is next to each part, in both directions, through adjacency lists."""
-    m = Match.nodes(adjacent(g), "b", "Part").both("r", "a")
+    """What is next to each part, in both directions, through adjacency lists of what is asked for."""
+    m = Match.nodes(adjacent(g, kept=("confidence",), of_nodes=("id", "labels")), "b", "Part").both("r", "a")
     return m.frame.groupBy(c("b_id", "part_id"), c("r_type", "relation"), F.col("a_labels")[0].alias("label")).agg(F.count("*").alias("n"), F.min("r_confidence").alias("least"))
 
 

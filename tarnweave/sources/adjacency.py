@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnweave.sources.graph import NODE, REL, Graph
-from tarnweave.sources.shared import stash, stash_dir
+from tarnweave.sources.shared import shuffles_once, stash, stash_dir
 
 #: Relationships in one row at most.
 MOST = 4096
-#: What a list holds of each relationship, beside the far end.
+#: What a list holds of each relationship, beside the far end, unless told otherwise.
 KEPT = tuple(c for c in REL if c not in ("type", "start", "end"))
 
 
@@ -48,41 +48,53 @@ class AdjacentGraph(Graph):
             each = each.filter((F.col("_way") == "out") | (F.col("_r.far") != F.col("_near")))
         near, far = (F.col("_near"), F.col("_r.far")) if way != "in" else (F.col("_r.far"), F.col("_near"))
         own = {"type": F.col("_type"), "start": near, "end": far}
-        return each.select(*frame.columns, *[own.get(c, F.col(f"_r.{c}")).alias(f"{rel}_{c}") for c in REL])
+        kept = [f.name for f in self.lists.schema["ends"].dataType.elementType.fields]
+        return each.select(*frame.columns, *[own.get(c, F.col(f"_r.{c}")).alias(f"{rel}_{c}") for c in REL if c in own or c in kept])
 
 
-def write(graph: Graph, folder: str, name: str, buckets: int | None = None, most: int = MOST) -> AdjacentGraph:
+def write(graph: Graph, folder: str, name: str, buckets: int | None = None, most: int = MOST, kept: Sequence[str] = KEPT, of_nodes: Sequence[str] = NODE) -> AdjacentGraph:
     """Writes the tables <name>_nodes and <name>_lists, and the hubs as files, below the folder. Relationships without a
-    start or end belong to no list."""
+    start or end belong to no list. kept: what a list holds of each relationship, beside its type and far end; of_nodes: what
+    the nodes keep, ids among it; expansions have no other columns.
+
+    Relationships go once to the tasks of their buckets, which make and write the lists. What was exchanged goes when that is done."""
     spark = graph.nodes.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = lambda near, way, far: F.struct(F.col(near).alias("id"), F.lit(way).alias("way"), F.struct(F.col(far).alias("far"), *KEPT).alias("r"))
-    ends = graph.rels.filter("start IS NOT NULL AND end IS NOT NULL").select("type", F.inline(F.array(end("start", "out", "end"), end("end", "in", "start"))))
+    end = lambda near, way, far: F.struct(F.col(near).alias("id"), F.lit(way).alias("way"), F.struct(F.col(far).alias("far"), *kept).alias("r"))
+    ends = graph.rels.filter("start IS NOT NULL AND end IS NOT NULL").select("type", F.xxhash64("id").alias("_h"), F.inline(F.array(end("start", "out", "end"), end("end", "in", "start"))))
+    with shuffles_once(spark):
+        hubs = _write_lists(graph, ends, folder, name, buckets, most, of_nodes)
+    return read(spark, folder, name, graph.rels, hubs)
+
+
+def _write_lists(graph: Graph, ends: DataFrame, folder: str, name: str, buckets: int, most: int, of_nodes: Sequence[str]) -> bool:
+    """Whether there are hubs."""
     key = ["id", "way", "type"]
     many = stash(ends.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most), "hubs")
-    dealt = ends.join(many, key, "left")
-    lists = dealt.filter("_n IS NULL").groupBy(*key).agg(F.collect_list("r").alias("ends"))
+    hubs = not many.isEmpty()
+    dealt = ends.join(many, key, "left") if hubs else ends
+    lists = (dealt.filter("_n IS NULL") if hubs else dealt).repartition(buckets, "id").groupBy(*key).agg(F.collect_list("r").alias("ends"))
     _bucketed(lists, f"{folder}/lists", f"{name}_lists", buckets)
-    _bucketed(graph.nodes.select(*NODE), f"{folder}/nodes", f"{name}_nodes", buckets)
-    if not many.isEmpty():
-        part = F.pmod(F.xxhash64("r.id"), F.ceil(2 * F.col("_n") / most))
+    _bucketed(graph.nodes.select(*of_nodes).repartition(buckets, "id"), f"{folder}/nodes", f"{name}_nodes", buckets)
+    if hubs:
+        part = F.pmod("_h", F.ceil(2 * F.col("_n") / most))
         parts = dealt.filter("_n IS NOT NULL").groupBy(*key, part.alias("_part")).agg(F.collect_list("r").alias("ends"))
         starts = F.sequence(F.lit(1), F.size("ends"), F.lit(most))
         cut = parts.select(*key, F.explode(F.transform(starts, lambda k: F.slice("ends", k, F.lit(most)))).alias("ends"))
         cut.write.mode("overwrite").parquet(f"{folder}/hubs")
-    return read(spark, folder, name, graph.rels, not many.isEmpty())
+    return hubs
 
 
 def _bucketed(df: DataFrame, path: str, table: str, buckets: int) -> None:
-    by_id = df.repartition(buckets, "id").sortWithinPartitions("id")
-    by_id.write.bucketBy(buckets, "id").sortBy("id").option("path", path).mode("overwrite").saveAsTable(table)
+    """df is dealt by id to so many partitions already."""
+    df.sortWithinPartitions("id").write.bucketBy(buckets, "id").sortBy("id").option("path", path).mode("overwrite").saveAsTable(table)
 
 
 def read(spark: SparkSession, folder: str, name: str, rels: DataFrame, hubs: bool) -> AdjacentGraph:
     return AdjacentGraph(spark.table(f"{name}_nodes"), rels, spark.table(f"{name}_lists"), spark.read.parquet(f"{folder}/hubs") if hubs else None)
 
 
-def adjacent(graph: Graph, most: int = MOST) -> AdjacentGraph:
-    """The graph with lists that last as long as the session."""
+def adjacent(graph: Graph, most: int = MOST, kept: Sequence[str] = KEPT, of_nodes: Sequence[str] = NODE) -> AdjacentGraph:
+    """The graph with lists that last as long as the session; see write()."""
     name = f"adjacent_{uuid.uuid4().hex}"
-    return write(graph, f"{stash_dir(graph.nodes.sparkSession)}/{name}", name, most=most)
+    return write(graph, f"{stash_dir(graph.nodes.sparkSession)}/{name}", name, most=most, kept=kept, of_nodes=of_nodes)

@@ -225,3 +225,15 @@ def test_starts_around_one_hub_are_walked_once(spark, monkeypatch):
     assert got == sorted(want, key=repr) and len(got) == 50 * 49
     assert sum(df.count() for name, df in written.items() if name.startswith("frontier")) < 500
     assert rows(reached(own, own.nodes.select("id"), most=0)) == []
+
+
+@pytest.mark.parametrize("most", [4096, 7])
+def test_lists_of_some_columns_are_made_with_one_exchange(spark, g, tmp_path, monkeypatch, most):
+    plans, real = [], adjacency._bucketed
+    monkeypatch.setattr(adjacency, "_bucketed", lambda df, *args: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *args))
+    own = adjacency.write(g, f"file://{tmp_path}/{most}", f"some_{most}", buckets=3, most=most, kept=("confidence",), of_nodes=("id", "labels"))
+    take = lambda graph: Match.nodes(graph, "x", "X").both("r", "y", "Y").frame
+    columns = ("x_id", "r_type", "r_start", "r_end", "r_confidence", "y_id", "y_labels")
+    assert rows(take(own).select(*columns)) == rows(take(g).select(*columns))
+    assert not {"r_id", "r_evidence", "r_properties", "y_name"} & set(take(own).columns)
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 1]
