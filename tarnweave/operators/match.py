@@ -58,7 +58,7 @@ class Match:
 
     @classmethod
     def nodes(cls, graph: Graph, var: str, *labels: str, where: Column | None = None) -> Match:
-        return cls(graph, _nodes(graph, var, labels, where), var)
+        return cls(graph, _nodes(graph, var, labels, where, graph.first), var)
 
     def _expand(self, rels: DataFrame, rel: str, to: str, labels: Sequence[str], types: Sequence[str], where: Column | None, near: str, far: str, how: str, start: str | None) -> Match:
         end = _nodes(self.graph, to, labels, None)
@@ -170,8 +170,9 @@ class Match:
         return out
 
 
-def _nodes(graph: Graph, var: str, labels: Sequence[str], where: Column | None) -> DataFrame:
-    nodes = graph.nodes.filter(has_labels(F.col("labels"), labels)) if labels else graph.nodes
+def _nodes(graph: Graph, var: str, labels: Sequence[str], where: Column | None, among: DataFrame | None = None) -> DataFrame:
+    nodes = among if among is not None else graph.nodes
+    nodes = nodes.filter(has_labels(F.col("labels"), labels)) if labels else nodes
     nodes = nodes.select(*[F.col(c).alias(f"{var}_{c}") for c in NODE if c in nodes.columns])
     return nodes.filter(where) if where is not None else nodes
 

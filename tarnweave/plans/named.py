@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.operators.match import Match
 from tarnweave.sources.graph import PROVENANCE, Graph
+from tarnweave.sources.shared import stash
 
 _NAME = re.compile(r"[a-z][a-z0-9_]*\Z")
 _KIND = re.compile(r"(string|int|bigint|double|boolean|date|timestamp)\Z")
@@ -28,13 +29,16 @@ _KIND = re.compile(r"(string|int|bigint|double|boolean|date|timestamp)\Z")
 @dataclass(frozen=True)
 class Question:
     """rows: the pattern for a graph. where: a condition on its columns and the parameters, in SQL; written by whoever defines the
-    question, not by callers. parameters: names and types; none is also a column of the pattern."""
+    question, not by callers. parameters: names and types; none is also a column of the pattern. begins: where the condition
+    wants the node that the pattern's first variable is to have a property equal to a parameter, these two, as (property,
+    parameter): many calls at once then begin at the nodes that they name, and not at all nodes."""
 
     name: str
     about: str
     rows: Callable[[Graph], DataFrame]
     where: str
     parameters: dict[str, str] = field(default_factory=dict)
+    begins: tuple[str, str] | None = None
 
     def __post_init__(self) -> None:
         for name in (self.name, *self.parameters):
@@ -57,8 +61,8 @@ def _statements(g: Graph) -> DataFrame:
 
 #: Questions that any graph can be asked.
 QUESTIONS = (
-    Question("connected_to", "What is connected to a node of this name, in any direction.", _connected, "source = who", {"who": "string"}),
-    Question("statements_of", "Relationships from a node, of at least this confidence.", _statements, "source_id = node AND confidence >= least", {"node": "string", "least": "double"}),
+    Question("connected_to", "What is connected to a node of this name, in any direction.", _connected, "source = who", {"who": "string"}, ("name", "who")),
+    Question("statements_of", "Relationships from a node, of at least this confidence.", _statements, "source_id = node AND confidence >= least", {"node": "string", "least": "double"}, ("id", "node")),
 )
 
 
@@ -116,7 +120,19 @@ class Registry:
         out = [checked.filter("error IS NOT NULL").select("call_id", F.lit(None).cast("string").alias("row"), "error")]
         for q in self.questions.values():
             mine = checked.filter((F.col("error").isNull()) & (F.col("name") == q.name)).select("call_id", *[v.alias(n) for n, v in values[q.name].items()])
+            if q.begins is not None:
+                out.append(self._answered(q, mine).select("call_id", "row", F.lit(None).cast("string").alias("error")))
+                continue
             made = self.spark.sql(f"SELECT c.call_id, to_json(struct(r.*), map('ignoreNullFields', 'false')) AS row FROM {{mine}} c, LATERAL {q.name}({', '.join(f'c.{n}' for n in q.parameters)}) r", mine=mine)
             out.append(made.select("call_id", "row", F.lit(None).cast("string").alias("error")))
         return reduce(DataFrame.union, out)
 
+    def _answered(self, q: Question, mine: DataFrame) -> DataFrame:
+        """(call_id, row) of the calls of a question that begins at nodes they name: these nodes are found and written first, so
+        that Spark knows how few they are, and the pattern is walked from them only."""
+        own, wanted = q.begins
+        named = mine.select(F.col(wanted).alias("_wanted")).distinct()
+        nodes = self.graph.nodes
+        first = stash(nodes.join(named, nodes[own] == F.col("_wanted"), "left_semi"), "named")
+        rows = q.rows(replace(self.graph, first=first))
+        return self.spark.sql(f"SELECT c.call_id, to_json(struct(r.*), map('ignoreNullFields', 'false')) AS row FROM {{mine}} c JOIN (SELECT * FROM {{rows}}) r ON {q.where}", mine=mine, rows=rows)

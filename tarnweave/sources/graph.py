@@ -10,7 +10,7 @@ may begin and end at one node.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,8 +32,11 @@ FAMILIES = {"ARRAY": "LIST", "OBJECT": "MAP", "BIGINT": "INTEGER", "DECIMAL": "F
 
 @dataclass(frozen=True)
 class Graph:
+    """first: nodes that patterns begin at; all by default."""
+
     nodes: DataFrame
     rels: DataFrame
+    first: DataFrame | None = field(default=None, kw_only=True)
 
     def undirected(self, ends: bool = False) -> DataFrame:
         """Each relationship in both directions; a loop once. One scan; filters on other columns than the ends still reach it.

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnweave.operators.match import Match
+from tarnweave.plans import named
 from tarnweave.plans.named import Question, Registry
 from tarnweave.sources.graph import NODE, REL, Graph
 
@@ -63,3 +64,16 @@ def test_dispatch(g, spark):
     found = sorted((r.call_id, json.loads(r.row)["target_id"]) for r in got if r.row)
     assert found == [(1, "b")] * 4 + [(1, "c")] * 2 + [(4, "b")]
     assert all("confidence" in json.loads(r.row) for r in got if r.row)
+
+
+def test_many_calls_begin_at_the_nodes_that_they_name(g, spark, monkeypatch):
+    """Before, each question's pattern was made of the whole graph, and the calls picked its rows."""
+    written, real = [], named.stash
+    monkeypatch.setattr(named, "stash", lambda df, name: written.append(real(df, name)) or written[-1])
+    calls = [(k, "connected_to", {"who": w}) for k, w in enumerate(["Alpha", "nobody", "Alpha"])] + [(9, "statements_of", {"node": "a", "least": "0.8"})]
+    got = Registry(g).dispatch(spark.createDataFrame(calls, "call_id int, name string, arguments map<string,string>"))
+    assert sorted((r.call_id, json.loads(r.row)["target_id"]) for r in got.collect()) == [(0, "b"), (0, "b"), (0, "c"), (2, "b"), (2, "b"), (2, "c"), (9, "b")]
+    assert [rows(x, "id") for x in written] == [[("a",)], [("a",)]]
+    whole = Question("all_of", "", lambda g: Match.nodes(g, "a").out("r", "b").returns("a_id", "b_id"), "a_id = x", {"x": "string"})
+    got = Registry(g, [whole]).dispatch(spark.createDataFrame([(1, "all_of", {"x": "a"})], "call_id int, name string, arguments map<string,string>"))
+    assert [json.loads(r.row) for r in got.collect()] == [{"a_id": "a", "b_id": "b"}]
